@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, sharding, topk
+from . import html_text, neardup, packing, pieces, sharding, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_topk": topk.op1_topk,
         "op2_packing": packing.op2_packing,
         "op5_sharding": sharding.op5_sharding,
+        "op7_html": html_text.op7_html,
+        "op8_neardup": neardup.op8_neardup,
         "op10_pieces": pieces.op10_pieces,
     }
 
