@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import html_text, neardup, packing, pieces, sharding, topk
+from . import html_text, neardup, packing, pieces, repeats, sharding, syncmers, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1_topk,
         "op2_packing": packing.op2_packing,
+        "op3_repeats": repeats.op3_repeats,
         "op5_sharding": sharding.op5_sharding,
         "op7_html": html_text.op7_html,
         "op8_neardup": neardup.op8_neardup,
+        "op9_syncmers": syncmers.op9_syncmers,
         "op10_pieces": pieces.op10_pieces,
     }
 
