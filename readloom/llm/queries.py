@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, neardup, packing, pieces, repeats, sharding, syncmers, topk
+from . import html_text, neardup, packing, pieces, quality, repeats, sharding, syncmers, tool_calls, topk
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_topk": topk.op1_topk,
         "op2_packing": packing.op2_packing,
         "op3_repeats": repeats.op3_repeats,
+        "op4_tool_calls": tool_calls.op4_tool_calls,
         "op5_sharding": sharding.op5_sharding,
+        "op6_quality": quality.op6_quality,
         "op7_html": html_text.op7_html,
         "op8_neardup": neardup.op8_neardup,
         "op9_syncmers": syncmers.op9_syncmers,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**topk.ORACLE}
+    return topk.ORACLE | tool_calls.ORACLE
