@@ -7,10 +7,10 @@ every chunk is stored under each of its forms with one symbol left out: whatever
 All pairs within the distance meet; with 12 chunks of 4 a pair at similarity 0.8 is beyond it about twice in a
 million, and pairs above less often.
 
-Documents with equal sets are one class. Forms are shared through their smallest class (a star, not all pairs), the
-candidates within the distance are confirmed on the full sets, and links make components. Where the classes that
-share a form are not yet in one component, all their pairs within the distance are compared too, in tiles. So no link
-is lost, copies are never expanded into pairs, and no group meets in one task.
+Documents with equal sets are one class. Every class first meets the smallest class that shares a form with it; pairs
+within the distance are confirmed on the full sets, and links make components. Where classes that share a form are in
+different components still, all pairs within the distance across these components are confirmed too, in tiles of
+bounded size. So no link is lost, copies are never expanded into pairs, and no group meets in one task.
 """
 
 from __future__ import annotations
@@ -25,45 +25,29 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import components
+from .wordhash import mixed, parts, run_hashes, word_hashes
 
 CHUNKS, WIDTH = 12, 4
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 TILE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Texts whose sets a task keeps while it confirms pairs.
+KEPT_SETS = 2000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: str | None, size: int, words: WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; with fewer words, of the whole sequence; else none.
+def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    """By row, the sorted distinct hashes of a text's word shingles; with fewer words, of the whole sequence; else none.
 
     Words are runs without ASCII white space; only A-Z are lower-cased.
     """
-    h = np.fromiter(map(words.__getitem__, (text or "").encode("utf-8", "surrogatepass").lower().split()), np.uint64)
-    if not len(h):
-        return h
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = mixed(out * _ODD + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+    words, first = word_hashes(column, lower=True)
+    codes = run_hashes(words, size)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        out.append(np.unique(codes[a : b - size + 1]) if b - a >= size else run_hashes(words[a:b], b - a) if b > a else codes[:0])
+    return out
 
 
 _SEEDS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * _ODD)
@@ -110,17 +94,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words = WordHashes()
-        for batch in batches:
-            n, h1, h2, sig = [], [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), shingle, words)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                h1.append(int.from_bytes(d[:8], "little", signed=True))
-                h2.append(int.from_bytes(d[8:], "little", signed=True))
-                sig.append(signature(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+        for part in parts(batches, 1):
+            sets = shingle_sets(part.column(1), shingle)
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            h1, h2 = ([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests] for i in (0, 8))
+            sig = [signature(s).tobytes() if len(s) else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     def shared_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,15 +110,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[i : i + 2000], keys.shape[1]))], names=["form", "rep"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, own = WordHashes(), None, None
         for batch in batches:
-            good = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                ta = ta.as_py()
-                if ta != last:
-                    last, own = ta, shingles(ta, shingle, words)
-                good.append(linked(own, shingles(tb.as_py(), shingle, words), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            for part in parts([batch], 3):
+                good = [linked(a, b, percent) for a, b in zip(*(shingle_sets(part.column(i), shingle) for i in (2, 3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["a", "b"])
 
     rows = materialize(source.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     known = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -147,7 +121,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     held = classes.select("rep", "sig").mapInArrow(shared_forms, "form long, rep long")
     buckets = materialize(held.groupBy("form").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     crowds = materialize(held.join(buckets.filter("n > 2").select("form", "hub", "n"), "form"), "crowds")
-    pairs = buckets.filter("n = 2").select(F.col("hub").alias("a"), F.col("far").alias("b")).unionByName(crowds.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    # First each class meets the smallest class of any form it has: one pair a class.
+    stars = buckets.filter("n = 2").select("hub", F.col("far").alias("rep")).unionByName(crowds.select("hub", "rep"))
+    pairs = stars.filter("hub != rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs within the distance whose sizes allow the similarity."""
@@ -170,39 +146,80 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
         return materialize(met.mapInArrow(confirm, "a long, b long"), f"{tag}-links")
 
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
+        """The links between classes of different components in one tile, as far as they join what is not joined."""
+        part = part.drop_duplicates(["rep", "text"]).sort_values("rep")
+        rep, root, size, own, large, text = (part[c].to_numpy() for c in ("rep", "root", "size", "own", "large", "text"))
+        sig = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, SYMBOLS)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(x: int) -> np.ndarray:
+            if x not in sets:
+                if len(sets) > KEPT_SETS:
+                    sets.clear()
+                sets[x] = shingle_sets(pa.array([text[x]]), shingle)[0]
+            return sets[x]
+
+        a, b = [], []
+        top_cell = part["kind"].iloc[0] == "top"
+        side = large if top_cell else own
+        two = top_cell or part["i"].iloc[0] != part["j"].iloc[0]
+        for x in range(len(rep) - 1):
+            fit = (root[x + 1 :] != root[x]) & (100 * np.minimum(size[x + 1 :], size[x]) >= percent * np.maximum(size[x + 1 :], size[x]))
+            if two:
+                fit &= side[x + 1 :] != side[x]
+            hit = np.nonzero(fit)[0] + x + 1
+            hit = hit[(sig[hit] != sig[x]).sum(axis=1) <= DISTANCE]
+            for y in hit.tolist():
+                rx, ry = top(int(root[x])), top(int(root[y]))
+                if rx != ry and linked(set_of(x), set_of(y), percent):
+                    up[max(rx, ry)] = min(rx, ry)
+                    a.append(rep[x])
+                    b.append(rep[y])
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
     links = confirmed(pairs, "star")
     roots = materialize(components(links), "roots")
 
-    # Forms whose classes lie in several components: their other pairs, in tiles of at most 2 * TILE classes.
-    placed = crowds.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    apart = placed.groupBy("form").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("form")
-    apart = materialize(placed.join(materialize(apart, "apart"), "form").select("form", "rep", "root", "n"), "apart-rows")
+    # Classes that share a form with a class of another component: all their pairs across components, in tiles. The
+    # tiles are of groups of components that forms tie together; each holds the texts, so only links come out.
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    placed = stars.filter("hub != rep").join(root("rep"), "rep", "left").join(root("hub"), "hub", "left")
+    placed = placed.withColumns({"rep_root": F.coalesce("rep_root", "rep"), "hub_root": F.coalesce("hub_root", "hub")})
+    apart = materialize(placed.filter("rep_root != hub_root").select(F.col("hub_root").alias("a"), F.col("rep_root").alias("b")).distinct(), "apart")
     if not apart.isEmpty():
-        tiles = F.ceil(F.col("n") / TILE).cast("long")
-        own = F.pmod(F.xxhash64("rep"), tiles)
-        spread = (
-            apart.join(classes.select("rep", "sig", F.col("n").alias("size")), "rep")
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-            .select("form", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "sig", "size")
-        )
-
-        def tile(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.drop_duplicates("rep").sort_values("rep")
-            rep, root, size = (part[c].to_numpy() for c in ("rep", "root", "size"))
-            sig = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, SYMBOLS)
-            a, b = [], []
-            for x in range(len(rep) - 1):
-                rest = slice(x + 1, None)
-                fit = (root[rest] != root[x]) & (100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x]))
-                if fit.any():
-                    hit = np.nonzero(fit)[0]
-                    hit = hit[(sig[rest][hit] != sig[x]).sum(axis=1) <= DISTANCE]
-                    a += [rep[x]] * len(hit)
-                    b += rep[rest][hit].tolist()
-            return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
-
-        more = confirmed(spread.groupBy("form", "i", "j").applyInPandas(tile, "a long, b long"), "rest")
+        groups = materialize(components(apart), "groups")
+        # Of these components, the classes that do share a form with another one.
+        rooted = crowds.select("form", "rep").join(root("rep"), "rep", "left").withColumn("root", F.coalesce("rep_root", "rep"))
+        mixed_forms = materialize(rooted.groupBy("form").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("form"), "mixed-forms")
+        ends_of = placed.filter("rep_root != hub_root")
+        mine = rooted.join(mixed_forms, "form").select("rep", "root").unionByName(ends_of.select("rep", F.col("rep_root").alias("root"))).unionByName(ends_of.select(F.col("hub").alias("rep"), F.col("hub_root").alias("root")))
+        mine = mine.distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("unit")), "root")
+        mine = materialize(mine.join(classes.select("rep", "sig", F.col("n").alias("size")).dropDuplicates(["rep"]), "rep"), "apart-classes")
+        # The largest component of a group is never compared with itself: it is cut into tiles that all others visit.
+        crowd = mine.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("n"))
+        crowd = materialize(crowd.groupBy("unit").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select("unit", F.col("top.root").alias("top_root"), F.col("top.n").alias("n_top"), F.col("all")), "crowd")
+        last = lambda n: F.greatest(F.ceil(n / TILE).cast("long"), F.lit(1).cast("long")) - 1
+        met = mine.join(crowd, "unit").withColumn("large", F.col("root") == F.col("top_root"))
+        met = met.withColumns({"last_top": last(F.col("n_top")), "last_rest": last(F.col("all") - F.col("n_top"))})
+        met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("large"), F.col("last_top")).otherwise(F.col("last_rest")) + 1))
+        zero = F.lit(0).cast("long")
+        cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+        to_rest = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("top", F.col("own"), t))
+        to_top = F.transform(F.sequence(zero, F.col("last_top")), lambda t: cell("top", t, F.col("own")))
+        to_own = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("rest", F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
+        cells = F.when(F.col("large"), to_rest).otherwise(F.concat(to_top, to_own))
+        texts = materialize(source.join(mine.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "apart-texts")
+        spread = met.join(texts.withColumnRenamed("doc_id", "rep"), "rep").withColumn("cell", F.explode(cells))
+        spread = spread.select("unit", "cell.*", "own", "large", "rep", "root", "sig", "size", "text")
+        more = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(tile, "a long, b long"), "rest-links")
         roots = materialize(components(links.unionByName(more)), "roots")
 
     ends = materialize(classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "class-roots")

@@ -21,41 +21,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .neardup import WordHashes, mixed
+from .wordhash import parts, run_hashes, sliding, whole, word_hashes
 
 LINE, WINDOW = 25, 26
 RUN = LINE + WINDOW - 1
 #: A table of so many documents' positions is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_POSITIONS = 500_000, 4_000_000
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]), dtype=np.uint64)[:n]
+def minima(lines: np.ndarray, ok: np.ndarray, full: np.ndarray, window: int) -> np.ndarray:
+    """The places of lines that are the smallest of some window of lines in their row (all of equal ones).
 
+    ok: which lines lie in one row; full: which windows do.
 
-def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each ``size`` words in a row, from prefix sums of a polynomial modulo 2^64."""
-    if len(h) < size:
-        return np.empty(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h) * powers(_BASE, len(h)), dtype=np.uint64)])
-    return mixed((sums[size:] - sums[:-size]) * powers(_BACK, len(h) - size + 1))
-
-
-def word_hashes(text: str | None, words: WordHashes) -> np.ndarray:
-    return np.fromiter(map(words.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()), np.uint64)
-
-
-def minima(lines: np.ndarray, window: int) -> np.ndarray:
-    """The places of the smallest hash (the first of equal ones) of each window of lines."""
-    if len(lines) < window:
+    A line is the smallest of a window just when the largest of the minima of all windows around it is its own hash.
+    """
+    n = len(lines) - window + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(lines, window)
-    found = [np.unique(view[i : i + 4096].argmin(axis=1) + np.arange(i, min(i + 4096, len(view)))) for i in range(0, len(view), 4096)]
-    return np.unique(np.concatenate(found))
+    low = sliding(lines, window, np.minimum)
+    low[~full] = 0
+    around = np.zeros(n + 2 * (window - 1), np.uint64)
+    around[window - 1 : window - 1 + n] = low
+    return np.nonzero((sliding(around, window, np.maximum) == lines) & ok)[0]
 
 
 def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
@@ -68,32 +57,49 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
     """
     size = line + window - 1
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k_id"), F.col("text").cast("string").alias("k_text"))
-    source = source.filter("k_text is not null").withColumn("k_hash", F.xxhash64("k_text"))
+    source = source.filter("k_text is not null")
+    # Only where a doc_id repeats does a document need its text's hash beside it.
+    alone = source.groupBy("k_id").count().filter("count > 1").isEmpty()
+    tag = (lambda text: F.lit(0).cast("long")) if alone else (lambda text: F.xxhash64(text))
+    source = source.withColumn("k_hash", tag(F.col("k_text")))
+    # Equal texts: all but the first lose every word, so only the first takes part in what follows.
+    digest = F.unhex(F.md5(F.encode("k_text", "UTF-8")))
+    equal = materialize(source.groupBy(digest.alias("digest")).agg(F.min("k_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "head"), "equal-texts")
+    copies = source.select("k_id", "k_hash", digest.alias("digest")).join(equal, "digest").filter("k_id != head")
+    copies = materialize(copies.select("k_id", "k_hash").distinct(), "copies")
+    few = copies.count() <= BROADCAST_DOCS
+    source = source.join(F.broadcast(copies) if few else copies, ["k_id", "k_hash"], "left_anti").select("k_id", "k_text", "k_hash")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for key, text, key2 in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                lines = run_hashes(word_hashes(text.as_py(), words), line)
-                at = minima(lines, window)
-                for x, v in zip(out, (lines[at].view(np.int64), np.full(len(at), key, np.int64), np.full(len(at), key2, np.int64), at.astype(np.int32)), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["print", "k_id", "k_hash", "place"])
+        for part in parts(batches, 1):
+            words, first = word_hashes(part.column(1))
+            lines = run_hashes(words, line)
+            at = minima(lines, whole(first, line), whole(first, size), window)
+            row = np.searchsorted(first, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines[at].view(np.int64)), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array((at - first[row]).astype(np.int32))],
+                names=["print", "k_id", "k_hash", "place"],
+            )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            for key, text, key2, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                runs = run_hashes(word_hashes(text.as_py(), words), size)
-                hold = np.zeros(len(runs) + 1, np.int64)  # runs that hold a repeated line
-                at = np.array(places.values, np.int64)
-                np.add.at(hold, np.maximum(at - window + 1, 0), 1)
-                np.add.at(hold, np.minimum(at, len(runs) - 1) + 1, -1)
-                at = np.nonzero(np.cumsum(hold)[:-1])[0]
-                for i in range(0, len(at), 50_000):
-                    part = at[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(runs[part].view(np.int64)), pa.array(np.full(len(part), key, np.int64)), pa.array(np.full(len(part), key2, np.int64)), pa.array(part.astype(np.int32))], names=["run", "k_id", "k_hash", "place"])
+        for part in parts(batches, 1):
+            words, first = word_hashes(part.column(1))
+            runs, inside = run_hashes(words, size), whole(first, size)
+            places = part.column(3)
+            counts = np.diff(np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1])
+            begin = np.repeat(first[:-1], counts)
+            at = np.array(places.flatten(), np.int64) + begin
+            hold = np.zeros(len(runs) + 1, np.int64)  # runs that hold a repeated line
+            np.add.at(hold, np.minimum(np.maximum(at - window + 1, begin), len(runs)), 1)
+            np.add.at(hold, np.minimum(at + 1, len(runs)), -1)
+            at = np.nonzero((np.cumsum(hold)[:-1] > 0) & inside)[0]
+            row = np.searchsorted(first, at, side="right") - 1
+            for i in range(0, len(at), 100_000):
+                a, r = at[i : i + 100_000], row[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(runs[a].view(np.int64)), part.column(0).take(pa.array(r)), part.column(2).take(pa.array(r)), pa.array((a - first[r]).astype(np.int32))],
+                    names=["run", "k_id", "k_hash", "place"],
+                )
 
     def checked(positions: DataFrame) -> DataFrame:
         """Positions by document, sent to all executors only while they are few."""
@@ -113,9 +119,11 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
-            for text, places in zip(batch.column("text"), batch.column("k_places"), strict=True):
+            for text, places, copy in zip(batch.column("text"), batch.column("k_places"), batch.column("k_copy").to_pylist(), strict=True):
                 text = text.as_py()
                 stretches: list[dict] = []
+                if copy and (n := len(_WORD.findall(text))) >= size:
+                    stretches.append({"first": 0, "last": n - 1})
                 for p in places.as_py() or ():
                     if stretches and p <= stretches[-1]["last"] + 1:
                         stretches[-1]["last"] = p + size - 1
@@ -130,15 +138,17 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
                     text = "".join([*kept, text[at:]])
                 texts.append(text)
                 gone.append(stretches)
-            columns = {n: batch.column(n) for n in batch.schema.names if n != "k_places"}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("k_places", "k_copy")}
             columns |= {"text": pa.array(texts, pa.string()), "runs": pa.array(gone, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     plain = docs.drop("runs").withColumn("text", F.col("text").cast("string"))
     names = [*plain.columns, "runs"]
     schema = plain.withColumn("runs", F.lit(None).cast("array<struct<first:int,last:int>>")).schema
-    keyed = plain.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "k_hash": F.xxhash64("text")})
-    met = keyed.join(checked(cuts).withColumnRenamed("places", "k_places"), ["k_id", "k_hash"], "left").drop("k_id", "k_hash")
+    keyed = plain.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "k_hash": tag(F.col("text"))})
+    met = keyed.join(checked(cuts).withColumnRenamed("places", "k_places"), ["k_id", "k_hash"], "left")
+    marked = copies.withColumn("k_copy", F.lit(True))
+    met = met.join(F.broadcast(marked) if few else marked, ["k_id", "k_hash"], "left").drop("k_id", "k_hash")
     return met.mapInArrow(cut, schema)
 
 
