@@ -101,34 +101,40 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
                     names=["run", "k_id", "k_hash", "place"],
                 )
 
-    def checked(positions: DataFrame) -> DataFrame:
-        """Positions by document, sent to all executors only while they are few."""
-        few = positions.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    def checked(positions: DataFrame, column: str) -> DataFrame:
+        """A table by document, sent to all executors only while it is small."""
+        few = positions.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
         return F.broadcast(positions) if few[0] <= BROADCAST_DOCS and few[1] <= BROADCAST_POSITIONS else positions
 
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places of runs as stretches of words."""
+        for batch in batches:
+            out = []
+            for places in batch.column(2):
+                p = np.array(places.values, np.int64)
+                new = np.nonzero(np.diff(p) > size)[0]
+                out.append([{"first": a, "last": b + size - 1} for a, b in zip(p[np.concatenate([[0], new + 1])].tolist(), p[np.concatenate([new, [len(p) - 1]])].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["k_id", "k_hash", "k_runs"])
+
     prints = materialize(source.mapInArrow(place, "print long, k_id long, k_hash long, place int"), "prints")
     twice = materialize(prints.groupBy("print").count().filter("count > 1").select("print"), "repeated-prints")
     spots = materialize(prints.join(twice, "print").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set("place")).alias("places")), "spots")
-    runs = source.join(checked(spots), ["k_id", "k_hash"]).select("k_id", "k_text", "k_hash", "places").mapInArrow(extend, "run long, k_id long, k_hash long, place int")
+    runs = source.join(checked(spots, "places"), ["k_id", "k_hash"]).select("k_id", "k_text", "k_hash", "places").mapInArrow(extend, "run long, k_id long, k_hash long, place int")
     first = materialize(runs.groupBy("run").agg(F.min(F.struct("k_id", "k_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first"), "first-runs")
     here = F.struct("k_id", "k_hash", "place")
     same = (F.col("k_id") == F.col("first.k_id")) & (F.col("k_hash") == F.col("first.k_hash"))
     later = runs.join(first, "run").filter((here > F.col("first")) & (~same | (F.col("place") >= F.col("first.place") + size)))
-    cuts = materialize(later.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set("place")).alias("places")), "cuts")
+    cuts = later.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    cuts = materialize(cuts.mapInArrow(stretches, "k_id long, k_hash long, k_runs array<struct<first:int,last:int>>"), "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
-            for text, places, copy in zip(batch.column("text"), batch.column("k_places"), batch.column("k_copy").to_pylist(), strict=True):
+            for text, runs_of, copy in zip(batch.column("text"), batch.column("k_runs").to_pylist(), batch.column("k_copy").to_pylist(), strict=True):
                 text = text.as_py()
-                stretches: list[dict] = []
+                stretches = runs_of or []
                 if copy and (n := len(_WORD.findall(text))) >= size:
-                    stretches.append({"first": 0, "last": n - 1})
-                for p in places.as_py() or ():
-                    if stretches and p <= stretches[-1]["last"] + 1:
-                        stretches[-1]["last"] = p + size - 1
-                    else:
-                        stretches.append({"first": p, "last": p + size - 1})
+                    stretches = [{"first": 0, "last": n - 1}]
                 if stretches:
                     spans = [m.span() for m in _WORD.finditer(text)]
                     kept, at = [], 0
@@ -138,7 +144,7 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
                     text = "".join([*kept, text[at:]])
                 texts.append(text)
                 gone.append(stretches)
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("k_places", "k_copy")}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("k_runs", "k_copy")}
             columns |= {"text": pa.array(texts, pa.string()), "runs": pa.array(gone, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
@@ -146,7 +152,7 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
     names = [*plain.columns, "runs"]
     schema = plain.withColumn("runs", F.lit(None).cast("array<struct<first:int,last:int>>")).schema
     keyed = plain.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "k_hash": tag(F.col("text"))})
-    met = keyed.join(checked(cuts).withColumnRenamed("places", "k_places"), ["k_id", "k_hash"], "left")
+    met = keyed.join(checked(cuts, "k_runs"), ["k_id", "k_hash"], "left")
     marked = copies.withColumn("k_copy", F.lit(True))
     met = met.join(F.broadcast(marked) if few else marked, ["k_id", "k_hash"], "left").drop("k_id", "k_hash")
     return met.mapInArrow(cut, schema)
