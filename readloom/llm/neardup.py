@@ -34,6 +34,8 @@ TILE = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts whose sets a task keeps while it confirms pairs.
 KEPT_SETS = 2000
+#: A table of at most so many ids is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -138,10 +140,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
         return met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b").mapInArrow(within, "a long, b long")
 
+    def texts_of(ids: DataFrame, tag: str) -> DataFrame:
+        ids = materialize(ids.distinct(), f"{tag}-ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return materialize(source.join(ids, "doc_id", "left_semi"), f"{tag}-texts")
+
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = materialize(near(pairs), f"{tag}-pairs")
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = materialize(source.join(wanted, "doc_id", "left_semi"), f"{tag}-texts")
+        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+        texts = texts_of(wanted, tag)
         side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
         return materialize(met.mapInArrow(confirm, "a long, b long"), f"{tag}-links")
@@ -216,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         to_top = F.transform(F.sequence(zero, F.col("last_top")), lambda t: cell("top", t, F.col("own")))
         to_own = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("rest", F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
         cells = F.when(F.col("large"), to_rest).otherwise(F.concat(to_top, to_own))
-        texts = materialize(source.join(mine.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "apart-texts")
+        texts = texts_of(mine.select(F.col("rep").alias("doc_id")), "apart")
         spread = met.join(texts.withColumnRenamed("doc_id", "rep"), "rep").withColumn("cell", F.explode(cells))
         spread = spread.select("unit", "cell.*", "own", "large", "rep", "root", "sig", "size", "text")
         more = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(tile, "a long, b long"), "rest-links")
