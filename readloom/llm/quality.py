@@ -130,13 +130,20 @@ def probabilities(found: DataFrame) -> DataFrame:
     return now.select("gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` with perplexity (null without text). model: (gram, logp) with all their n-grams."""
+def sent_model(model: DataFrame):
+    """The model as sorted arrays on every executor; None if it is too large for that. It comes as Arrow, 16 bytes a row."""
     if model.count() > BROADCAST_GRAMS:
+        return None
+    rows = model.toArrow()
+    codes, logp = rows.column("gram").to_numpy(), rows.column("logp").to_numpy()
+    order = np.argsort(codes, kind="stable")
+    return model.sparkSession.sparkContext.broadcast((codes[order], logp[order]))
+
+
+def perplexities(docs: DataFrame, model: DataFrame, sent) -> DataFrame:
+    """``docs`` with perplexity (null without text). model: (gram, logp) with all their n-grams; sent: sent_model of it."""
+    if sent is None:
         return _perplexities_by_join(docs, model)
-    known = model.toPandas().sort_values("gram")
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((known["gram"].to_numpy(np.int64), known["logp"].to_numpy(np.float64)))
     plain = docs.drop("perplexity")
     at = plain.columns.index("text")
 
@@ -189,9 +196,10 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, min_c
     marked = marked.select("text", "lang", F.coalesce("t", F.lit(False)).alias("trusted"))
     found = materialize(count_grams(marked), "grams")
     model = materialize(probabilities(found), "model")
-    own = perplexities(marked.filter(F.col("trusted") & (F.length("text") >= min_chars)).select("text", "lang"), model)
+    sent = sent_model(model)
+    own = perplexities(marked.filter(F.col("trusted") & (F.length("text") >= min_chars)).select("text", "lang"), model, sent)
     bars = materialize(own.groupBy(F.coalesce("lang", F.lit("")).alias("b_lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")), "thresholds")
-    scored = perplexities(docs, model)
+    scored = perplexities(docs, model, sent)
     few = bars.count() <= BROADCAST_IDS
     scored = scored.join(F.broadcast(bars) if few else bars, F.coalesce("lang", F.lit("")) == F.col("b_lang"), "left").drop("b_lang")
     short = F.length("text") < min_chars
