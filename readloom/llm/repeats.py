@@ -60,12 +60,14 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
     source = source.filter("k_text is not null")
     # Only where a doc_id repeats does a document need its text's hash beside it.
     alone = source.groupBy("k_id").count().filter("count > 1").isEmpty()
+    span = source.agg(F.min("k_id"), F.max("k_id"), F.max(F.octet_length("k_text"))).first()
     tag = (lambda text: F.lit(0).cast("long")) if alone else (lambda text: F.xxhash64(text))
     source = source.withColumn("k_hash", tag(F.col("k_text")))
     # Equal texts: all but the first lose every word, so only the first takes part in what follows.
     digest = F.unhex(F.md5(F.encode("k_text", "UTF-8")))
-    equal = materialize(source.groupBy(digest.alias("digest")).agg(F.min("k_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "head"), "equal-texts")
-    copies = source.select("k_id", "k_hash", digest.alias("digest")).join(equal, "digest").filter("k_id != head")
+    digests = materialize(source.select("k_id", "k_hash", digest.alias("digest")), "digests")
+    equal = materialize(digests.groupBy("digest").agg(F.min("k_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "head"), "equal-texts")
+    copies = digests.join(equal, "digest").filter("k_id != head")
     copies = materialize(copies.select("k_id", "k_hash").distinct(), "copies")
     few = copies.count() <= BROADCAST_DOCS
     source = source.join(F.broadcast(copies) if few else copies, ["k_id", "k_hash"], "left_anti").select("k_id", "k_text", "k_hash")
@@ -112,19 +114,22 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
             out = []
             for places in batch.column(2):
                 p = np.array(places.values, np.int64)
-                new = np.nonzero(np.diff(p) > size)[0]
+                new = np.nonzero(np.diff(p) > size)[0]  # equal rows give equal places
                 out.append([{"first": a, "last": b + size - 1} for a, b in zip(p[np.concatenate([[0], new + 1])].tolist(), p[np.concatenate([new, [len(p) - 1]])].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["k_id", "k_hash", "k_runs"])
 
     prints = materialize(source.mapInArrow(place, "print long, k_id long, k_hash long, place int"), "prints")
     twice = materialize(prints.groupBy("print").count().filter("count > 1").select("print"), "repeated-prints")
-    spots = materialize(prints.join(twice, "print").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set("place")).alias("places")), "spots")
+    spots = materialize(prints.join(twice, "print").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("place")).alias("places")), "spots")
     runs = source.join(checked(spots, "places"), ["k_id", "k_hash"]).select("k_id", "k_text", "k_hash", "places").mapInArrow(extend, "run long, k_id long, k_hash long, place int")
-    first = materialize(runs.groupBy("run").agg(F.min(F.struct("k_id", "k_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first"), "first-runs")
-    here = F.struct("k_id", "k_hash", "place")
-    same = (F.col("k_id") == F.col("first.k_id")) & (F.col("k_hash") == F.col("first.k_hash"))
-    later = runs.join(first, "run").filter((here > F.col("first")) & (~same | (F.col("place") >= F.col("first.place") + size)))
-    cuts = later.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    # The order of occurrences: in one long where ids and places fit, which aggregates without a sort.
+    fits = alone and span[0] is not None and 0 <= span[0] and span[1] < 1 << 38 and span[2] < 1 << 24
+    here = F.shiftleft("k_id", 24).bitwiseOR(F.col("place").cast("long")) if fits else F.struct("k_id", "k_hash", "place")
+    first = materialize(runs.groupBy("run").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first"), "first-runs")
+    first_place = F.col("first").bitwiseAND(F.lit((1 << 24) - 1)) if fits else F.col("first.place")
+    same = F.shiftright("first", 24) == F.col("k_id") if fits else (F.col("k_id") == F.col("first.k_id")) & (F.col("k_hash") == F.col("first.k_hash"))
+    later = runs.join(first, "run").filter((here > F.col("first")) & (~same | (F.col("place") >= first_place + size)))
+    cuts = later.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("place")).alias("places"))
     cuts = materialize(cuts.mapInArrow(stretches, "k_id long, k_hash long, k_runs array<struct<first:int,last:int>>"), "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
