@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .wordhash import parts
 
 ORDER, BITS = 5, 12
 VOCABULARY = 1 << BITS
@@ -49,16 +50,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], lengths
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of batches with about ``size`` characters of text."""
-    for batch in batches:
-        texts = [t.as_py() or "" for t in batch.column(text_at)]
-        start = total = 0
-        for i, t in enumerate(texts):
-            total += len(t)
-            if total >= size or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, total = i + 1, 0
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with a bounded size of text, and their texts."""
+    for part in parts(batches, text_at):
+        yield part, [t.as_py() or "" for t in part.column(text_at)]
 
 
 def count_grams(docs: DataFrame) -> DataFrame:

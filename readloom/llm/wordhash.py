@@ -86,7 +86,7 @@ def sliding(x: np.ndarray, window: int, best) -> np.ndarray:
     return best(x[: len(x) - (window - span)], x[window - span :]) if window > span else x
 
 
-def parts(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 600_000) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``size`` bytes of text, at least a row each."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
