@@ -34,7 +34,8 @@ def test_collinear_hits_make_one_overlap():
 
 def test_read_alignment_fixture(spark):
     e = spark.createDataFrame([(0, 101, 0, 120, 500, 7, 1, 2, 7001, 10, 130, 1000, 60, 0.01), (1, 101, 130, 260, 500, 8, 2, 3, 8001, 20, 150, 1000, 70, 0.02)], SCHEMAS["edge-overlap"])
-    assert rows(read_alignments(e, GraphParams())) == [(0, 0, 101, 0, 120, 500, 7, 7001, 10, 130, 1000, 60, 0.01), (0, 1, 101, 130, 260, 500, 8, 8001, 20, 150, 1000, 70, 0.02)]
+    d = spark.createDataFrame([(101, 0, 0.015), (101, 1, 0.5)], "read_id long, chain_id int, divergence double")
+    assert rows(read_alignments(e, GraphParams(), divergence=d)) == [(0, 0, 101, 0, 120, 500, 7, 7001, 10, 130, 1000, 60, 0.01), (0, 1, 101, 130, 260, 500, 8, 8001, 20, 150, 1000, 70, 0.02)]
 
 
 def test_planner_fixture(spark):
