@@ -87,7 +87,8 @@ def selection_plan(spark, sf):
 
 
 def ledger_accounting(spark, sf):
-    return planners.accounting(table(spark, sf, "events").select("user_id", "event_type"), "user_id", "event_type")
+    rows = planners.accounting(table(spark, sf, "events").select("user_id", "event_type"), "user_id", "event_type")
+    return rows.withColumns({"user_id": F.coalesce("user_id", F.lit(-1)), "event_type": F.coalesce("event_type", F.lit("all"))})
 
 
 def divergence_windows(spark, sf):
@@ -183,7 +184,7 @@ SELECT edge_seq_id, {_CODE.format('s')} AS code, s AS decoded, least(s, {_RC.for
     WHEN s.query_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) THEN 'missing_validation'
     WHEN supported < 2 THEN 'insufficient_supported_observations' END AS reason FROM stats s)
 SELECT *, CAST(row_number() OVER (ORDER BY reason IS NOT NULL, later_ms DESC, supported DESC, first_place, abs(query_id), query_id) AS INTEGER) AS rank FROM r""",
-        "ledger_accounting": "SELECT user_id, event_type, CAST(grouping(user_id, event_type) AS BIGINT) AS level, count(*) AS n FROM events GROUP BY GROUPING SETS ((user_id), (event_type), (user_id, event_type))",
+        "ledger_accounting": "SELECT coalesce(user_id, -1) AS user_id, coalesce(event_type, 'all') AS event_type, CAST(grouping(user_id, event_type) AS BIGINT) AS level, count(*) AS n FROM events GROUP BY GROUPING SETS ((user_id), (event_type), (user_id, event_type))",
         "divergence_windows": """SELECT id, stretch, begin, length, value FROM (
   SELECT l_suppkey AS id, CAST(floor(l_partkey / 100.0) AS BIGINT) AS stretch, l_partkey AS begin, CAST(l_quantity AS BIGINT) AS length, l_orderkey AS value,
          row_number() OVER (PARTITION BY l_suppkey, floor(l_partkey / 100.0) ORDER BY l_quantity DESC, l_partkey, l_orderkey) AS r FROM lineitem) WHERE r = 1""",
