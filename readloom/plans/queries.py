@@ -9,7 +9,7 @@ from ..functions import dna
 from ..operators import candidates as C
 from ..operators import chains
 from ..sources.tables import SEQUENCES_SQL, edges, reads, table
-from . import diffs, planners
+from . import diffs, gates, planners
 
 K, MOST = 17, 8
 PARAMS = chains.ChainParams(k=K, min_overlap=50, check_overhang=False, only_max_ext=True)
@@ -121,8 +121,32 @@ def shape_groups(spark, sf):
     return o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
+def reason_counts(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_linenumber", "l_returnflag")
+    return gates.reason_counts(gates.with_reasons(li, {"quantity": "l_quantity > 45", "number": "l_linenumber > 4", "returned": "l_returnflag = 'R'"}))
+
+
+def ownership(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    chosen = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    rows = gates.ownership(li, li.filter("l_returnflag = 'R'"), chosen, ["l_orderkey", "l_linenumber"], "l_orderkey")
+    return rows.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def edge_states(spark, sf):
+    li = table(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).alias("edge_id"))
+    live = table(spark, sf, "region").select(F.col("r_regionkey").alias("edge_id"))
+    return gates.edge_state(li, live).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def field_differences(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").dropDuplicates(["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+    other = li.withColumns({"l_suppkey": F.col("l_suppkey") + F.when(F.col("l_linenumber") == 3, 1).otherwise(0), "l_partkey": F.col("l_partkey") + F.when(F.col("l_linenumber") == 2, 5).otherwise(1)})
+    return gates.field_differences(li, other, ["l_orderkey", "l_linenumber"], ["l_suppkey", "l_partkey"], 1)
+
+
 def queries() -> dict:
-    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, chain_inputs, read_alignments, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups]
+    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, chain_inputs, read_alignments, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
     return {f.__name__: f for f in found}
 
 
@@ -195,4 +219,13 @@ SELECT (SELECT count(*) FROM a) AS left_records, (SELECT count(*) FROM b) AS rig
 SELECT CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' ELSE 'matched' END AS state, count(*) AS n FROM a FULL JOIN b USING (l_orderkey, l_linenumber) GROUP BY 1""",
         "validation_ledger": "SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_returnflag <> 'R') AS kept, max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY 1",
         "shape_groups": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1, 2",
+        "reason_counts": """SELECT * FROM (SELECT 'quantity' AS reason, count(*) AS n FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT 'number', count(*) FROM lineitem WHERE l_linenumber > 4
+UNION ALL SELECT 'returned', count(*) FROM lineitem WHERE l_returnflag = 'R') WHERE n > 0""",
+        "ownership": """SELECT CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'kept'
+  WHEN (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_returnflag = 'R') THEN 'replaced' ELSE 'selected_missing' END AS decision, count(*) AS n FROM lineitem GROUP BY 1""",
+        "edge_states": "SELECT CASE WHEN l_linenumber = 1 THEN 'none' WHEN l_linenumber - 1 IN (SELECT r_regionkey FROM region) THEN 'live' ELSE 'unresolved' END AS state, count(*) AS n FROM lineitem GROUP BY 1",
+        "field_differences": """WITH a AS (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem), m AS (
+  SELECT abs(a.l_suppkey - b.l_suppkey - CASE WHEN b.l_linenumber = 3 THEN 1 ELSE 0 END) AS s, abs(a.l_partkey - b.l_partkey - CASE WHEN b.l_linenumber = 2 THEN 5 ELSE 1 END) AS p
+  FROM a JOIN a b USING (l_orderkey, l_linenumber))
+SELECT 'l_suppkey' AS field, count(*) FILTER (WHERE s > 1) AS n FROM m UNION ALL SELECT 'l_partkey', count(*) FILTER (WHERE p > 1) FROM m""",
     }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from readloom.functions import dna
 from readloom.operators.candidates import kmer_join
 from readloom.operators.chains import ChainParams, GraphParams, overlaps_of, read_alignments
-from readloom.plans import diffs, planners
+from readloom.plans import diffs, gates, planners
+from readloom.sources import artifacts
 from readloom.sources.records import SCHEMAS, violations
 
 
@@ -54,3 +55,33 @@ def test_diff_catches_one_lost_row(spark):
 def test_violations(spark):
     df = spark.createDataFrame([(1, 0, 5, 2, 0, "+"), (0, 0, 5, 2, 0, "+"), (1, 0, 5, 2, 0, "x")], SCHEMAS["candidate-record-v1"])
     assert sorted(r.broken for r in violations(df, "candidate-record-v1").collect()) == ["id", "strand"]
+
+
+def test_artifacts(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">r1 x\nacg\nTT\n\n>r2\r\nGG\r\n>r3\n")
+    assert rows(artifacts.read_fasta(spark, str(tmp_path / "a.fasta"))) == [("r1 x", "ACGTT"), ("r2", "GG"), ("r3", "")]
+    (tmp_path / "a.gfa").write_text("H\tVN \n\nS\t1\n")
+    assert rows(artifacts.read_plain(spark, str(tmp_path / "a.gfa"))) == [("H\tVN",), ("S\t1",)]
+
+
+def test_binary_payload(spark, tmp_path):
+    import numpy as np
+
+    body = np.zeros(2, artifacts.RECORD)
+    body["query_id"], body["edge_len"], body["seq_divergence"] = [7, -8], [10, 20], [0.5, 0.25]
+    head = np.zeros(1, artifacts.HEADER)
+    head["magic"], head["header_bytes"], head["record_bytes"], head["records"], head["mode"] = artifacts.MAGIC, 64, 92, 2, 1
+    raw = head.tobytes() + body.tobytes()
+    assert artifacts.payload_fault(raw) is None
+    assert [artifacts.payload_fault(x) for x in (raw[:10], raw[:-1], b"X" + raw[1:])] == ["header", "length", "magic"]
+    (tmp_path / "p.bin").write_bytes(raw)
+    got = artifacts.read_payloads(spark, str(tmp_path / "p.bin")).select("query_id", "edge_len", "seq_divergence")
+    assert rows(got) == [(-8, 20, 0.25), (7, 10, 0.5)]
+
+
+def test_gates(spark):
+    r = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "q long, e long, v string")
+    got = gates.ownership(r, r.filter("e = 0"), r.filter("q = 1"), ["q", "e"], "q")
+    assert rows(got.select("v", "decision")) == [("a", "replaced"), ("b", "selected_missing"), ("c", "kept")]
+    runs = spark.createDataFrame([("hot", 1, 2.0, 3.0), ("hot", 8, 9.0, 3.0), ("single", 8, 1.0, 3.0)], "mode string, size int, control_ms double, ms double")
+    assert rows(gates.crossover(runs)) == [("hot", 8), ("single", None)]
