@@ -36,8 +36,8 @@ def plan_selection(stats: DataFrame, passed: DataFrame, failed: DataFrame, min_o
 
 def accounting(rows: DataFrame, query: str, edge: str) -> DataFrame:
     """Row counts by query, by edge and by both, in one pass of grouping sets; each level sums to all rows."""
-    rows.createOrReplaceTempView("accounting_rows")
-    return rows.sparkSession.sql(f"SELECT {query}, {edge}, grouping_id() AS level, count(*) AS n FROM accounting_rows GROUP BY GROUPING SETS (({query}), ({edge}), ({query}, {edge}))")
+    q, e = F.col(query), F.col(edge)
+    return rows.groupingSets([[q], [e], [q, e]], q, e).agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 def longest_by_window(rows: DataFrame, width: int) -> DataFrame:
