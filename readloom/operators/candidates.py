@@ -14,8 +14,8 @@ def kmer_windows(reads: DataFrame, k: int, id_column: str = "read_id") -> DataFr
     # Before rows multiply, reads are dealt out evenly: a file of few partitions would leave the windows to few tasks.
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     reads = reads.select(id_column, "seq").repartition(width, id_column)
-    raw = reads.filter(F.length("seq") >= k).select(id_column, F.encode("seq", "US-ASCII").alias("raw"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    return raw.select(id_column, F.col("pos").cast("long").alias("pos"), F.decode(F.substring("raw", F.col("pos") + 1, F.lit(k)), "US-ASCII").alias("kmer"))
+    raw = reads.filter(F.length("seq") >= k).select(id_column, F.col("seq").cast("binary").alias("raw"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
+    return raw.select(id_column, F.col("pos").cast("long").alias("pos"), F.substring("raw", F.col("pos") + 1, F.lit(k)).cast("string").alias("kmer"))
 
 
 def kmer_index(targets: DataFrame, k: int, id_column: str = "edge_seq_id") -> DataFrame:
