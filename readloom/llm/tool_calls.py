@@ -54,17 +54,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     """
     calls = calls.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.col(c).cast("string").alias(c) for c in CALL_COLUMNS[2:]])
     rank = F.struct("turn", "tool", "arguments", "conv_id", "parent_id")
-    heads = materialize(calls.filter("call_id is not null").groupBy("call_id").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("copies")), "calls")
-    nodes = heads.select("call_id", "head.*")
-    depth = materialize(depths(nodes.select("call_id", "parent_id")), "depths")
-    answers = materialize(results.filter("call_id is not null").groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), F.col("content").cast("string").alias("content"))).alias("answer")), "answers")
+    heads = calls.filter("call_id is not null").groupBy("call_id").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("copies"))
+    answers = results.filter("call_id is not null").groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), F.col("content").cast("string").alias("content"))).alias("answer"))
+    # Both sides are dealt by call_id already, so their join moves no text again.
+    met = materialize(heads.join(answers, "call_id", "full"), "linked")
+    nodes = met.filter("head is not null").select("call_id", "head.parent_id", "head.turn")
     parents = nodes.select(F.col("call_id").alias("parent_id"), F.col("turn").alias("parent_turn"))
+    facts = depths(nodes.select("call_id", "parent_id")).join(nodes.select("call_id", "parent_id").join(parents, "parent_id").select("call_id", "parent_turn"), "call_id", "left")
 
-    linked = nodes.join(answers, "call_id", "full").join(depth, "call_id", "left").join(parents, "parent_id", "left")
-    linked = linked.withColumn("orphan", F.col("turn").isNull() & F.col("tool").isNull() & F.col("arguments").isNull() & F.col("conv_id").isNull() & F.col("answer").isNotNull() & F.col("depth").isNull())
+    linked = met.select("call_id", "head.*", "answer", F.col("head").isNull().alias("orphan")).join(facts, "call_id", "left")
     lost = calls.filter("call_id is null").withColumn("error", F.lit("missing_id"))
     # Of each repeated identifier one row is the call itself.
-    repeats = heads.filter("copies > 1").select("call_id", "head.*", F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+    repeats = met.filter("copies > 1").select("call_id", "head.*", F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
     repeats = repeats.withColumn("error", F.lit("duplicate_call"))
     columns = ["conv_id", "turn", "call_id", "tool", "arguments", "parent_id"]
     plain = lost.select(*columns, "error").unionByName(repeats.select(*columns, "error"))
