@@ -3,7 +3,9 @@
 Counts come from all trusted text: each task counts the n-grams of its rows, and the counts are summed by n-gram.
 Lower orders, contexts and discounts are aggregates of that table. The probability of every n-gram of the corpus comes
 from joins with these count tables, sharded by n-gram, one order after the other. Documents are scored with that table;
-a document is rejected when its perplexity is above a high quantile of the trusted documents of its language.
+a document is rejected when its perplexity is above a high quantile of the trusted documents of its language. For that
+quantile no trusted document is scored by its own counts: texts are dealt into ``FOLDS`` parts by hash, and each part is
+scored by the model of the others.
 
 N-grams are of characters since the words of these texts are open-ended; a symbol has ``BITS`` bits (characters up to
 2047 have one each, others share 2048), so that an n-gram is a long.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ ORDER, BITS = 5, 12
 VOCABULARY = 1 << BITS
 #: The share of a language's trusted documents that stay; documents under MIN_CHARS hold too little to be judged.
 QUANTILE, MIN_CHARS = 0.995, 40
+#: Parts of the trusted texts, each held out once.
+FOLDS = 5
 #: Tables of at most so many rows are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_GRAMS = 1_000_000, 4_000_000
 _FLUSH = 2_000_000
@@ -56,25 +61,34 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa
         yield part, [t.as_py() or "" for t in part.column(text_at)]
 
 
+def fold_of(text) -> F.Column:
+    """The part that a trusted text is held out in; equal texts share it, so that no copy vouches for another."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, c): every n-gram of ``docs`` (text, trusted) with its count in trusted text, which can be 0."""
+    """(gram, c, parts): every n-gram of ``docs`` (text, fold) with its count in trusted text, which can be 0, and by fold.
+
+    fold: the part of a trusted text, null for others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        names = ["gram", *[f"c{f}" for f in range(FOLDS)]]
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             codes, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return codes, np.bincount(at, np.concatenate([x[1] for x in held]), len(codes)).astype(np.int64)
+            return codes, np.stack([np.bincount(at, np.concatenate([x[1][f] for x in held]), len(codes)).astype(np.int64) for f in range(FOLDS)])
 
         def done(x: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(x[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[0][i : i + 100_000]), pa.array(x[1][i : i + 100_000])], names=["gram", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in (x[0], *x[1])], names=names)
 
         for part, texts in chunks(batches, 0):
             code, lengths = grams(texts)
-            trusted = np.repeat(np.array(part.column(1).to_pylist(), bool), lengths)
+            fold = np.repeat(np.array([-1 if f is None else f for f in part.column(1).to_pylist()], np.int64), lengths)
             found, at = np.unique(code, return_inverse=True)
-            held.append((found, np.bincount(at, trusted, len(found))))
+            held.append((found, np.stack([np.bincount(at[fold == f], minlength=len(found)) for f in range(FOLDS)])))
             if sum(len(x[0]) for x in held) > _FLUSH:
                 held = [merged()]
                 if len(held[0][0]) > _FLUSH // 2:
@@ -82,8 +96,10 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if held:
             yield from done(merged())
 
-    found = docs.select(F.col("text"), F.col("trusted")).mapInArrow(run, "gram long, c long")
-    return found.groupBy("gram").agg(F.sum("c").alias("c"))
+    each = [f"c{f}" for f in range(FOLDS)]
+    found = docs.select("text", "fold").mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in each))
+    found = found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in each])
+    return found.select("gram", sum((F.col(c) for c in each[1:]), F.col(each[0])).alias("c"), *each)
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -175,9 +191,23 @@ def _perplexities_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
     return keyed.join(sums, "text_key", "left").withColumn("perplexity", F.exp(F.least(F.col("loss"), F.lit(700.0)))).drop("text_key", "loss")
 
 
+def held_out(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """(lang, perplexity) of every trusted row of ``marked`` (text, lang, fold), by the model of all other folds."""
+    out = []
+    for f in range(FOLDS):
+        model = materialize(probabilities(found.filter("c > 0").select("gram", (F.col("c") - F.col(f"c{f}")).alias("c"))), f"model-{f}")
+        sent = sent_model(model)
+        own = perplexities(marked.filter(F.col("fold") == f).select("text", "lang"), model, sent)
+        out.append(materialize(own.select("lang", "perplexity"), f"held-out-{f}"))
+        if sent is not None:
+            sent.destroy()
+    return reduce(DataFrame.unionByName, out)
+
+
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with perplexity, threshold and accepted. trusted: the doc_ids of trusted documents.
 
+    Thresholds come from trusted documents that the model did not see; perplexity is that of the model of all of them.
     A language without trusted documents has no threshold (null), and its documents are accepted; so are null, empty
     and short texts (perplexity is null without text). Null languages count as one. An empty table gives no rows,
     repeated rows and ids are judged alike, long texts count whole. All other columns pass through; columns named
@@ -188,12 +218,12 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, min_c
     few = ids.count() <= BROADCAST_IDS
     known = ids.select(F.col("doc_id").alias("t_id"), F.lit(True).alias("t"))
     marked = docs.select("doc_id", "text", "lang").join(F.broadcast(known) if few else known, F.col("doc_id") == F.col("t_id"), "left")
-    marked = marked.select("text", "lang", F.coalesce("t", F.lit(False)).alias("trusted"))
+    marked = marked.select("text", "lang", F.when(F.col("t"), fold_of(F.col("text"))).alias("fold"))
     found = materialize(count_grams(marked), "grams")
-    model = materialize(probabilities(found), "model")
-    sent = sent_model(model)
-    own = perplexities(marked.filter(F.col("trusted") & (F.length("text") >= min_chars)).select("text", "lang"), model, sent)
+    own = held_out(marked.filter(F.length("text") >= min_chars), found)
     bars = materialize(own.groupBy(F.coalesce("lang", F.lit("")).alias("b_lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")), "thresholds")
+    model = materialize(probabilities(found.select("gram", "c")), "model")
+    sent = sent_model(model)
     scored = perplexities(docs, model, sent)
     few = bars.count() <= BROADCAST_IDS
     scored = scored.join(F.broadcast(bars) if few else bars, F.coalesce("lang", F.lit("")) == F.col("b_lang"), "left").drop("b_lang")

@@ -97,6 +97,17 @@ def test_quality(docs, none, spark):
     assert quality.judge(docs, trusted.limit(0)).filter("accepted").count() == len(DOCS)
 
 
+def test_quality_keeps_clean_documents(spark):
+    rng = random.Random(3)
+    parts = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    lexicon = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(600)]
+    rows = [(i, " ".join(rng.choice(lexicon) for _ in range(rng.randint(20, 60))), "en") for i in range(260)]
+    rows += [(1000 + i, "".join(rng.choice("qxjwyhc#%$") for _ in range(200)), "en") for i in range(20)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(160).withColumnRenamed("id", "doc_id"))
+    gone = [r.doc_id for r in judged.filter("not accepted").collect()]
+    assert sum(160 <= i < 260 for i in gone) <= 5 and sum(i >= 1000 for i in gone) == 20
+
+
 def test_kneser_ney_sums_to_one(spark):
     import pyarrow as pa
 
