@@ -39,36 +39,57 @@ def depths(calls: DataFrame) -> DataFrame:
     return done.select("call_id", "depth").unionByName(now.select("call_id", F.lit(None).cast("long").alias("depth")))
 
 
+def ranked(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``rows`` with their rank and number n; and (call_id, rank) of the first row of every call_id."""
+    own = [c for c in rows.columns if c not in ("call_id", "turn")]
+    rank = F.struct("turn", F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(1), *reversed(own)).alias("h2"))
+    rows = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.to_json(rank)).withColumn("key", rank), tag)
+    heads = rows.filter("call_id is not null").groupBy("call_id").agg(F.min("key").alias("key"), F.sum("n").alias("all"))
+    heads = materialize(heads.select("call_id", F.to_json("key").alias("rank"), "all"), f"{tag}-heads")
+    return rows.drop("key"), heads.select("call_id", "rank", "all")
+
+
+def others(rows: DataFrame, heads: DataFrame, error: str) -> DataFrame:
+    """The rows of ``ranked`` that are not the first of their call_id, each as often as it is there, with an ``error``."""
+    several = heads.filter("all > 1").select("call_id", F.col("rank").alias("first"))
+    again = rows.join(several, "call_id").withColumn("n", F.col("n") - (F.col("rank") == F.col("first")).cast("long")).drop("first").withColumn("error", F.lit(error))
+    lost = rows.filter("call_id is null").withColumn("error", F.lit("missing_id"))
+    return again.unionByName(lost).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("copy", "n", "rank")
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call, and one per result without a call.
+    """One row per call, and one per result that is not the answer of a call.
 
     calls: conv_id, turn, call_id, tool, arguments (JSON), parent_id. results: call_id, turn, content. schemas: tool and
     fields (array of struct name, type, required; type: string, integer, number, boolean, array or object).
     Returns conv_id, turn, call_id, tool, depth, errors (array of strings, sorted) and message (canonical JSON).
 
-    Of calls with one call_id the first by turn (then tool and arguments) counts, the others have the error
-    duplicate_call; of its results the first by turn and content. Nulls and errors: a call without identifier
-    (missing_id), of an unknown tool, whose arguments are no JSON object, lack a required field, hold a wrong type or an
-    unknown field, without a result, before its parent's turn, of an unknown parent or on a cycle (depth null); a result
+    Of calls with one call_id the first by turn (then by a hash of the rest) counts, the others keep their own content
+    and have the error duplicate_call; of its results the first by turn and then hash, the others have duplicate_result.
+    Nulls and errors: a call or result without identifier (missing_id), a call of an unknown tool, whose arguments are
+    no JSON object, lack a required field, hold a wrong type or an unknown field, without a result, before its parent's
+    turn, of an unknown parent or on a cycle (depth null); a result
     without a call (orphan_result). Empty tables give no rows; other columns are not read; long texts count whole.
     """
+    columns = list(CALL_COLUMNS)
     calls = calls.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.col(c).cast("string").alias(c) for c in CALL_COLUMNS[2:]])
-    rank = F.struct("turn", "tool", "arguments", "conv_id", "parent_id")
-    heads = calls.filter("call_id is not null").groupBy("call_id").agg(F.min(rank).alias("head"), F.count(F.lit(1)).alias("copies"))
-    answers = results.filter("call_id is not null").groupBy(F.col("call_id").cast("string").alias("call_id")).agg(F.min(F.struct(F.col("turn").cast("long").alias("turn"), F.col("content").cast("string").alias("content"))).alias("answer"))
-    # Both sides are dealt by call_id already, so their join moves no text again.
+    results = results.select(F.col("call_id").cast("string").alias("call_id"), F.col("turn").cast("long").alias("turn"), F.col("content").cast("string").alias("content"))
+    calls, call_heads = ranked(calls, "calls")
+    results, result_heads = ranked(results, "results")
+    heads = calls.join(call_heads, ["call_id", "rank"]).select("call_id", F.struct(*[c for c in columns if c != "call_id"]).alias("head"))
+    answers = results.join(result_heads, ["call_id", "rank"]).select("call_id", F.struct("turn", "content").alias("answer"))
+    # Both sides are dealt by call_id already.
     met = materialize(heads.join(answers, "call_id", "full"), "linked")
     nodes = met.filter("head is not null").select("call_id", "head.parent_id", "head.turn")
     parents = nodes.select(F.col("call_id").alias("parent_id"), F.col("turn").alias("parent_turn"))
     facts = depths(nodes.select("call_id", "parent_id")).join(nodes.select("call_id", "parent_id").join(parents, "parent_id").select("call_id", "parent_turn"), "call_id", "left")
 
     linked = met.select("call_id", "head.*", "answer", F.col("head").isNull().alias("orphan")).join(facts, "call_id", "left")
-    lost = calls.filter("call_id is null").withColumn("error", F.lit("missing_id"))
-    # Of each repeated identifier one row is the call itself.
-    repeats = met.filter("copies > 1").select("call_id", "head.*", F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
-    repeats = repeats.withColumn("error", F.lit("duplicate_call"))
-    columns = ["conv_id", "turn", "call_id", "tool", "arguments", "parent_id"]
-    plain = lost.select(*columns, "error").unionByName(repeats.select(*columns, "error"))
+    answer = "struct<turn:bigint,content:string>"
+    lost = others(calls, call_heads, "duplicate_call").select(*columns, "error", F.lit(None).cast(answer).alias("answer"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("tool", "arguments", "parent_id")]
+    unused = others(results, result_heads, "duplicate_result").select(F.lit(None).cast("long").alias("conv_id"), "turn", "call_id", *none, "error", F.struct("turn", "content").alias("answer"))
+    plain = lost.unionByName(unused)
 
     checked = linked.join(schemas.groupBy(F.col("tool").cast("string").alias("tool")).agg(F.first("fields").alias("fields")), "tool", "left")
     value = F.try_parse_json("arguments")
@@ -97,7 +118,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     )
     full = checked.withColumn("errors", errors)
     out = full.select("conv_id", F.coalesce("turn", F.when(F.col("orphan"), F.col("answer.turn"))).alias("turn"), "call_id", "tool", F.when(~F.col("orphan"), F.col("depth")).alias("depth"), "errors", canonical_message(full).alias("message"))
-    rest = plain.withColumn("parsed", F.try_parse_json("arguments")).withColumn("answer", F.lit(None).cast("struct<turn:bigint,content:string>")).withColumn("depth", F.lit(None).cast("long"))
+    rest = plain.withColumn("parsed", F.try_parse_json("arguments")).withColumn("depth", F.lit(None).cast("long"))
     return out.unionByName(rest.select("conv_id", "turn", "call_id", "tool", "depth", F.array("error").alias("errors"), canonical_message(rest).alias("message")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -129,3 +130,14 @@ def test_tool_calls(spark):
     assert got["b", ("no_result", "type:x", "unknown:y")][0] == 1 and got["c", ("invalid_arguments", "no_result", "unknown_tool")][0] == 2
     assert {("a", ("duplicate_call",)), ("z", ("orphan_result",)), (None, ("missing_id",))} <= got.keys()
     assert any(k[0] == "p" and "cycle" in k[1] for k in got)
+
+
+def test_tool_calls_keep_every_row(spark):
+    calls = spark.createDataFrame([(1, 0, "a", "f", '{"x":1}', None), (2, 0, "a", "g", '{"x":2}', "b"), (3, 4, "a", "f", '{"x":3}', None), (3, 4, "a", "f", '{"x":3}', None), (4, None, None, "f", "{}", None)], "conv_id long, turn long, call_id string, tool string, arguments string, parent_id string")
+    results = spark.createDataFrame([("a", 5, "late"), ("a", 1, "first"), ("a", 5, "late"), (None, 9, "lost"), ("z", 3, "?"), ("z", 4, "??")], "call_id string, turn long, content string")
+    schemas = spark.createDataFrame([("f", [("x", "integer", True)]), ("g", [("x", "integer", True)])], tool_calls.TURN_SCHEMA)
+    got = [json.loads(r.message) | {"turn": r.turn, "conv": r.conv_id, "errors": ",".join(r.errors)} for r in tool_calls.link_tool_calls(calls, results, schemas).collect()]
+    assert sorted((r["conv"], r["arguments"]["x"]) for r in got if r["call_id"] == "a" and r["tool"]) == [(1, 1), (2, 2), (3, 3), (3, 3)]
+    assert sum(r["errors"] == "duplicate_call" for r in got) == 3 and sum(r["result"] == "first" for r in got) == 1
+    assert sorted((r["turn"], r["result"]) for r in got if r["errors"] == "duplicate_result") == [(4, "??"), (5, "late"), (5, "late")]
+    assert sorted((r["conv"] or 0, r["result"]) for r in got if r["errors"] == "missing_id") == [(0, "lost"), (4, None)] and len(got) == 10
