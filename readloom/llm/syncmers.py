@@ -2,9 +2,9 @@
 
 The symbols are words (runs without white space), hashed to 64 bits. A window of ``K`` words is chosen when, of the
 inner windows of ``S`` words in it, the one with the smallest hash is the first or the last. Whether a window is chosen
-depends on its own words alone, so an edit elsewhere moves no anchor. A fingerprint is the ``SKETCH`` smallest hashes
-of chosen windows, in decimal; likeness is the similarity of the two sets as that sketch estimates it (exact for texts
-with fewer windows). Texts of fewer than K words have their whole sequence as the one window.
+depends on its own words alone, so an edit elsewhere moves no anchor. A fingerprint is the hashes of all chosen windows
+in order of place, in decimal, beside their places (the index of the first word); likeness matches two of them in that
+order. Texts of fewer than K words have their whole sequence as the one window.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 K, S = 4, 2
-SKETCH = 128
 #: Most buckets of neighbouring doc_ids; two levels of 32.
 BUCKETS = 1024
 _LOWEST = -(1 << 63)
@@ -36,30 +35,84 @@ def window_hash(words: Column, start: Column, size: int) -> Column:
 
 
 def closed_syncmers(words: Column, k: int, s: int) -> Column:
-    """The hashes of the chosen windows, in order of place."""
+    """The chosen windows in order of place, each as place << 31 | hash of 31 bits."""
     inner = k - s + 1
+    coded = lambda p, h: F.shiftleft(p.cast("long"), 31).bitwiseOR(h.bitwiseAND(F.lit(0x7FFFFFFF)))
 
     def chosen(h: Column) -> Column:
         at = F.filter(upto(F.size(words) - (k - 1)), lambda p: F.array_min(F.slice(h, p + 1, F.lit(inner))).isin(F.get(h, p), F.get(h, p + (inner - 1))))
-        return F.transform(at, lambda p: window_hash(words, p, k))
+        return F.transform(at, lambda p: coded(p, window_hash(words, p, k)))
 
     found = let(F.transform(upto(F.size(words) - (s - 1)), lambda i: window_hash(words, i, s)), chosen)
-    whole = F.when(F.size(words) > 0, F.array(F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.xxhash64(a, w)))).otherwise(F.array().cast("array<bigint>"))
+    whole = F.when(F.size(words) > 0, F.array(coded(F.lit(0), F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.xxhash64(a, w))))).otherwise(F.array().cast("array<bigint>"))
     return F.when(F.size(words) >= k, found).otherwise(whole)
 
 
-def fingerprint(text: Column, k: int = K, s: int = S, sketch: int = SKETCH) -> Column:
-    """The smallest hashes (31 bits) of chosen windows, sorted; empty for texts without words."""
+def fingerprint(text: Column, k: int = K, s: int = S) -> Column:
+    """All chosen windows of a text, see closed_syncmers; empty for texts without words."""
     words = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " "), "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    found = let(hashed, lambda u: F.transform(closed_syncmers(u, k, s), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF))))
-    return F.slice(F.sort_array(F.array_distinct(found)), 1, sketch)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda u: closed_syncmers(u, k, s))
 
 
-def likeness(a: Column, b: Column, sketch: int = SKETCH) -> Column:
-    """Of the smallest hashes in either fingerprint, the share that is in both; 1 for two empty ones."""
-    low = F.slice(F.sort_array(F.array_union(a, b)), 1, sketch)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(low, a), b)) / F.size(low))
+def hashes(fp: Column) -> Column:
+    return F.transform(fp, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+
+
+def places(fp: Column) -> Column:
+    return F.transform(fp, lambda x: F.shiftright(x, 31).cast("int"))
+
+
+def _occurrences(a: Column, side: int) -> Column:
+    """(hash, how often it was there before, side, index) of each element, by hash."""
+    rows = F.sort_array(F.transform(a, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def numbered(r: Column) -> Column:
+        starts = F.filter(upto(F.size(r)), lambda j: (j == 0) | (F.get(r, j)["h"] != F.get(r, j - 1)["h"]))
+        one = lambda x, n: F.struct(x["h"].alias("h"), n.alias("n"), F.lit(side).alias("side"), x["i"].alias("i"))
+        group = lambda b, g, all_: F.transform(F.slice(r, b + 1, F.coalesce(F.get(all_, g + 1), F.size(r)) - b), one)
+        return let(starts, lambda all_: F.flatten(F.transform(all_, lambda b, g: group(b, g, all_))))
+
+    return let(rows, numbered)
+
+
+def _longest_rising(x: Column) -> Column:
+    """The length of the longest rising subsequence: the smallest end of each length is kept."""
+
+    def step(ends: Column, v: Column) -> Column:
+        at = F.size(F.filter(ends, lambda e: e < v))
+        put = let(at, lambda p: F.concat(F.slice(ends, F.lit(1), p), F.array(v), F.slice(ends, p + 2, F.size(ends))))
+        return F.when((F.size(ends) == 0) | (F.get(ends, F.size(ends) - 1) < v), F.concat(ends, F.array(v))).otherwise(put)
+
+    return F.size(F.aggregate(x, F.array().cast("array<int>"), step))
+
+
+def _in_order(a: Column, b: Column) -> Column:
+    """How many equal elements (the n-th of a value with the n-th) come in the same order in both."""
+    both = F.sort_array(F.concat(_occurrences(a, 0), _occurrences(b, 1)))
+
+    def matched(m: Column) -> Column:
+        same = lambda x, y: (x["h"] == y["h"]) & (x["n"] == y["n"])
+        at = F.filter(upto(F.size(m) - 1), lambda j: same(F.get(m, j), F.get(m, j + 1)))
+        pairs = F.sort_array(F.transform(at, lambda j: F.struct(F.get(m, j)["i"].alias("a"), F.get(m, j + 1)["i"].alias("b"))))
+        return _longest_rising(F.transform(pairs, lambda q: q["b"]))
+
+    return let(both, matched)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Anchors that match in order of place, over those of both without the matches; 1 for two empty ones.
+
+    What both begin with matches as it is; the rest is matched by value and order, where it has values in common.
+    """
+    n = lambda x: F.size(x)
+    shorter = F.least(n(a), n(b))
+    first = F.array_position(F.zip_with(F.slice(a, F.lit(1), shorter), F.slice(b, F.lit(1), shorter), lambda x, y: x == y), F.lit(False))
+    begun = F.when(first > 0, first - 1).otherwise(shorter).cast("int")
+    rest = lambda x, p: F.slice(x, p + 1, n(x))
+    more = lambda x, y: F.when(F.arrays_overlap(x, y), _in_order(x, y)).otherwise(F.lit(0))
+    total = let(begun, lambda p: p + let(rest(a, p), lambda x: let(rest(b, p), lambda y: more(x, y))))
+    share = let(total, lambda t: t / (n(a) + n(b) - t))
+    return F.when((n(a) == 0) & (n(b) == 0), F.lit(1.0)).otherwise(share)
 
 
 def with_next(docs: DataFrame, order: Column, columns: list[str], buckets: int) -> DataFrame:
@@ -95,7 +148,7 @@ def with_next(docs: DataFrame, order: Column, columns: list[str], buckets: int)
 
 
 def fingerprints(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, places and edited_places.
 
     The edited text has the last third of its characters replaced by the first as many of the next document's text.
     Null text counts as empty, and an empty text has an empty fingerprint; an empty table gives no rows; a single row
@@ -111,14 +164,18 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
     third = F.floor(F.length("text") / 3).cast("int")
     met = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.col("text").substr(F.lit(1), F.length("text") - third), F.col("next_text").substr(F.lit(1), third)).alias("edited"))
     met = met.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_fp", fingerprint(F.col("edited")))
+    met = met.withColumns({"a": hashes(F.col("fp")), "e": hashes(F.col("edited_fp")), "b": hashes(F.col("next_fp"))})
+    joined = lambda x: F.array_join(x.cast("array<string>"), " ")
     return met.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.array_join(F.col("fp").cast("array<string>"), " ").alias("fingerprint"),
-        F.array_join(F.col("edited_fp").cast("array<string>"), " ").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        joined(F.col("a")).alias("fingerprint"),
+        joined(F.col("e")).alias("edited_fingerprint"),
+        let(F.col("a"), lambda a: let(F.col("e"), lambda e: likeness(a, e))).alias("near_edited"),
+        let(F.col("a"), lambda a: let(F.col("b"), lambda b: likeness(a, b))).alias("near_next"),
+        joined(places(F.col("fp"))).alias("places"),
+        joined(places(F.col("edited_fp"))).alias("edited_places"),
     )
 
 

@@ -85,6 +85,32 @@ def test_fingerprints(docs, none):
     assert len(got) == len(DOCS) and got[got.doc_id.isin([1, 4])].fingerprint.nunique() == 1 and got.near_edited.between(0, 1).all()
 
 
+def test_fingerprints_are_whole_and_ordered(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    base = [word() for _ in range(900)]
+    passage = base[300:400]
+    texts = [base, base[450:] + base[:450], [word() for _ in range(400)] + passage + [word() for _ in range(400)] + passage, base[:200] * 3, base[:200] * 2 + base[500:600] + base[:200]]
+    rows = [(len(texts) - i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted(fp for fp in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())[::-1]
+    prints = [r.fingerprint.split() for r in got]
+    assert all(len(f) > 0.5 * len(t) for f, t in zip(prints, texts, strict=True))
+    assert all((p := list(map(int, r.places.split()))) == sorted(set(p)) and len(p) == len(f) for r, f in zip(got, prints, strict=True))
+
+    def brute(a, b):  # the longest common subsequence
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(old := row)[1:]]
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(row[j], old[j + 1])
+        return row[-1] / (len(a) + len(b) - row[-1])
+
+    for i, r in enumerate(got):
+        assert r.near_edited == pytest.approx(brute(prints[i], r.edited_fingerprint.split()), abs=0.12)
+    assert got[0].near_next == pytest.approx(brute(prints[0], prints[1])) and 0.25 < got[0].near_next < 0.4
+    assert got[3].near_next == pytest.approx(brute(prints[3], prints[4]), abs=0.02)
+
+
 def test_html():
     page = "<body><nav>x</nav><article><h1>T</h1><p>A &amp; b&nbsp;c<p><b>d</b>e</article><footer>f</footer>"
     assert html_text.main_text(page) == "T\nA & b c\nde" and html_text.main_text("") == ""
