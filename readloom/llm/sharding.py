@@ -1,10 +1,11 @@
 """Operator 5: sharding by vector bin packing.
 
-Copies of one text form a group with a vector of bytes, tokens and rows. Groups are gathered by hash into a fixed
-number of units; a group that outweighs a unit is split into as many units as it needs. The units, at most three times
-``shards * units_per_shard`` of them whatever the input, are placed one by one, largest first, each on the shard where
-the dot product of its vector with the shard's residual capacity is highest. Rows move only once, without their text,
-to be numbered inside their unit.
+Copies of one text form a group with a vector of bytes, tokens and rows. Every group that outweighs a unit is placed
+whole, as one vector; only a group that outweighs a shard is split, into as many vectors as shards it fills. The light
+rest is gathered by hash into a fixed number of units, a vector each. The vectors, at most three times ``shards *
+units_per_shard`` of them whatever the input, are placed one by one, largest first, each on the shard where the dot
+product of its vector with the shard's residual capacity is highest. Rows move only once, without their text, to be
+numbered inside their unit; a heavy group has many units for that, on the shard of its vector.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, units_per_shard: int
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row.
 
     Size is the UTF-8 bytes of the text (null: none) plus 8. Equal texts share a shard unless their group outweighs
-    a unit; then its rows are dealt over several units by a hash of doc_id, since no shard could hold a hot group and
+    one; then its rows are dealt over as few shards as it fills by a hash of doc_id, since no shard could hold it and
     stay level. Null and empty texts are one group; an empty table gives no rows; rows that repeat each get a slot;
     null doc_ids pass through; other columns are not read.
     """
@@ -61,12 +62,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, units_per_shard: int
     # At most ``light`` groups can be larger than the total over ``light``.
     heavy = rows.groupBy("group").agg(F.sum("size").alias("size")).filter(F.col("size") > most).toPandas().sort_values("group")
     heavy["parts"] = np.ceil(heavy["size"] / most).astype("int64")
+    heavy["vectors"] = np.ceil(heavy["size"] * shards / max(total, 1)).astype("int64")
     heavy["base"] = light + heavy["parts"].cumsum() - heavy["parts"]
     split = spark.createDataFrame(heavy[["group", "parts", "base"]].astype("int64"), "group long, parts long, base long")
     part = F.col("base") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))
     rows = rows.join(F.broadcast(split), "group", "left").withColumn("unit", F.coalesce(part, F.pmod("group", F.lit(light))))
     units = rows.groupBy("unit").agg(*sums).toPandas().sort_values("unit").reset_index(drop=True)
-    units["shard"] = place(units[["size", "tokens", "n"]].to_numpy(np.float64).reshape(-1, 3), shards)
+    units["vector"] = units["unit"]
+    own = (units["unit"] >= light).to_numpy()
+    at = np.searchsorted(heavy["base"].to_numpy(), units["unit"][own], side="right") - 1
+    base, vectors = heavy["base"].to_numpy()[at], heavy["vectors"].to_numpy()[at]
+    units.loc[own, "vector"] = base + (units["unit"][own].to_numpy() - base) % vectors
+    whole = units.groupby("vector")[["size", "tokens", "n"]].sum()
+    units["shard"] = units["vector"].map(dict(zip(whole.index, place(whole.to_numpy(np.float64).reshape(-1, 3), shards), strict=True)))
     units["first"] = units.groupby("shard")["n"].cumsum() - units["n"]
     placed = spark.createDataFrame(units[["unit", "shard", "first"]].astype("int64"), "unit long, shard long, first long") if len(units) else spark.createDataFrame([], "unit long, shard long, first long")
     order = Window.partitionBy("unit").orderBy("doc_id", "size", "text_crc32")

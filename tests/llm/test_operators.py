@@ -50,6 +50,16 @@ def test_sharding(docs, none):
     assert len(got) == len(DOCS) and all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
 
 
+def test_sharding_keeps_copies_together(spark):
+    texts = [f"text {i} " * 20 for i in range(40)]
+    rows = [(i, texts[i % 40]) for i in range(400)] + [(1000 + i, f"single {i}") for i in range(300)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, units_per_shard=16).toPandas()
+    assert (got[got.doc_id < 400].groupby("text_crc32").shard.nunique() == 1).all() and (got.groupby("shard")["size"].sum() < 1.1 * got["size"].sum() / 4).all()
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
+    hot = sharding.shard_documents(spark.createDataFrame([(i, "one text") for i in range(900)] + rows[400:], "doc_id long, text string"), shards=4).toPandas()
+    assert hot[hot.doc_id < 900].shard.nunique() > 1 and len(hot) == 1200
+
+
 def test_topk(spark):
     rows = [(i, [float(i % 7), float(-i % 5), 1.0]) for i in range(60)] + [(200, None), (300, [1.0, None, 2.0]), (400, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (500, [2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
