@@ -55,6 +55,12 @@ def candidates(reads: DataFrame, targets: DataFrame, k: int, most: int) -> DataF
     return kmer_join(queries, index, repetitive_kmers(index, most), ("reverse",)).withColumn("kmer", kmer_encode(F.col("kmer"), k))
 
 
+def repetitive_positions(reads: DataFrame, targets: DataFrame, k: int, most: int) -> DataFrame:
+    """(query_id, position) of every read k-mer that ``candidates`` drops as repetitive."""
+    w = kmer_windows(reads, k).select(F.col("read_id").alias("query_id"), F.col("pos").alias("position"), kmer_standard(F.col("kmer")).alias("lookup_kmer"))
+    return w.join(repetitive_kmers(kmer_index(targets, k), most), "lookup_kmer", "left_semi").select("query_id", F.col("position").cast("int").alias("position"))
+
+
 def pair_count(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """The number of equal pairs, from counts by key: no pair is made."""
     a, b = (x.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for x, n in ((left, "n"), (right, "m")))

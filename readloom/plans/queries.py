@@ -39,7 +39,8 @@ def group_spans(spark, sf):
 
 def overlaps(spark, sf):
     hits = _hits(spark, sf)
-    o = chains.chain_overlaps(hits, _spans(spark, sf, hits).filter("survives"), PARAMS)
+    lost = C.repetitive_positions(reads(spark, sf), edges(spark, sf), K, MOST)
+    o = chains.chain_overlaps(hits, _spans(spark, sf, hits).filter("survives"), PARAMS, lost)
     return o.withColumn("seq_divergence", F.round("seq_divergence", 6))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from readloom.functions import dna
 from readloom.operators.candidates import kmer_join
 from readloom.operators.chains import ChainParams, GraphParams, overlaps_of, read_alignments
-from readloom.plans import diffs, gates, planners
+from readloom.plans import diffs, gates, planners, queries
 from readloom.sources import artifacts
 from readloom.sources.records import SCHEMAS, violations
 
@@ -33,6 +36,20 @@ def test_collinear_hits_make_one_overlap():
     assert o[:8] == (1, 11, 63, 100, 2, 14, 66, 100) and o[9] >= 0  # the first hit scores 0, so no chain starts there
 
 
+def test_repetitive_positions_leave_the_length(spark, monkeypatch):
+    rng = random.Random(3)
+    bases = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    unit = bases(20)
+    whole = bases(60) + unit + bases(60)
+    edges = spark.createDataFrame([(1, whole)] + [(i, bases(20) + unit + bases(20)) for i in range(2, 12)], "edge_seq_id long, seq string")
+    monkeypatch.setattr(queries, "reads", lambda spark, sf: spark.createDataFrame([(100, whole)], "read_id long, seq string"))
+    monkeypatch.setattr(queries, "edges", lambda spark, sf: edges)
+    (o,) = queries.overlaps(spark, "").collect()
+    # Four k-mers lie in the unit, which eleven targets share. A chain program never takes the first hit, at place 0.
+    n = len(whole) - 16 - 1 - 4
+    assert (o.ext_id, o.cur_begin, o.cur_end) == (1, 1, len(whole) - 1) and abs(o.seq_divergence - math.log((len(whole) - 2 - 4) / n) / 17) < 1e-6
+
+
 def test_read_alignment_fixture(spark):
     e = spark.createDataFrame([(0, 101, 0, 120, 500, 7, 1, 2, 7001, 10, 130, 1000, 60, 0.01), (1, 101, 130, 260, 500, 8, 2, 3, 8001, 20, 150, 1000, 70, 0.02)], SCHEMAS["edge-overlap"])
     d = spark.createDataFrame([(101, 0, 0.015), (101, 1, 0.5)], "read_id long, chain_id int, divergence double")
