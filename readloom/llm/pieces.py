@@ -4,8 +4,9 @@ The merges come from an own agenda over adjacent symbol pairs, ordered by the sc
 from the left. Short segments run through it together: one step takes the first pair of the agenda in every segment
 of an Arrow batch at once (numpy); long segments have a heap of their own. A text is first cut wherever no piece of
 the vocabulary holds the two characters around the cut, because no merge can cross such a place; segments are kept
-with their result, so that a repeated word is merged once. In every Arrow batch, what is new is encoded by the
-sentencepiece library as well, and a difference ends the job.
+with their result, so that a repeated word is merged once. In every Arrow batch, new words of two or more characters
+that begin with the space mark are encoded by the sentencepiece library as well, and a difference ends the job. Other
+words, the joining of words into a text and decoded texts are not compared there.
 """
 
 from __future__ import annotations
