@@ -28,6 +28,11 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(F.upper(seq), "ACGT", "TGCA"))
 
 
+def code_reverse_complement(code: Column, k: int) -> Column:
+    """The reverse complement of an encoded k-mer."""
+    return F.conv(F.reverse(F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), _k(k), "0"), "0123", "3210")), 4, 10).cast("bigint")
+
+
 def kmer_standard(seq: Column) -> Column:
     """The smaller of a k-mer and its reverse complement; text order is code order, as A < C < G < T."""
     return F.least(F.upper(seq), reverse_complement(seq))
@@ -52,9 +57,11 @@ def overhang(cur_begin, cur_end, cur_len, ext_begin, ext_end, ext_len) -> Column
 
 
 def kmer_divergence(chain_len: Column, cur_range: Column, ext_range: Column, filtered: Column, k: int, sample_rate: float = 1.0) -> Column:
-    """ln(1 / share of k-mers that survive) / k."""
-    share = F.least(chain_len * F.lit(float(sample_rate)) / (F.greatest(cur_range, ext_range) - filtered), F.lit(1.0))
-    return F.log(1 / share) / k
+    """ln(1 / share of k-mers that survive) / k in single precision; null where no length is left."""
+    single = lambda c: c.cast("float")
+    length = single(F.greatest(cur_range, ext_range) - filtered)
+    share = F.least(single(single(single(chain_len) * F.lit(float(sample_rate)).cast("float")) / F.when(length > 0, length)), F.lit(1.0).cast("float"))
+    return F.when(length > 0, single(single(F.log(single(F.lit(1.0).cast("float") / share))) / F.lit(float(k)).cast("float")))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

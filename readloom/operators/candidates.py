@@ -5,24 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import kmer_encode, kmer_standard, reverse_complement, standard_is_reverse, strand
+from ..functions.dna import code_reverse_complement, reverse_complement, strand
 
+#: An index of at most so many rows is sent to all executors; a larger one is joined by a shuffle. The same for keys.
+BROADCAST_ROWS = 1_000_000
 
-def kmer_windows(reads: DataFrame, k: int, id_column: str = "read_id") -> DataFrame:
-    """(id, pos, kmer): every window of k bases. Bytes are sliced, not characters, so a window costs O(k) anywhere."""
+
+def _windows(reads: DataFrame, k: int, id_column: str) -> DataFrame:
+    """(id, pos, own, other): every window of k bases and its reverse complement, as base-4 digits in bytes.
+
+    Digits and complement are made once a read, below the step that multiplies rows: a window's complement is a slice of
+    the read's, counted from the other end. Bytes are sliced, not characters, so a window costs O(k) anywhere.
+    """
     spark = reads.sparkSession
     # Before rows multiply, reads are dealt out evenly: a file of few partitions would leave the windows to few tasks.
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    reads = reads.select(id_column, "seq").repartition(width, id_column)
-    raw = reads.filter(F.length("seq") >= k).select(id_column, F.col("seq").cast("binary").alias("raw"), F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    return raw.select(id_column, F.col("pos").cast("long").alias("pos"), F.substring("raw", F.col("pos") + 1, F.lit(k)).cast("string").alias("kmer"))
+    reads = reads.select(id_column, F.upper("seq").alias("seq")).filter(F.length("seq") >= k).repartition(width, id_column)
+    both = reads.select(id_column, F.translate("seq", "ACGT", "0123").cast("binary").alias("raw"), F.reverse(F.translate("seq", "ACGT", "3210")).cast("binary").alias("back"))
+    at = both.select("*", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - k)).alias("pos"))
+    return at.select(id_column, F.col("pos").cast("long").alias("pos"), F.substring("raw", F.col("pos") + 1, F.lit(k)).alias("own"), F.substring("back", F.octet_length("raw") - k - F.col("pos") + 1, F.lit(k)).alias("other"))
+
+
+def kmer_windows(reads: DataFrame, k: int, id_column: str = "read_id") -> DataFrame:
+    """(id, pos, kmer, standard, reverse): every window, the smaller of it and its complement, and is that the latter."""
+    text = lambda c: F.translate(c.cast("string"), "0123", "ACGT")
+    w = _windows(reads, k, id_column)
+    return w.select(id_column, "pos", text(F.col("own")).alias("kmer"), text(F.least("own", "other")).alias("standard"), (F.col("other") < F.col("own")).cast("int").alias("reverse"))
+
+
+def lookup_windows(reads: DataFrame, k: int, id_column: str = "read_id") -> DataFrame:
+    """(id, pos, lookup_kmer, reverse): windows with the standard form as a long. Never null, so no join checks that again."""
+    code = F.coalesce(F.conv(F.least("own", "other").cast("string"), 4, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    return _windows(reads, k, id_column).select(id_column, "pos", code.alias("lookup_kmer"), (F.col("other") < F.col("own")).cast("int").alias("reverse"))
 
 
 def kmer_index(targets: DataFrame, k: int, id_column: str = "edge_seq_id") -> DataFrame:
     """(lookup_kmer, reverse, target_id, target_pos, target_strand): both strands of every target; -id is the reverse."""
     ways = targets.select(F.col(id_column).alias("target_id"), "seq").unionByName(targets.select((-F.col(id_column)).alias("target_id"), reverse_complement(F.col("seq")).alias("seq")))
-    w = kmer_windows(ways, k, "target_id")
-    return w.select(kmer_standard(F.col("kmer")).alias("lookup_kmer"), standard_is_reverse(F.col("kmer")).alias("reverse"), "target_id", F.col("pos").alias("target_pos"), strand(F.col("target_id")).alias("target_strand"))
+    w = lookup_windows(ways, k, "target_id")
+    return w.select("lookup_kmer", "reverse", "target_id", F.col("pos").alias("target_pos"), strand(F.col("target_id")).alias("target_strand"))
 
 
 def kmer_frequency(index: DataFrame) -> DataFrame:
@@ -33,32 +54,39 @@ def repetitive_kmers(index: DataFrame, most: int) -> DataFrame:
     return kmer_frequency(index).filter(F.col("kmer_freq") > most).select("lookup_kmer")
 
 
+def unless_large(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked to be sent to all executors only if it is counted to be small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def kmer_join(queries: DataFrame, index: DataFrame, repetitive: DataFrame, also_on: tuple[str, ...] = ()) -> DataFrame:
     """Every pair of a query k-mer and an index row of one lookup k-mer, as a bag.
 
-    queries: query_id, query_pos, query_kmer, lookup_kmer. Repetitive lookup k-mers are dropped before the join, and
-    a hit on the query's own id and place after it. The output has the query's own k-mer.
+    queries: query_id, query_pos, query_kmer, lookup_kmer. Repetitive lookup k-mers are dropped from the index, which is
+    the smaller side, so queries move at most once; a hit on the query's own id and place is dropped after the join. The
+    output has the query's own k-mer.
     """
-    asked = queries.join(repetitive.select("lookup_kmer").distinct(), "lookup_kmer", "left_anti")
-    met = asked.join(index, ["lookup_kmer", *also_on])
+    kept = unless_large(index.join(unless_large(repetitive.select("lookup_kmer").distinct()), "lookup_kmer", "left_anti"))
+    met = queries.join(kept, ["lookup_kmer", *also_on])
     return met.filter(~((F.col("query_id") == F.col("target_id")) & (F.col("query_pos") == F.col("target_pos")))).select("query_id", "query_pos", F.col("query_kmer").alias("kmer"), "target_id", "target_pos", "target_strand")
 
 
 def candidates(reads: DataFrame, targets: DataFrame, k: int, most: int) -> DataFrame:
     """candidate-record-v1 of reads against both strands of targets.
 
-    K-mers stay text until the output, where the few that hit are encoded.
+    Windows meet the index as longs; a hit's own k-mer is the lookup k-mer or its complement.
     """
     index = kmer_index(targets, k)
-    w = kmer_windows(reads, k)
-    queries = w.select(F.col("read_id").alias("query_id"), F.col("pos").alias("query_pos"), F.col("kmer").alias("query_kmer"), kmer_standard(F.col("kmer")).alias("lookup_kmer"), standard_is_reverse(F.col("kmer")).alias("reverse"))
-    return kmer_join(queries, index, repetitive_kmers(index, most), ("reverse",)).withColumn("kmer", kmer_encode(F.col("kmer"), k))
+    queries = lookup_windows(reads, k).select(F.col("read_id").alias("query_id"), F.col("pos").alias("query_pos"), F.col("lookup_kmer").alias("query_kmer"), "lookup_kmer", "reverse")
+    met = kmer_join(queries.withColumn("query_kmer", F.struct("lookup_kmer", "reverse")), index, repetitive_kmers(index, most), ("reverse",))
+    own = F.when(F.col("kmer.reverse") == 0, F.col("kmer.lookup_kmer")).otherwise(code_reverse_complement(F.col("kmer.lookup_kmer"), k))
+    return met.withColumn("kmer", own)
 
 
 def repetitive_positions(reads: DataFrame, targets: DataFrame, k: int, most: int) -> DataFrame:
     """(query_id, position) of every read k-mer that ``candidates`` drops as repetitive."""
-    w = kmer_windows(reads, k).select(F.col("read_id").alias("query_id"), F.col("pos").alias("position"), kmer_standard(F.col("kmer")).alias("lookup_kmer"))
-    return w.join(repetitive_kmers(kmer_index(targets, k), most), "lookup_kmer", "left_semi").select("query_id", F.col("position").cast("int").alias("position"))
+    w = lookup_windows(reads, k).select(F.col("read_id").alias("query_id"), F.col("pos").alias("position"), "lookup_kmer")
+    return w.join(unless_large(repetitive_kmers(kmer_index(targets, k), most)), "lookup_kmer", "left_semi").select("query_id", F.col("position").cast("int").alias("position"))
 
 
 def pair_count(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -71,7 +99,7 @@ def minimizers(reads: DataFrame, k: int, window: int) -> DataFrame:
     """(read_id, pos, kmer): the smallest standard k-mer, leftmost first, of every ``window`` k-mers in a row."""
     from pyspark.sql import Window
 
-    w = kmer_windows(reads, k).select("read_id", "pos", kmer_standard(F.col("kmer")).alias("kmer"))
+    w = kmer_windows(reads, k).select("read_id", "pos", F.col("standard").alias("kmer"))
     ahead = Window.partitionBy("read_id").orderBy("pos").rowsBetween(0, window - 1)
     found = w.withColumns({"least": F.min(F.struct("kmer", "pos")).over(ahead), "n": F.count(F.lit(1)).over(ahead)}).filter(F.col("n") == window)
     return found.select("read_id", F.col("least.pos").alias("pos"), F.col("least.kmer").alias("kmer")).distinct()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import candidates as C
 from ..operators import chains
+from ..sources.scratch import materialize
 from ..sources.tables import SEQUENCES_SQL, edges, reads, table
 from . import diffs, gates, planners, record_queries
 
@@ -37,25 +40,42 @@ def group_spans(spark, sf):
     return _spans(spark, sf, _hits(spark, sf))
 
 
-def overlaps(spark, sf):
-    hits = _hits(spark, sf)
+def _overlaps(spark, sf, p: chains.ChainParams) -> DataFrame:
+    # Hits are used twice, for the groups that survive and for their chains, and are few beside the windows.
+    hits = materialize(_hits(spark, sf), "hits")
     lost = C.repetitive_positions(reads(spark, sf), edges(spark, sf), K, MOST)
-    o = chains.chain_overlaps(hits, _spans(spark, sf, hits).filter("survives"), PARAMS, lost)
-    return o.withColumn("seq_divergence", F.round("seq_divergence", 6))
+    return chains.chain_overlaps(hits, _spans(spark, sf, hits).filter("survives"), p, lost)
+
+
+def overlaps(spark, sf):
+    return _overlaps(spark, sf, PARAMS).withColumn("seq_divergence", F.round(F.col("seq_divergence").cast("double"), 5))
+
+
+def all_overlaps(spark, sf):
+    """Every primary overlap of a pair, not the best one alone, without those that hang."""
+    p = replace(PARAMS, only_max_ext=False, check_overhang=True, max_overhang=400)
+    return _overlaps(spark, sf, p).withColumn("seq_divergence", F.round(F.col("seq_divergence").cast("double"), 5))
 
 
 def chain_inputs(spark, sf):
     return chains.chain_inputs(overlaps(spark, sf))
 
 
-def read_alignments(spark, sf):
-    o = overlaps(spark, sf)
+def _edge_overlaps(spark, sf) -> DataFrame:
+    """Overlaps bound to the nodes of their edges; on the reverse strand an edge runs from its right node to its left."""
     nodes = edges(spark, sf).select("edge_seq_id", "left_node", "right_node")
-    e = o.join(nodes, F.abs("ext_id") == F.col("edge_seq_id")).select(
+    forward = F.col("ext_id") > 0
+    return overlaps(spark, sf).join(nodes, F.abs("ext_id") == F.col("edge_seq_id")).select(
         F.xxhash64("cur_id", "ext_id", "cur_begin").alias("candidate_id"), F.col("cur_id").alias("read_id"), F.col("cur_begin").alias("read_begin"), F.col("cur_end").alias("read_end"), F.col("cur_len").alias("read_len"),
-        F.col("ext_id").alias("edge_id"), F.col("left_node").alias("edge_left_node"), F.col("right_node").alias("edge_right_node"), F.col("ext_id").alias("edge_seq_id"), F.col("ext_begin").alias("edge_begin"), F.col("ext_end").alias("edge_end"), F.col("ext_len").alias("edge_len"), F.col("score").cast("int").alias("score"), "seq_divergence",
-    )
-    return chains.read_alignments(e, chains.GraphParams(min_overlap=50, max_separation=50))
+        F.col("ext_id").alias("edge_id"), F.when(forward, F.col("left_node")).otherwise(-F.col("right_node")).alias("edge_left_node"), F.when(forward, F.col("right_node")).otherwise(-F.col("left_node")).alias("edge_right_node"),
+        F.col("ext_id").alias("edge_seq_id"), F.col("ext_begin").alias("edge_begin"), F.col("ext_end").alias("edge_end"), F.col("ext_len").alias("edge_len"), F.col("score").cast("int").alias("score"), "seq_divergence",
+    )
+
+
+def alignments_by_segment_means(spark, sf):
+    """Read alignments with the engine's own stand-in for the divergence of a chain."""
+    found = chains.chain_read_alignments(_edge_overlaps(spark, sf), chains.GraphParams(min_overlap=50, max_separation=50))
+    return chains.read_alignments(found, chains.segment_means(found))
 
 
 def pair_count(spark, sf):
@@ -147,7 +167,7 @@ def field_differences(spark, sf):
 
 
 def queries() -> dict:
-    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, chain_inputs, read_alignments, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
+    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, all_overlaps, chain_inputs, alignments_by_segment_means, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
     return {f.__name__: f for f in found} | record_queries.queries()
 
 

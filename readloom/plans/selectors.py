@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import kmer_standard
-from ..operators.candidates import kmer_windows
+from ..operators.candidates import lookup_windows
 from .gates import edge_state, with_reasons
 
 # Names of the reasons against a query, with their conditions.
@@ -93,7 +92,7 @@ def cut_samples(sources: DataFrame, samples: list[str], k: int) -> DataFrame:
 
 def sampled_packs(cuts: DataFrame, index: DataFrame, repetitive: DataFrame, k: int) -> DataFrame:
     """By sample: windows, lookup k-mers, index rows and repetitive k-mers among them, estimated pairs."""
-    w = kmer_windows(cuts, k, "sample").select("sample", kmer_standard(F.col("kmer")).alias("lookup_kmer"))
+    w = lookup_windows(cuts, k, "sample").select("sample", "lookup_kmer")
     used = w.groupBy("sample", "lookup_kmer").agg(F.count(F.lit(1)).alias("windows"))
     sizes = index.groupBy("lookup_kmer").agg(F.count(F.lit(1)).alias("rows"))
     met = used.join(sizes, "lookup_kmer", "left").join(repetitive.select("lookup_kmer", F.lit(1).alias("often")).distinct(), "lookup_kmer", "left")
