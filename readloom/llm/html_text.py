@@ -1,15 +1,20 @@
 """Operator 7: main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of a page. Each line weighs as many characters as it has outside of
-links; lines in menus, adverts, notices, forms, comments and the like weigh nothing and are never kept. Sums over
-sliding windows of lines give the distribution: the text starts where it surges over the threshold and ends where it
-dives to nothing. Where a page marks its article, the surge and the dive are the first and last line of that mark.
+Markup is stripped into lines, one for each block of a page, with empty lines where containers begin and end. Each line
+weighs as many characters as it has outside of links; lines in menus, adverts, notices, forms, comments and the like
+weigh nothing and are never kept. Sums over sliding windows of lines give the distribution, which decides every page:
+text starts where it surges over the threshold and ends where it dives to nothing.
+
+Where a page marks its article, the mark weighs: its lines weigh ``SURGE`` more, so that short ones surge as well, empty
+lines inside it do not count, and lines outside of it weigh nothing. Where it does not, regions that containers of
+several lines set apart are kept by their share of the heaviest one, and in them all stretches that surge.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Lines in a window, and the characters in it from which the text starts.
+#: Lines in a window, and the characters in it from which the text starts: the values of the published line-block method.
 WINDOW = 3
 SURGE = 86
+#: The share of the heaviest region's weight from which another one is kept, and the lines that make a container count.
+SHARE, CONTAINER_LINES = 0.25, 3
 
 # Element names of HTML, by what they are to a reader.
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title"
@@ -34,6 +41,9 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer footers cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies discussion widget widgets toolbar pagination pager contentinfo complementary skip hidden".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+# Blocks that hold a run of text; in an article their names say nothing about comments.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption span".split())
+CONTAINERS = BLOCKS - TEXT_BLOCKS - {"br", "hr", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "html", "body"}
 
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[a-z/!?](?:[^>"']|"[^"]*"|'[^']*')*+>|<[a-z/!?][^>]*(?:>|\Z)""",
@@ -68,8 +78,8 @@ class Element:
         self.name, self.start, self.end, self.closed, self.aside, self.comments = name, start, -1, False, aside, comments
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(line, its characters outside of links, in the marked article) of each block that is no chrome, in page order."""
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(line, its characters outside of links, in the marked article, empty lines before it) of each block, in page order."""
     events: list = []
     at = 0
     for m in TOKEN.finditer(page):
@@ -121,13 +131,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         x.end = len(events)
 
     articles = [(x.start, x.end) for x in elements if x.name in ("article", "main") and not x.comments and not (x.aside and x.name == "article")]
-    inside = lambda i: any(a < i < b for a, b in articles)
+    inner = bytearray(len(events) + 1)
+    for a, b in articles:
+        inner[a + 1 : b] = b"\1" * (b - a - 1)
     drop = bytearray(len(events) + 1)
     for x in elements:
         if not x.aside:
             continue
-        if x.name == "header" and inside(x.start):
-            continue  # an article's own heading
+        if inner[x.start] and (x.name == "header" or (x.comments and x.name in TEXT_BLOCKS)):
+            continue  # an article's own heading, or a paragraph of it that is only named like a comment
         if not x.comments and any(x.start < k < x.end for k in marks):
             continue  # it wraps the article, so its name says something else
         end = x.end
@@ -135,12 +147,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             end = next((k for k in range(x.start + 1, x.end) if isinstance(events[k], tuple) and events[k][0] in ("p", "h1", "h2", "section", "div", "article", "main") and events[k][1][1] != "/"), x.end)
         drop[x.start : end] = b"\1" * (end - x.start)
 
-    inner = bytearray(len(events) + 1)
-    for a, b in articles:
-        inner[a:b] = b"\1" * (b - a)
     out: list[tuple[str, int, bool]] = []
+    spans: list[tuple[int, int]] = []  # the first and last event of each line
     parts: list[str] = []
-    linked = links = 0
+    linked = links = first = last = 0
     kept_inside = False
 
     def close() -> None:
@@ -149,6 +159,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             line = " ".join("".join(parts).split())
             if line:
                 out.append((line, max(0, len(line) - linked), kept_inside))
+                spans.append((first, last))
             parts.clear()
         linked, kept_inside = 0, False
 
@@ -161,18 +172,32 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 links = 0 if tag[1] == "/" else 1
         elif e is not None and not drop[i]:
             text = html.unescape(e) if "&" in e else e
+            first, last = first if parts else i, i
             parts.append(text)
             kept_inside |= bool(inner[i])
             if links:
                 linked += len(" ".join(text.split()))
     close()
-    return out
+    return [(*line, gap) for line, gap in zip(out, gaps(elements, spans), strict=True)]
 
 
-def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """The lines [start, end) of the text: the stretch with the most text among those that start where a window's sum
-    reaches ``surge`` and end where the windows hold nothing any more."""
-    best, most = (0, 0), 0
+def gaps(elements: list[Element], spans: list[tuple[int, int]]) -> list[int]:
+    """The empty lines before each line: where a container begins or ends, one, or a window's worth if it holds several lines."""
+    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    before = [0] * (len(spans) + 1)
+    for x in elements:
+        if x.name in CONTAINERS:
+            a, b = bisect_left(starts, x.start), bisect_left(ends, x.end)  # its lines
+            size = WINDOW if b - a >= CONTAINER_LINES else 1
+            before[a] += size
+            before[b] += size
+    return before[:-1]
+
+
+def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """The stretches [start, end) of lines that start where a window's sum reaches ``surge``, with the lines of the rise
+    before it, and end where the windows hold nothing any more."""
+    out: list[tuple[int, int]] = []
     n, i = len(weights), 0
     sums = [sum(weights[j : j + window]) for j in range(n)]
     while i < n:
@@ -181,27 +206,41 @@ def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE)
             while j < n and sums[j] > 0:
                 j += 1
             end = j
-            while i and weights[i - 1]:  # a window that starts before the surge belongs to its rise
+            while i > (out[-1][1] if out else 0) and weights[i - 1]:
                 i -= 1
-            while end > i and not weights[end - 1]:
+            while not weights[end - 1]:
                 end -= 1
-            if (size := sum(weights[i:end])) > most:
-                best, most = (i, end), size
+            out.append((i, end))
             i = j
         i += 1
-    return best
+    return out
 
 
 def main_text(page: str) -> str:
-    """The article of a page, its blocks joined by line ends; empty if there is none."""
+    """The article of a page, its blocks joined by line ends; empty if there is none.
+
+    On a page without a marked article whose distribution never surges, all lines that weigh something are the text.
+    """
     lines = lines_of(page)
-    if any(x[2] for x in lines):
-        return "\n".join(x[0] for x in lines if x[2])
-    weights = [w if w * 2 >= len(line) else 0 for line, w, _ in lines]
-    start, end = surge_and_dive(weights)
-    if start == end:  # a short page that never surges: all that is no chrome and no list of links
-        return "\n".join(line for (line, _, _), w in zip(lines, weights, strict=True) if w)
-    return "\n".join(line for line, _, _ in lines[start:end])
+    marked = any(inside for _, _, inside, _ in lines)
+    weights: list[int] = []
+    at: list[int] = []  # the place of each line among lines and empty lines
+    region: list[int] = []
+    for k, (line, own, inside, gap) in enumerate(lines):
+        joined = marked and inside and k > 0 and lines[k - 1][2]
+        weights += [0] * (0 if joined else gap)
+        region.append((region[-1] if region else 0) + (k > 0 and not joined and gap >= WINDOW))
+        at.append(len(weights))
+        plain = own if own * 2 >= len(line) else 0
+        weights.append((len(line) + SURGE if inside else 0) if marked else plain)
+    heavy: dict[int, int] = {}
+    for k, r in enumerate(region):
+        heavy[r] = heavy.get(r, 0) + weights[at[k]]
+    least = 0 if marked else SHARE * max(heavy.values(), default=0)
+    good = [k for k, r in enumerate(region) if heavy[r] >= least]
+    stretches = surge_and_dive(weights)
+    kept = [k for k in good if any(a <= at[k] < b for a, b in stretches)]
+    return "\n".join(lines[k][0] for k in kept or [k for k in range(len(lines)) if weights[at[k]]])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
