@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def tokenizer_file(name: str) -> str:
     """Default place of a public tokenizer file; every operator takes the path as a parameter."""
@@ -26,26 +25,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests on one machine) is a temporary folder made and set.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """``df`` written in the shared folder and read back, see ``scratch``; here with few rows in an Arrow batch."""
+    small_batches(df.sparkSession)
+    return scratch.materialize(df, tag)
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores in front of those that ``columns`` has already (in either case)."""
+    there = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in there:
+            n = f"_{n}"
+        there.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Operator 3: line dedup by winnowing.
 
-Passages that repeat begin and end anywhere in a physical line, so a line here is a run of ``LINE`` words that may
-start at any word. Of every ``WINDOW`` lines in a row the one with the smallest hash is kept as a fingerprint: any two
-runs of ``RUN = LINE + WINDOW - 1`` equal words share one. Fingerprints are joined by hash to the positions of all
-their occurrences; where one repeats, the match is extended both ways with the hashes of all runs of ``RUN`` words that
-hold it. The first occurrence of a run, by doc_id and place, stays; the words of later ones are deleted.
+Lines are of two kinds. Passages that repeat begin and end anywhere in a physical line, so one kind is a run of ``LINE``
+words that may start at any word: of every ``WINDOW`` such lines in a row the one with the smallest hash is kept as a
+fingerprint, and any two runs of ``RUN = LINE + WINDOW - 1`` equal words share one. Fingerprints are joined by hash to
+the positions of all their occurrences; where one repeats, the match is extended both ways with the hashes of all runs
+of ``RUN`` words that hold it. The other kind is the physical line of ``MIN_LINE`` words or more: each is a window of its
+own, so all of them are fingerprints, and there is nothing to extend. The first occurrence of a run or line, by doc_id
+and place, stays; the words of later ones are deleted.
 
 The extension compares a run with the first occurrence of that very run, wherever it is, not with one chosen document:
-so the deleted words are exactly those in some run of RUN words that occurs before, and copies make no pairs.
+so the deleted words are exactly those in some run of RUN words, or some line, that occurs before, and copies make no
+pairs. Runs and lines are equal when two hashes over different bases are, of 64 and of 32 bits.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .wordhash import parts, run_hashes, sliding, whole, word_hashes
+from .common import free_names, materialize, table
+from .wordhash import parts, run_hashes, sliding, span_hashes, whole, words_and_lines
 
 LINE, WINDOW = 25, 26
 RUN = LINE + WINDOW - 1
+#: Physical lines of fewer words than this stay, however often they are there.
+MIN_LINE = 5
 #: A table of so many documents' positions is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_POSITIONS = 500_000, 4_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
 def minima(lines: np.ndarray, ok: np.ndarray, full: np.ndarray, window: int) -> np.ndarray:
@@ -47,13 +53,29 @@ def minima(lines: np.ndarray, ok: np.ndarray, full: np.ndarray, window: int) ->
     return np.nonzero((sliding(around, window, np.maximum) == lines) & ok)[0]
 
 
-def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> DataFrame:
+def low_half(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def line_spans(text: str, min_line: int) -> list[tuple[int, int]]:
+    """The first and last word of every physical line with at least ``min_line`` words."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        n = len(_WORD.findall(line))
+        if n >= min_line:
+            out.append((at, at + n - 1))
+        at += n
+    return out
+
+
+def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW, min_line: int = MIN_LINE) -> DataFrame:
     """``docs`` with what repeats deleted from text, and runs: the deleted stretches as first and last word, from 0.
 
-    Null text stays null and texts shorter than a run stay as they are; an empty table gives no rows; long texts count
-    whole; equal texts under two doc_ids lose their words in all but the first; rows equal in doc_id and text are one
-    document and stay alike; null doc_ids come after all others. Repeats inside one text count when they do not
-    overlap. All other columns pass through; a column named runs is replaced.
+    Null text stays null, and texts shorter than a run lose repeated lines alone; an empty table gives no rows; long
+    texts count whole; of equal texts under two doc_ids all but the first lose all words, or if they are shorter than a
+    run all lines of ``min_line`` words; rows equal in doc_id and text are one document and stay alike; null doc_ids come
+    after all others. Repeats inside one text count when they do not overlap. All other columns pass through, whatever
+    their names; a column named runs is replaced.
     """
     size = line + window - 1
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k_id"), F.col("text").cast("string").alias("k_text"))
@@ -73,20 +95,26 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
     source = source.join(F.broadcast(copies) if few else copies, ["k_id", "k_hash"], "left_anti").select("k_id", "k_text", "k_hash")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fingerprints of running lines (words 0), and all physical lines with their number of words."""
         for part in parts(batches, 1):
-            words, first = word_hashes(part.column(1))
+            words, first, words2, starts = words_and_lines(part.column(1))
             lines = run_hashes(words, line)
             at = minima(lines, whole(first, line), whole(first, size), window)
-            row = np.searchsorted(first, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lines[at].view(np.int64)), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array((at - first[row]).astype(np.int32))],
-                names=["print", "k_id", "k_hash", "place"],
-            )
+            a, b = starts[:-1], starts[1:]
+            long_ones = b - a >= min_line
+            a, b = a[long_ones], b[long_ones]
+            for h, check, p, n in ((lines[at], None, at, None), (span_hashes(words, a, b), span_hashes(words2, a, b), a, b - a)):
+                row = np.searchsorted(first, p, side="right") - 1
+                zero = np.zeros(len(p), np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(zero if check is None else low_half(check)), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array((p - first[row]).astype(np.int32)), pa.array(zero if n is None else n.astype(np.int32))],
+                    names=["print", "check", "k_id", "k_hash", "place", "words"],
+                )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
-            words, first = word_hashes(part.column(1))
-            runs, inside = run_hashes(words, size), whole(first, size)
+            words, first, words2, _ = words_and_lines(part.column(1))
+            runs, inside, checks = run_hashes(words, size), whole(first, size), low_half(run_hashes(words2, size))
             places = part.column(3)
             counts = np.diff(np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + len(places) + 1])
             begin = np.repeat(first[:-1], counts)
@@ -99,8 +127,8 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
             for i in range(0, len(at), 100_000):
                 a, r = at[i : i + 100_000], row[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs[a].view(np.int64)), part.column(0).take(pa.array(r)), part.column(2).take(pa.array(r)), pa.array((a - first[r]).astype(np.int32))],
-                    names=["run", "k_id", "k_hash", "place"],
+                    [pa.array(runs[a].view(np.int64)), pa.array(checks[a]), part.column(0).take(pa.array(r)), part.column(2).take(pa.array(r)), pa.array((a - first[r]).astype(np.int32))],
+                    names=["run", "check", "k_id", "k_hash", "place"],
                 )
 
     def checked(positions: DataFrame, column: str) -> DataFrame:
@@ -109,37 +137,50 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
         return F.broadcast(positions) if few[0] <= BROADCAST_DOCS and few[1] <= BROADCAST_POSITIONS else positions
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The places of runs as stretches of words."""
+        """The places and lengths of runs and lines as stretches of words that do not touch."""
         for batch in batches:
             out = []
-            for places in batch.column(2):
-                p = np.array(places.values, np.int64)
-                new = np.nonzero(np.diff(p) > size)[0]  # equal rows give equal places
-                out.append([{"first": a, "last": b + size - 1} for a, b in zip(p[np.concatenate([[0], new + 1])].tolist(), p[np.concatenate([new, [len(p) - 1]])].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["k_id", "k_hash", "k_runs"])
-
-    prints = materialize(source.mapInArrow(place, "print long, k_id long, k_hash long, place int"), "prints")
-    twice = materialize(prints.groupBy("print").count().filter("count > 1").select("print"), "repeated-prints")
-    spots = materialize(prints.join(twice, "print").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("place")).alias("places")), "spots")
-    runs = source.join(checked(spots, "places"), ["k_id", "k_hash"]).select("k_id", "k_text", "k_hash", "places").mapInArrow(extend, "run long, k_id long, k_hash long, place int")
+            for spots in batch.column(2):
+                v = np.array(spots.values, np.int64)
+                a, ends = v >> 32, np.maximum.accumulate((v >> 32) + (v & 0xFFFFFFFF))
+                new = np.nonzero(a[1:] > ends[:-1])[0]
+                out.append([{"first": x, "last": y - 1} for x, y in zip(a[np.concatenate([[0], new + 1])].tolist(), ends[np.concatenate([new, [len(v) - 1]])].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _RUNS)], names=["k_id", "k_hash", "k_runs"])
+
+    prints = materialize(source.mapInArrow(place, "print long, check int, k_id long, k_hash long, place int, words int"), "prints")
+    winnowed, lines = prints.filter("words = 0").select("print", "k_id", "k_hash", "place"), prints.filter("words > 0")
+    twice = materialize(winnowed.groupBy("print").count().filter("count > 1").select("print"), "repeated-prints")
+    spots = materialize(winnowed.join(twice, "print").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("place")).alias("places")), "spots")
+    runs = source.join(checked(spots, "places"), ["k_id", "k_hash"]).select("k_id", "k_text", "k_hash", "places").mapInArrow(extend, "run long, check int, k_id long, k_hash long, place int")
     # The order of occurrences: in one long where ids and places fit, which aggregates without a sort.
     fits = alone and span[0] is not None and 0 <= span[0] and span[1] < 1 << 38 and span[2] < 1 << 24
     here = F.shiftleft("k_id", 24).bitwiseOR(F.col("place").cast("long")) if fits else F.struct("k_id", "k_hash", "place")
-    first = materialize(runs.groupBy("run").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first"), "first-runs")
+
+    def firsts(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+        """The first occurrence of what is there more than once."""
+        return materialize(rows.groupBy(*keys).agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys, "first"), tag)
+
     first_place = F.col("first").bitwiseAND(F.lit((1 << 24) - 1)) if fits else F.col("first.place")
     same = F.shiftright("first", 24) == F.col("k_id") if fits else (F.col("k_id") == F.col("first.k_id")) & (F.col("k_hash") == F.col("first.k_hash"))
-    later = runs.join(first, "run").filter((here > F.col("first")) & (~same | (F.col("place") >= first_place + size)))
-    cuts = later.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    spot = lambda n: F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(n.cast("long")).alias("spot")
+    later = runs.join(firsts(runs, ["run", "check"], "first-runs"), ["run", "check"]).filter((here > F.col("first")) & (~same | (F.col("place") >= first_place + size)))
+    again = lines.join(firsts(lines, ["print", "check"], "first-lines"), ["print", "check"]).filter(here > F.col("first"))
+    gone = later.select("k_id", "k_hash", spot(F.lit(size))).unionByName(again.select("k_id", "k_hash", spot(F.col("words"))))
+    cuts = gone.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("spot")).alias("spots"))
     cuts = materialize(cuts.mapInArrow(stretches, "k_id long, k_hash long, k_runs array<struct<first:int,last:int>>"), "cuts")
 
+    plain = docs.drop("runs").withColumn("text", F.col("text").cast("string"))
+    key_id, key_hash, key_runs, key_copy = free_names([*plain.columns, "runs"], "k_id", "k_hash", "k_runs", "k_copy")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
-            for text, runs_of, copy in zip(batch.column("text"), batch.column("k_runs").to_pylist(), batch.column("k_copy").to_pylist(), strict=True):
+            for text, runs_of, copy in zip(batch.column("text"), batch.column(key_runs).to_pylist(), batch.column(key_copy).to_pylist(), strict=True):
                 text = text.as_py()
                 stretches = runs_of or []
-                if copy and (n := len(_WORD.findall(text))) >= size:
-                    stretches = [{"first": 0, "last": n - 1}]
+                if copy:
+                    n = len(_WORD.findall(text))
+                    stretches = [{"first": a, "last": b} for a, b in ([(0, n - 1)] if n >= size else line_spans(text, min_line))]
                 if stretches:
                     spans = [m.span() for m in _WORD.finditer(text)]
                     kept, at = [], 0
@@ -149,17 +190,16 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW) -> D
                     text = "".join([*kept, text[at:]])
                 texts.append(text)
                 gone.append(stretches)
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("k_runs", "k_copy")}
-            columns |= {"text": pa.array(texts, pa.string()), "runs": pa.array(gone, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))}
+            columns = {n: batch.column(n) for n in batch.schema.names if n not in (key_runs, key_copy)}
+            columns |= {"text": pa.array(texts, pa.string()), "runs": pa.array(gone, _RUNS)}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    plain = docs.drop("runs").withColumn("text", F.col("text").cast("string"))
     names = [*plain.columns, "runs"]
     schema = plain.withColumn("runs", F.lit(None).cast("array<struct<first:int,last:int>>")).schema
-    keyed = plain.withColumns({"k_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "k_hash": tag(F.col("text"))})
-    met = keyed.join(checked(cuts, "k_runs"), ["k_id", "k_hash"], "left")
-    marked = copies.withColumn("k_copy", F.lit(True))
-    met = met.join(F.broadcast(marked) if few else marked, ["k_id", "k_hash"], "left").drop("k_id", "k_hash")
+    keyed = plain.withColumns({key_id: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), key_hash: tag(F.col("text"))})
+    met = keyed.join(checked(cuts, "k_runs").toDF(key_id, key_hash, key_runs), [key_id, key_hash], "left")
+    marked = copies.select(F.col("k_id").alias(key_id), F.col("k_hash").alias(key_hash), F.lit(True).alias(key_copy))
+    met = met.join(F.broadcast(marked) if few else marked, [key_id, key_hash], "left").drop(key_id, key_hash)
     return met.mapInArrow(cut, schema)
 
 

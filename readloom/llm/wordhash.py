@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
+_BASE2 = 0xD6E8FEB86659FD93
+_BACK2 = pow(_BASE2, -1, 1 << 64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,6 +42,21 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
 
     Words are runs without ASCII white space; lower: A-Z count as a-z. Nulls have no words.
     """
+    raw, offsets, s, e = _words(column)
+    return _hashes(raw, s, e, _LOWER if lower else _SAME, _BASE, _BACK), np.searchsorted(s, offsets)
+
+
+def words_and_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and first words as word_hashes gives them, hashes of the same words by another base, and the index of the
+    first word of each line (texts are lines without line feeds; lines without words have the next one's) and their number."""
+    raw, offsets, s, e = _words(column)
+    first = np.searchsorted(s, offsets)
+    lines = np.union1d(first, np.searchsorted(s, np.nonzero(raw == 10)[0]))
+    return _hashes(raw, s, e, _SAME, _BASE, _BACK), first, _hashes(raw, s, e, _SAME, _BASE2, _BACK2), lines
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, where rows begin and at last end, where words begin, where they end)."""
     column = pc.fill_null(column.cast(pa.string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
@@ -53,10 +70,20 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     inside = ~space[1:-1]
     s = np.nonzero(inside & (space[:-2] | begins[:-1]))[0]
     e = np.nonzero(inside & (space[2:] | begins[1:]))[0] + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _SAME)[raw] * powers(_BASE, n), dtype=np.uint64, out=sums[1:])
-    hashes = mixed((sums[e] - sums[s]) * powers(_BACK, n + 1)[s])
-    return hashes, np.searchsorted(s, offsets)
+    return raw, offsets, s, e
+
+
+def _hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, codes: np.ndarray, base: int, back: int) -> np.ndarray:
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(codes[raw] * powers(base, len(raw)), dtype=np.uint64, out=sums[1:])
+    return mixed((sums[e] - sums[s]) * powers(back, len(raw) + 1)[s])
+
+
+def span_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of the words from each a up to b, which is not in it; as run_hashes has it for that length."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(_BASE, len(words)), dtype=np.uint64, out=sums[1:])
+    return mixed((sums[b] - sums[a]) * powers(_BACK, len(words) + 1)[a] + (b - a).astype(np.uint64))
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:

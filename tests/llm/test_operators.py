@@ -77,7 +77,8 @@ def test_topk(spark):
 def test_line_dedup(docs, none, spark):
     assert repeats.remove_repeats(none).count() == 0
     got = {(r.doc_id, r.lang): r for r in repeats.remove_repeats(docs).collect()}
-    assert got[2, "en"].text is None and got[4, None].text == "a b c d e" and got[1, "en"].runs == []
+    assert got[2, "en"].text is None and got[1, "en"].text == "a b c d e" and got[1, "en"].runs == [] and got[None, "en"].text == "x y"
+    assert got[4, None].text == "" and [tuple(r) for r in got[4, None].runs] == [(0, 4)]  # a whole line that is there before
     words = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(1, " ".join(words[:80])), (2, "x y " + " ".join(words[10:75]) + " z"), (3, " ".join(words[100:149]))], "doc_id long, text string")
     assert {r.doc_id: r.text for r in repeats.remove_repeats(df).collect()} == {1: " ".join(words[:80]), 2: "x y z", 3: " ".join(words[100:149])}
