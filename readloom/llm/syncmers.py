@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 K, S = 4, 2
-#: Most buckets of neighbouring doc_ids; two levels of 32.
-BUCKETS = 1024
+#: Segments of neighbouring doc_ids, cut at quantiles in two levels of 32; buckets are even parts of them, without a limit.
+SEGMENTS = 1024
 _LOWEST = -(1 << 63)
 
 
@@ -115,36 +115,62 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((n(a) == 0) & (n(b) == 0), F.lit(1.0)).otherwise(share)
 
 
-def with_next(docs: DataFrame, order: Column, columns: list[str], buckets: int) -> DataFrame:
-    """Each row with the ``columns`` of the next one as ``next_*``, descending by ``order``; after the last: the first.
+def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
+    """``docs`` (place, tie and others) with bucket, which never falls along place and then tie.
 
-    Rows go to buckets of neighbouring values of ``order`` (at quantiles, so at most ``BUCKETS``), and a bucket's first
-    row is copied to the end of the one before; so no window spans more than a bucket.
+    Quantiles of place cut at most ``SEGMENTS`` segments, each of them evenly into as many parts as the number of buckets
+    asks for, so buckets grow with the rows. A place with more rows than a bucket should hold is cut by tie, a hash.
     """
-    docs = docs.withColumn("place", order)
-    buckets = max(1, min(buckets, BUCKETS))
-    cuts = sorted(set(docs.approxQuantile("place", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)))) if buckets > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    if cuts:
-        coarse, step = cuts[31::32], 32
-        fine = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-        block = F.size(F.filter(F.array(*map(F.lit, coarse)).cast("array<bigint>"), lambda c: c <= F.col("place"))) if coarse else F.lit(0)
-        bucket = let(block * step, lambda b: b + F.size(F.filter(F.slice(fine, b + 1, F.lit(step)), lambda c: c <= F.col("place"))))
-    else:
-        bucket = F.lit(0)
-    docs = docs.withColumn("bucket", bucket.cast("int"))
-    tops = {r[0]: r[1] for r in docs.groupBy("bucket").agg(F.max("place")).collect()}  # one row a bucket
-    there = sorted(tops)
-    top = F.array(*[F.lit(tops.get(b)).cast("bigint") for b in range(max(there, default=0) + 1)])
-    before = {b: there[(i + 1) % len(there)] for i, b in enumerate(there)}
-    up = F.array(*[F.lit(before.get(b, 0)).cast("int") for b in range(max(there, default=0) + 1)])
-    own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("copy"))
-    copies = F.when(F.col("place") == F.get(top, F.col("bucket")), F.array(own, F.struct(F.get(up, F.col("bucket")).alias("b"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    rows = docs.withColumn("at", F.explode(copies)).withColumn("bucket", F.col("at.b")).withColumn("copy", F.col("at.copy")).drop("at")
-    line = Window.partitionBy("bucket").orderBy("copy", F.desc("place"), F.desc(columns[0]))
-    for c in columns:
+    segments = max(1, min(buckets, SEGMENTS))
+    parts = -(-buckets // segments)
+    at = [i / segments for i in range(1, segments)]
+    cuts = sorted({int(c) for c in docs.approxQuantile("place", at, 1 / (4 * segments))}) if at else []
+    ends = docs.agg(F.min("place"), F.max("place"), F.count(F.lit(1))).first()
+    if ends[0] is None:
+        return docs.withColumns({"bucket": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
+    bounds = [ends[0], *[c for c in cuts if c > ends[0]], min(ends[1] + 1, (1 << 63) - 1)]
+    longs = lambda x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    fine, step = longs(bounds[1:-1]), 32
+    block = F.size(F.filter(longs(bounds[32:-1:32]), lambda c: c <= F.col("place"))) if len(bounds) > 33 else F.lit(0)
+    segment = let(block * step, lambda b: b + F.size(F.filter(F.slice(fine, b + 1, F.lit(step)), lambda c: c <= F.col("place")))) if len(bounds) > 2 else F.lit(0)
+    # In decimals: places reach over all longs.
+    wide = lambda c: c.cast("decimal(20,0)")
+    low, width = (lambda g: wide(F.get(longs(bounds), g))), (lambda g: wide(F.get(longs(bounds), g + 1)) - wide(F.get(longs(bounds), g)))
+    share = lambda g: F.coalesce(F.floor((wide(F.col("place")) - low(g)) * F.lit(parts).cast("decimal(10,0)") / F.nullif(width(g), F.lit(0).cast("decimal(21,0)"))), F.lit(0))
+    docs = docs.withColumn("bucket", let(segment, lambda g: g.cast("long") * parts + F.least(share(g).cast("long"), F.lit(parts - 1).cast("long"))))
+    most = max(1, ends[2] // buckets)
+    hot = docs.groupBy("bucket", "place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * most)  # at most buckets / 2 of them
+    hot = hot.groupBy("bucket").agg(F.collect_list(F.struct("place", F.ceil(F.col("n") / most).cast("long").alias("slices"))).alias("hot"))
+    met = docs.join(F.broadcast(hot), "bucket", "left")
+    # A bucket with hot places has, in order, what lies before the first, its slices, what lies up to the second, and so on.
+    before = F.size(F.filter("hot", lambda h: h["place"] < F.col("place")))
+    own = F.get(F.filter("hot", lambda h: h["place"] == F.col("place")), F.lit(0))["slices"]
+    part = F.floor((wide(F.col("tie")) + F.lit(str(1 << 63)).cast("decimal(20,0)")) * own.cast("decimal(12,0)") / F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("long")
+    zone = (2 * before + own.isNotNull().cast("int")).cast("long")
+    return met.withColumn("part", F.when(F.col("hot").isNull(), F.lit(0).cast("long")).otherwise(zone * (1 << 32) + F.coalesce(part, F.lit(0).cast("long")))).drop("hot")
+
+
+def with_next(docs: DataFrame, order: Column, buckets: int, add) -> DataFrame:
+    """Each row with the text and fp of the next one as ``next_*``, descending by ``order``; after the last: the first.
+
+    Rows go to buckets of neighbouring values of ``order``, and a bucket's first row is copied to the end of the one
+    before; so no window spans more than a bucket. Texts move once; ``add`` computes what else is needed where they lie.
+    """
+    docs = bucketed(docs.withColumns({"place": order, "tie": F.xxhash64("text")}), buckets)
+    key = F.struct("bucket", "part")
+    tops = sorted(((r[0][0], r[0][1]), (r[1][0], r[1][1])) for r in docs.groupBy(key.alias("key")).agg(F.max(F.struct("place", "tie"))).collect())  # one row a bucket
+    up = [(k[0], k[1], t[0], t[1], *tops[(i + 1) % len(tops)][0]) for i, (k, t) in enumerate(tops)]
+    ends = docs.sparkSession.createDataFrame(up, "bucket long, part long, top_place long, top_tie long, to_bucket long, to_part long")
+    own = F.struct("bucket", "part", F.lit(0).alias("copy"))
+    there = F.struct(F.col("to_bucket").alias("bucket"), F.col("to_part").alias("part"), F.lit(1).alias("copy"))
+    first = (F.col("place") == F.col("top_place")) & (F.col("tie") == F.col("top_tie"))
+    met = docs.join(F.broadcast(ends), ["bucket", "part"])
+    rows = met.withColumn("at", F.explode(F.when(first, F.array(own, there)).otherwise(F.array(own)))).select("doc_id", "text", "place", "tie", "at.*")
+    rows = add(rows.repartition("bucket", "part"))
+    line = Window.partitionBy("bucket", "part").orderBy("copy", F.desc("place"), F.desc("tie"))
+    for c in ("text", "fp"):
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(line))
-    return rows.filter("copy = 0").drop("copy", "bucket", "place")
+    return rows.filter("copy = 0").drop("copy", "bucket", "part", "place", "tie")
 
 
 def fingerprints(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
@@ -152,15 +178,14 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
 
     The edited text has the last third of its characters replaced by the first as many of the next document's text.
     Null text counts as empty, and an empty text has an empty fingerprint; an empty table gives no rows; a single row
-    is its own next one; rows that repeat a doc_id are ordered by text, descending; null doc_ids come last; long texts
-    count whole; other columns are not read.
+    is its own next one; rows that repeat a doc_id are ordered by a hash of the text, descending; null doc_ids come last;
+    long texts count whole; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("fp", fingerprint(F.col("text")))
     n = docs.count()
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // rows_per_bucket) if n > 1000 else 1
-    met = with_next(rows, F.coalesce("doc_id", F.lit(_LOWEST)), ["text", "fp"], buckets)
+    met = with_next(rows, F.coalesce("doc_id", F.lit(_LOWEST)), buckets, lambda r: r.withColumn("fp", fingerprint(F.col("text"))))
     third = F.floor(F.length("text") / 3).cast("int")
     met = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.col("text").substr(F.lit(1), F.length("text") - third), F.col("next_text").substr(F.lit(1), third)).alias("edited"))
     met = met.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_fp", fingerprint(F.col("edited")))
