@@ -8,25 +8,27 @@ quantile no trusted document is scored by its own counts: texts are dealt into `
 scored by the model of the others.
 
 N-grams are of characters since the words of these texts are open-ended; a symbol has ``BITS`` bits (characters up to
-2047 have one each, others share 2048), so that an n-gram is a long.
+2047 have one each, others share 2048), so that an n-gram is a long. What an n-gram costs, -ln p, is held in units of
+1 / ``UNITS``, so that a document's sum is the same in any order and by either way of joining.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_names, materialize, table
 from .wordhash import parts
 
 ORDER, BITS = 5, 12
 VOCABULARY = 1 << BITS
+UNITS = 1 << 20
 #: The share of a language's trusted documents that stay; documents under MIN_CHARS hold too little to be judged.
 QUANTILE, MIN_CHARS = 0.995, 40
 #: Parts of the trusted texts, each held out once.
@@ -115,7 +117,7 @@ def _mask(order: int) -> int:
 
 
 def probabilities(found: DataFrame) -> DataFrame:
-    """(gram, logp) of every n-gram in ``found`` (gram, c), by sharded joins with the counts of each order."""
+    """(gram, cost) of every n-gram in ``found`` (gram, c), by sharded joins with the counts of each order."""
     tables: dict[int, DataFrame] = {ORDER: found.filter("c > 0")}
     for m in range(ORDER - 1, 0, -1):  # in how many contexts of one more symbol it occurs
         tables[m] = materialize(tables[m + 1].groupBy(F.col("gram").bitwiseAND(F.lit(_mask(m))).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"order-{m}")
@@ -124,7 +126,8 @@ def probabilities(found: DataFrame) -> DataFrame:
         d = discounts(tables[m])
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         rows = tables[m].select(F.col("gram").alias("g"), F.shiftright("gram", BITS).alias("h"), F.col("c").alias("n"), cut.alias("cut"))
-        context = rows.groupBy("h").agg(F.sum("n").alias("total"), (F.sum("cut")).alias("left"))
+        left = sum((F.count_if(c).cast("double") * x for c, x in zip((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), d, strict=True)), F.lit(0.0))
+        context = rows.groupBy("h").agg(F.sum("n").alias("total"), left.alias("left"))
         if m == 1:
             total = context.first()
             if total is None:
@@ -138,7 +141,7 @@ def probabilities(found: DataFrame) -> DataFrame:
             now = now.withColumn("over", F.when(F.col("c") > 0, F.col("c") - cut))
         p = (F.coalesce("over", F.lit(0.0)) + F.col("left") * F.col("p")) / F.col("total")
         now = now.withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise(p)).drop("over", "total", "left")
-    return now.select("gram", F.log("p").alias("logp"))
+    return now.select("gram", F.round(-F.log("p") * UNITS).cast("long").alias("cost"))
 
 
 def sent_model(model: DataFrame):
@@ -146,49 +149,55 @@ def sent_model(model: DataFrame):
     if model.count() > BROADCAST_GRAMS:
         return None
     rows = model.toArrow()
-    codes, logp = rows.column("gram").to_numpy(), rows.column("logp").to_numpy()
+    codes, cost = rows.column("gram").to_numpy(), rows.column("cost").to_numpy()
     order = np.argsort(codes, kind="stable")
-    return model.sparkSession.sparkContext.broadcast((codes[order], logp[order]))
+    return model.sparkSession.sparkContext.broadcast((codes[order], cost[order]))
 
 
 def perplexities(docs: DataFrame, model: DataFrame, sent) -> DataFrame:
-    """``docs`` with perplexity (null without text). model: (gram, logp) with all their n-grams; sent: sent_model of it."""
-    if sent is None:
-        return _perplexities_by_join(docs, model)
+    """``docs`` with perplexity (null without text). model: (gram, cost) with all their n-grams; sent: sent_model of it."""
     plain = docs.drop("perplexity")
+    total, n = free_names(plain.columns, "cost_sum", "cost_n")
+    summed = _sums_by_join(plain, model, total, n) if sent is None else _sums_sent(plain, sent, total, n)
+    return summed.withColumn("perplexity", F.when(F.col(n) > 0, F.exp(F.least(F.col(total) / F.lit(float(UNITS)) / F.col(n), F.lit(700.0))))).drop(total, n)
+
+
+def _sums_sent(plain: DataFrame, sent, total: str, n: str) -> DataFrame:
+    """``plain`` with the sum of its n-grams' costs and their number."""
     at = plain.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, logp = sent.value
+        codes, cost = sent.value
         for part, texts in chunks(batches, at):
             code, lengths = grams(texts)
             found, back = np.unique(code, return_inverse=True)
             place = np.minimum(np.searchsorted(codes, found), max(len(codes) - 1, 0))
             if len(found) and not (len(codes) and (codes[place] == found).all()):
                 raise ValueError("the model lacks n-grams of these documents")
-            each = logp[place][back] if len(found) else np.empty(0)
+            sums = np.concatenate([[0], np.cumsum(cost[place][back] if len(found) else np.empty(0, np.int64))])
             ends = np.cumsum(lengths)
-            losses = [-float(each[e - n : e].sum()) / n if n else None for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            ppl = pa.array([None if x is None else math.exp(min(x, 700)) for x in losses], pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns, ppl], names=[*part.schema.names, "perplexity"])
+            none = pa.array(lengths == 0)
+            columns = [pc.if_else(none, None, pa.array(x.astype(np.int64))) for x in (sums[ends] - sums[ends - lengths], lengths)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, total, n])
 
-    return plain.mapInArrow(run, plain.withColumn("perplexity", F.lit(None).cast("double")).schema)
+    return plain.mapInArrow(run, plain.withColumns({total: F.lit(None).cast("long"), n: F.lit(None).cast("long")}).schema)
 
 
-def _perplexities_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same where the model is too large to send: every document's n-grams meet it in a join."""
+def _sums_by_join(plain: DataFrame, model: DataFrame, total: str, n: str) -> DataFrame:
+    """The same where the model is too large to send: every distinct text's n-grams meet it in a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 code, _ = grams([text.as_py() or ""])
-                found, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key, np.int64)), pa.array(found), pa.array(n.astype(np.int64))], names=["text_key", "gram", "n"])
+                found, m = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k1, np.int64)), pa.array(np.full(len(found), k2, np.int64)), pa.array(found), pa.array(m.astype(np.int64))], names=["k1", "k2", "gram", "m"])
 
-    keyed = docs.drop("perplexity").withColumn("text_key", F.xxhash64("text"))
-    own = keyed.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(run, "text_key long, gram long, n long")
-    sums = own.join(model, "gram").groupBy("text_key").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("loss"))
-    return keyed.join(sums, "text_key", "left").withColumn("perplexity", F.exp(F.least(F.col("loss"), F.lit(700.0)))).drop("text_key", "loss")
+    keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.reverse("text"))}
+    own = plain.select("text").withColumns(keys).groupBy("k1", "k2").agg(F.first("text").alias("text")).select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, gram long, m long")
+    sums = own.join(model, "gram").groupBy("k1", "k2").agg(F.sum(F.col("m") * F.col("cost")).alias("a"), F.sum("m").alias("b"))
+    k1, k2 = free_names([*plain.columns, total, n], "k1", "k2")
+    return plain.withColumns({k1: keys["k1"], k2: keys["k2"]}).join(sums.toDF(k1, k2, total, n), [k1, k2], "left").select(*plain.columns, total, n)
 
 
 def held_out(marked: DataFrame, found: DataFrame) -> DataFrame:
@@ -210,8 +219,8 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, min_c
     Thresholds come from trusted documents that the model did not see; perplexity is that of the model of all of them.
     A language without trusted documents has no threshold (null), and its documents are accepted; so are null, empty
     and short texts (perplexity is null without text). Null languages count as one. An empty table gives no rows,
-    repeated rows and ids are judged alike, long texts count whole. All other columns pass through; columns named
-    perplexity, threshold or accepted are replaced.
+    repeated rows and ids are judged alike, long texts count whole. All other columns pass through, whatever their names;
+    columns named perplexity, threshold or accepted are replaced.
     """
     docs = docs.drop("perplexity", "threshold", "accepted").withColumn("text", F.col("text").cast("string"))
     ids = materialize(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "trusted")
@@ -222,11 +231,13 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, min_c
     found = materialize(count_grams(marked), "grams")
     own = held_out(marked.filter(F.length("text") >= min_chars), found)
     bars = materialize(own.groupBy(F.coalesce("lang", F.lit("")).alias("b_lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")), "thresholds")
+    (bar,) = free_names([*docs.columns, "perplexity", "threshold"], "b_lang")
+    bars = bars.withColumnRenamed("b_lang", bar)
     model = materialize(probabilities(found.select("gram", "c")), "model")
     sent = sent_model(model)
     scored = perplexities(docs, model, sent)
     few = bars.count() <= BROADCAST_IDS
-    scored = scored.join(F.broadcast(bars) if few else bars, F.coalesce("lang", F.lit("")) == F.col("b_lang"), "left").drop("b_lang")
+    scored = scored.join(F.broadcast(bars) if few else bars, F.coalesce("lang", F.lit("")) == F.col(bar), "left").drop(bar)
     short = F.length("text") < min_chars
     good = F.col("perplexity").isNull() | F.col("threshold").isNull() | short | (F.col("perplexity") <= F.col("threshold"))
     return scored.withColumn("accepted", F.coalesce(good, F.lit(True)))
