@@ -5,8 +5,9 @@ blocks, each with a forward index (its rows) and, by dimension ("term"), the lar
 weighs a block by the sum of its term maxima, an upper bound of any score inside, visits the blocks from the highest
 bound down, and stops when a bound falls below its kth score.
 
-Query batches meet ranges in a grid: batch r and range s are sent to cell (r, s). Each cell returns k rows a query, and
-these are ranked by query.
+Every query first meets one range, by a hash; its kth score there is a floor that it carries to all other ranges, where
+blocks whose bounds lie below it are never opened. For that, query batches meet ranges in a grid: batch r and range s
+are sent to cell (r, s). Each cell returns at most k rows a query, and these are ranked by query.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from .common import materialize, table
 
 K = 10
 SCALE = 1024
-BLOCK = 128
+BLOCK = 32
 RANGE_ROWS = 8192
 BATCH_QUERIES = 4096
 _LIMIT = 2.0**62
 
 BLOCK_SCHEMA = "range_id long, ids binary, rows binary, width int, digits string"
-CELL_SCHEMA = "query_key long, query_id long, vec_id long, score long"
+CELL_SCHEMA = "query_key long, query_id long, vec_id long, score long, range_id long, scored long, blocks long"
 
 
 def whole_numbers(vectors: list, scale: int) -> np.ndarray:
@@ -85,17 +86,18 @@ class Blocks:
         """By query and block: the sum over terms of the largest product."""
         return dot(np.maximum(queries, 0), self.high.T) + dot(np.minimum(queries, 0), self.low.T)
 
-    def top(self, query: np.ndarray, own: int, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(vec_ids, scores, blocks scored) of the k best rows, ties to the smaller id."""
+    def top(self, query: np.ndarray, own: int, bounds: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(vec_ids, scores, blocks scored) of the k best rows that reach ``floor``, ties to the smaller id."""
         ids, scores, seen = np.empty(0, np.int64), np.empty(0, bounds.dtype), 0
         for b in np.argsort(-bounds, kind="stable"):
-            if len(ids) == k and bounds[b] < scores[-1]:
+            least = scores[-1] if len(ids) == k else floor
+            if least is not None and bounds[b] < least:
                 break
             seen += 1
             got = dot(self.rows[b], query)
             keep = self.ids[b] != own
-            if len(ids) == k:
-                keep &= got >= scores[-1]
+            if least is not None:
+                keep &= got >= least
             if keep.any():
                 ids, scores = np.concatenate([ids, self.ids[b][keep]]), np.concatenate([scores, got[keep]])
                 best = np.lexsort((ids, -scores))[:k]
@@ -103,14 +105,9 @@ class Blocks:
         return ids, scores, seen
 
 
-def exact_topk(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_column: str = "vec_id", vector_column: str = "embedding", block: int = BLOCK, range_rows: int = RANGE_ROWS, batch_queries: int = BATCH_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best other rows (all, if fewer), ties to the smaller vec_id.
-
-    is_query: a condition on ``id_column``. Rows with a null id, a null vector, or null or non-finite components take
-    no part; of vectors of different lengths, what one lacks counts as zero (an empty vector scores 0); an empty table
-    gives no rows. Rows that repeat an id are candidates each; for queries with that id all of them are the own row,
-    and equal ones are one query. Other columns are not read.
-    """
+def cells(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_column: str = "vec_id", vector_column: str = "embedding", block: int = BLOCK, range_rows: int = RANGE_ROWS, batch_queries: int = BATCH_QUERIES) -> DataFrame:
+    """(query_key, query_id, vec_id, score, range_id, scored, blocks): the best rows of each query and range that can be
+    among its k best, and how many of the range's blocks were scored for it. See exact_topk."""
     spark = vectors.sparkSession
     vec = F.col(vector_column).cast("array<double>")
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), vec.alias("vec")).filter(
@@ -143,11 +140,13 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_
             yield blocks(ids, vecs)
 
     ranges = max(1, math.ceil(rows.count() / range_rows))
-    index = materialize(rows.repartitionByRange(ranges, "vec_id").mapInArrow(build, BLOCK_SCHEMA), "topk-blocks")
+    # A repeated id is cut by its vectors.
+    index = materialize(rows.repartitionByRange(ranges, "vec_id", F.xxhash64("vec")).mapInArrow(build, BLOCK_SCHEMA), "topk-blocks")
     ranges = 1 + (index.agg(F.max("range_id")).first()[0] or 0)
     asked = rows.filter(is_query(F.col("vec_id"))).distinct()
     batches = max(1, math.ceil(asked.count() / batch_queries))
-    asked = asked.withColumn("query_key", F.xxhash64("vec_id", "vec")).withColumn("batch", F.pmod("query_key", F.lit(batches)))
+    asked = asked.withColumn("query_key", F.xxhash64("vec_id", "vec")).withColumns({"batch": F.pmod("query_key", F.lit(batches)), "home": F.pmod(F.xxhash64("query_key", F.lit(1)), F.lit(ranges))})
+    names = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
@@ -157,14 +156,34 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, id_
             q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
             own = Blocks(left, width)
             bounds = own.bounds(q)
-            for i, (key, query_id) in enumerate(zip(right["query_key"], right["vec_id"], strict=True)):
-                ids, scores, _ = own.top(q[i], query_id, bounds[i], k)
-                out.append(pd.DataFrame({"query_key": key, "query_id": query_id, "vec_id": ids, "score": [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_key", "query_id", "vec_id", "score")})
-
+            for i, (key, query_id, floor) in enumerate(zip(right["query_key"].tolist(), right["vec_id"].tolist(), right["floor"].tolist(), strict=True)):
+                ids, scores, scored = own.top(q[i], query_id, bounds[i], k, None if pd.isna(floor) else int(floor))
+                clipped = [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores]
+                out.append(pd.DataFrame({"query_key": key, "query_id": query_id, "vec_id": ids, "score": clipped, "range_id": int(left["range_id"].iloc[0]), "scored": scored, "blocks": len(left)}))
+        return pd.concat(out)[names] if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        columns = ["batch", "range_id", "query_key", "vec_id", "vec", F.col("floor").cast("string").alias("floor")]
+        return left.groupBy("batch", "range_id").cogroup(right.select(*columns).groupBy("batch", "range_id")).applyInPandas(cell, CELL_SCHEMA)
+
+    # A query's first range needs no batches: a range meets a share of all queries there.
+    none = F.lit(None).cast("long")
+    first = materialize(meet(index.withColumn("batch", F.lit(0).cast("long")), asked.withColumns({"batch": F.lit(0).cast("long"), "range_id": F.col("home"), "floor": none})), "topk-home")
+    floors = first.groupBy("query_key").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    others = asked.withColumn("range_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long")))).filter("range_id != home")
     left = index.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
-    right = asked.withColumn("range_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long"))))
-    found = left.groupBy("batch", "range_id").cogroup(right.groupBy("batch", "range_id")).applyInPandas(cell, CELL_SCHEMA)
+    return first.unionByName(meet(left, others.join(floors, "query_key", "left"))) if ranges > 1 else first
+
+
+def exact_topk(vectors: DataFrame, is_query, k: int = K, **options) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best other rows (all, if fewer), ties to the smaller vec_id.
+
+    is_query: a condition on ``id_column``; options: see ``cells``. Rows with a null id, a null vector, or null or
+    non-finite components take no part; of vectors of different lengths, what one lacks counts as zero (an empty vector
+    scores 0); an empty table gives no rows. Rows that repeat an id are candidates each; for queries with that id all of
+    them are the own row, and equal ones are one query. Other columns are not read.
+    """
+    found = cells(vectors, is_query, k, **options)
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

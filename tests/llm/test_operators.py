@@ -128,7 +128,8 @@ def test_html():
     assert html_text.main_text('<p>Hello there.</p><div class="comments"><p>no</p></div>') == "Hello there."
 
 
-def test_quality(docs, none, spark):
+def test_quality(docs, none, spark, monkeypatch):
+    monkeypatch.setattr(quality, "FOLDS", 2)
     trusted = spark.createDataFrame([(1,), (7,)], "doc_id long")
     assert quality.judge(none, trusted).count() == 0
     assert quality.judge(docs, trusted).filter("accepted").count() >= len(DOCS) - 1
@@ -155,7 +156,7 @@ def test_kneser_ney_sums_to_one(spark):
     every = spark.createDataFrame([(context | w,) for w in range(quality.VOCABULARY)], "gram long").join(seen, "gram", "left").fillna(0)
     others = seen.join(every.select("gram"), "gram", "left_anti")
     p = quality.probabilities(every.unionByName(others)).filter(f"gram >> {quality.BITS} = {context >> quality.BITS}").toPandas()
-    assert len(p) == quality.VOCABULARY and abs(2.718281828459045 ** p.logp).sum() == pytest.approx(1, abs=1e-6)
+    assert len(p) == quality.VOCABULARY and (2.718281828459045 ** (-p.cost / quality.UNITS)).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_tool_calls(spark):
@@ -178,3 +179,90 @@ def test_tool_calls_keep_every_row(spark):
     assert sum(r["errors"] == "duplicate_call" for r in got) == 3 and sum(r["result"] == "first" for r in got) == 1
     assert sorted((r["turn"], r["result"]) for r in got if r["errors"] == "duplicate_result") == [(4, "??"), (5, "late"), (5, "late")]
     assert sorted((r["conv"] or 0, r["result"]) for r in got if r["errors"] == "missing_id") == [(0, "lost"), (4, None)] and len(got) == 10
+
+
+def test_next_documents_in_many_buckets(spark):
+    """Whatever the buckets, texts follow each other by doc_id, and equal doc_ids by their texts' hash."""
+    rng = random.Random(4)
+    rows = [(i * i * 7919, f"text {i} " * rng.randint(1, 9)) for i in range(300)] + [(None, f"null {i} abc def") for i in range(200)] + [(5, f"five {i} abc def ghi") for i in range(150)] + [(1 << 62, "far"), (-(1 << 62), "low")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    hashed = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    line = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashed[r[1]]), reverse=True)
+    want = sorted(((i, t, line[(k + 1) % len(line)][1]) for k, (i, t) in enumerate(line)), key=str)
+    for buckets in (1, 3, 40, 3000):
+        got = syncmers.with_next(df, syncmers.F.coalesce("doc_id", syncmers.F.lit(syncmers._LOWEST)), buckets, lambda r: r.withColumn("fp", syncmers.F.lit(0)))
+        assert sorted(((r.doc_id, r.text, r.next_text) for r in got.collect()), key=str) == want
+    spread = syncmers.bucketed(df.selectExpr("coalesce(doc_id, -9223372036854775808) as place", "xxhash64(text) as tie"), 40)
+    assert max(r["count"] for r in spread.groupBy("bucket", "part").count().collect()) < 60
+    assert syncmers.bucketed(df.limit(0).selectExpr("doc_id as place", "xxhash64(text) as tie"), 4).count() == 0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Chosen windows, edited texts and empty texts against plain loops over words."""
+    import hashlib
+
+    import xxhash
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "δ", "\te", "f\n"]) for _ in range(rng.randint(0, 30))) for _ in range(12)] + [None, "", "one two"]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seeded = lambda b, seed: int.from_bytes(xxhash.xxh64(b, seed=seed & (1 << 64) - 1).digest(), "big")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(values):
+        h = 42
+        for v in values:
+            h = seeded((v & (1 << 64) - 1).to_bytes(8, "little"), h)
+        return h
+
+    def brute(t):
+        w = [signed(seeded(x.encode(), 42)) for x in t.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if x]
+        inner = [signed(chain(w[i : i + syncmers.S])) for i in range(len(w) - syncmers.S + 1)]
+        out = []
+        for i in range(len(w) - syncmers.K + 1):
+            own = inner[i : i + syncmers.K - syncmers.S + 1]
+            if min(own) in (own[0], own[-1]):
+                out.append((i, chain(w[i : i + syncmers.K]) & 0x7FFFFFFF))
+        return out if len(w) >= syncmers.K else None if w else []
+
+    line = sorted(got, reverse=True)
+    for k, i in enumerate(line):
+        own, after = texts[i] or "", texts[line[(k + 1) % len(line)]] or ""
+        third = len(own) // 3
+        edited = own[: len(own) - third] + after[:third]
+        assert got[i].n_chars == len(own) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for text, prints, places in ((own, got[i].fingerprint, got[i].places), (edited, got[i].edited_fingerprint, got[i].edited_places)):
+            want = brute(text)
+            if want is not None:
+                assert list(zip(map(int, places.split()), map(int, prints.split()), strict=True)) == want
+
+
+def best_by_brute_force(rows, is_query, k):
+    whole = lambda v: [int(1024 * x // 1) for x in v]
+    good = [(i, whole(v)) for i, v in rows if i is not None and v is not None and all(x is not None and abs(x) < float("inf") for x in v)]
+    out = []
+    for i, q in sorted({(i, tuple(q)) for i, q in good if is_query(i)}):
+        best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in good if j != i)[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return out
+
+
+def test_topk_over_ranges(spark):
+    """Floors carried from range to range; repeated ids, infinite components, and other columns of the operator's names."""
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 40), [rng.choice([-1.5, 0.25, 3.0, rng.random()]) for _ in range(rng.randint(1, 4))]) for _ in range(300)] + [(7, [float("inf"), 1.0]), (None, [2.0]), (5, None), (10, [])]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, score int, vec string, batch int")
+    for options in ({"range_rows": 20, "batch_queries": 3, "block": 4}, {}):
+        got = sorted(map(tuple, topk.exact_topk(df, lambda i: i % 10 == 0, k=5, **options).collect()))
+        assert got == sorted(best_by_brute_force(rows, lambda i: i % 10 == 0, 5))
+
+
+def test_topk_opens_few_blocks_of_clusters(spark):
+    rng = random.Random(8)
+    centres = [[rng.choice([-4.0, 4.0]) for _ in range(8)] for _ in range(16)]
+    rows = [(i, [x + rng.random() * 0.1 for x in centres[i % 16]]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met = topk.cells(df, lambda i: i % 100 == 0, range_rows=400, block=16)
+    shares = met.groupBy("query_key", "range_id").agg({"scored": "max", "blocks": "max"}).toDF("q", "r", "scored", "blocks").toPandas()
+    assert shares.scored.sum() < 0.25 * shares.blocks.sum()
+    assert sorted(map(tuple, topk.exact_topk(df, lambda i: i % 100 == 0, range_rows=400, block=16).collect())) == sorted(best_by_brute_force(rows, lambda i: i % 100 == 0, 10))
