@@ -12,7 +12,7 @@ from ..operators import candidates as C
 from ..operators import chains
 from ..sources.scratch import materialize
 from ..sources.tables import SEQUENCES_SQL, edges, reads, table
-from . import diffs, gates, planners, record_queries
+from . import diffs, gate_queries, gates, planners, record_queries
 
 K, MOST = 17, 8
 PARAMS = chains.ChainParams(k=K, min_overlap=50, check_overhang=False, only_max_ext=True)
@@ -168,7 +168,7 @@ def field_differences(spark, sf):
 
 def queries() -> dict:
     found = [kmer_candidates, kmer_frequency, group_spans, overlaps, all_overlaps, chain_inputs, alignments_by_segment_means, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
-    return {f.__name__: f for f in found} | record_queries.queries()
+    return {f.__name__: f for f in found} | record_queries.queries() | gate_queries.queries()
 
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -204,7 +204,7 @@ _STATS = """led AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    return record_queries.oracle_sql() | {
+    return record_queries.oracle_sql() | gate_queries.oracle_sql() | {
         "kmer_candidates": f"WITH {_HITS} SELECT query_id, query_pos, {_CODE.format('s')} AS kmer, target_id, target_pos, target_strand FROM hits",
         "kmer_frequency": f"WITH {_INDEX} SELECT kmer_freq, count(*) AS kmers FROM (SELECT lk, count(*) AS kmer_freq FROM idx GROUP BY lk) GROUP BY kmer_freq",
         "group_spans": f"""WITH {_HITS}, g AS (

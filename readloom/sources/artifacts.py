@@ -58,3 +58,8 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[i : i + 50_000][n])) for n in RECORD.names], names=list(RECORD.names))
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, BINARY_SCHEMA)
+
+
+def payload_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of all binary payloads at ``path``."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

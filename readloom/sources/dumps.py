@@ -68,6 +68,35 @@ def read_pack(spark: SparkSession, folder: str, file: str, schema: str) -> DataF
     return rows.withColumn("pack_query", folder_id(F.input_file_name()))
 
 
+# The files that every query folder of a source pack has.
+PACK_FILES = ("query.tsv", "query-minimizers.tsv", "index-buckets.tsv", "edge-sequences.tsv", "raw-overlaps.tsv", "oracle.chain-input.tsv", "missing-semantics.json")
+
+
+def pack_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(pack_query, file, sha256) of all files in the query folders of a pack."""
+    raw = spark.read.format("binaryFile").load(f"{folder}/query_*/*")
+    return raw.select(folder_id(F.col("path")).alias("pack_query"), F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def missing_pack_files(files: DataFrame) -> DataFrame:
+    """(pack_query, missing): query folders that lack one of the required files."""
+    needed = F.array(*map(F.lit, PACK_FILES))
+    return files.groupBy("pack_query").agg(F.array_sort(F.array_except(needed, F.collect_set("file"))).alias("missing")).filter("size(missing) > 0")
+
+
+def pack_digests(files: DataFrame) -> DataFrame:
+    """(pack_query, digest): the digest of the digests of a query's files, by name."""
+    named = F.array_sort(F.collect_list(F.concat_ws("=", "file", "sha256")))
+    return files.groupBy("pack_query").agg(F.sha2(F.array_join(named, "\n"), 256).alias("digest"))
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str, named: str) -> DataFrame:
+    """JSON manifests of ``schema`` (with a field schema); one of another name ends the job when it is read."""
+    raw = spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
+    wrong = F.raise_error(F.concat(F.lit(f"not a manifest of {named}: "), F.coalesce("schema", F.lit("none"))))
+    return raw.withColumn("schema", F.when(F.col("schema") == named, F.col("schema")).otherwise(wrong))
+
+
 def pack_count_faults(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """(pack_query, stated, found) where the manifest (pack_query, stated) and the rows disagree."""
     found = rows.groupBy("pack_query").agg(F.count(F.lit(1)).alias("found"))

@@ -1,20 +1,61 @@
-"""Requests as a file stream: candidate generation over a folder of reads, and an append-only ledger done once a query."""
+"""Requests as a file stream: candidate generation over a folder of reads, sessions of request files, and ledgers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.candidates import candidates
 
+LEDGER_MODES = ("full-v0", "selected-only-v0")
+
 
 def stream_candidates(spark: SparkSession, folder: str, targets: DataFrame, out: str, checkpoint: str, k: int, most: int) -> StreamingQuery:
-    """All reads (Parquet: read_id, seq) that are in ``folder`` now, one micro-batch after the other, to ``out``."""
+    """All reads (Parquet: read_id, seq) that are in ``folder`` now, one micro-batch after the other, to ``out``.
+
+    A batch is written to a folder of its own number, so one that runs again takes its own place and doubles nothing.
+    """
     reads = spark.readStream.schema("read_id long, seq string").parquet(folder)
-    write = lambda batch, _: candidates(batch, targets, k, most).write.mode("append").parquet(out)
+    write = lambda batch, n: candidates(batch, targets, k, most).write.mode("overwrite").parquet(f"{out}/batch={n}")
     return reads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_requests(spark: SparkSession, inbox: str, done: str, errors: str, checkpoint: str, schema: str, answer, batch_files: int = 100) -> StreamingQuery:
+    """Request files (JSON lines, ``schema`` with request_id) of ``inbox``: what ``answer`` makes of the good ones goes to
+    ``done``, lines that do not parse or lack request_id to ``errors``, both in a folder of the batch's number."""
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", batch_files).load(inbox)
+
+    def session(batch: DataFrame, n: int) -> None:
+        parsed = batch.filter("trim(value) != ''").select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("request"))
+        good = F.coalesce(F.col("request.request_id").isNotNull(), F.lit(False))
+        answer(parsed.filter(good).select("request.*")).write.mode("overwrite").json(f"{done}/batch={n}")
+        parsed.filter(~good).select(F.col("value").alias("line"), F.lit("no request").alias("error")).write.mode("overwrite").json(f"{errors}/batch={n}")
+
+    return raw.writeStream.foreachBatch(session).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cached_answers(requests: DataFrame, cache: DataFrame, compute) -> tuple[DataFrame, DataFrame]:
+    """(answers, new cache rows): requests (request_key) that the cache (request_key, answer) has take its answer, marked
+    cached; the others are computed once a key by ``compute`` and are to be added to the cache."""
+    known = cache.select("request_key", F.col("answer"), F.lit(True).alias("cached"))
+    fresh = compute(requests.join(cache.select("request_key").distinct(), "request_key", "left_anti").select("request_key").distinct()).select("request_key", "answer")
+    answers = requests.join(known.unionByName(fresh.withColumn("cached", F.lit(False))), "request_key")
+    return answers, fresh
+
+
+def ledger_rows(rows: DataFrame, mode: str) -> DataFrame:
+    """What a ledger of the mode takes: all rows, or the selected ones alone."""
+    if mode not in LEDGER_MODES:
+        raise ValueError(f"unknown ledger mode {mode}")
+    return rows if mode == "full-v0" else rows.filter("selected")
+
+
+def append_ledger(rows: DataFrame, path: str, mode: str) -> None:
+    """Adds the rows of the mode to a ledger of JSON lines; what is there stays."""
+    ledger_rows(rows, mode).write.mode("append").json(path)
+
+
 def once(ledger: DataFrame) -> DataFrame:
-    """The first row of every query."""
+    """The first row of every query; in a stream, with state by query."""
     return ledger.dropDuplicates(["query_id"])
