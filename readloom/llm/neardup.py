@@ -8,9 +8,11 @@ All pairs within the distance meet; with 12 chunks of 4 a pair at similarity 0.8
 million, and pairs above less often.
 
 Documents with equal sets are one class. Every class first meets the smallest class that shares a form with it; pairs
-within the distance are confirmed on the full sets, and links make components. Where classes that share a form are in
-different components still, all pairs within the distance across these components are confirmed too, in tiles of
-bounded size. So no link is lost, copies are never expanded into pairs, and no group meets in one task.
+within the distance are confirmed on the full sets, and links make components. Classes that share a form across
+components still are compared in tiles of bounded size, twice: first signatures alone, where a tile returns a forest that
+ties together what is within the distance; then, for classes in such a forest alone, full sets, where a tile returns the
+links that join components. So no link is lost, copies are never expanded into pairs, no group meets in one task, and
+texts move only where a pair is within the distance.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .wordhash import mixed, parts, run_hashes, word_hashes
 CHUNKS, WIDTH = 12, 4
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
-TILE = 512
+#: Classes of a side of a tile: of signatures alone, and with texts.
+SIGNATURE_TILE, TILE = 128, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts whose sets a task keeps while it confirms pairs.
 KEPT_SETS = 2000
@@ -84,6 +87,39 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+class Within:
+    """Joins whatever is within the distance."""
+
+    def __init__(self, rep: list[int]):
+        self.rep = rep
+
+    def node(self, x: int) -> int:
+        return self.rep[x]
+
+    def __call__(self, x: int, y: int) -> bool:
+        return True
+
+
+class OnFullSets:
+    """Joins components by links, confirmed on full sets, of which a bounded number is kept."""
+
+    def __init__(self, root: list[int], text: list[str], shingle: int, percent: int):
+        self.root, self.text, self.shingle, self.percent, self.sets = root, text, shingle, percent, {}
+
+    def node(self, x: int) -> int:
+        return self.root[x]
+
+    def set_of(self, x: int) -> np.ndarray:
+        if x not in self.sets:
+            if len(self.sets) > KEPT_SETS:
+                self.sets.clear()
+            self.sets[x] = shingle_sets(pa.array([self.text[x]]), self.shingle)[0]
+        return self.sets[x]
+
+    def __call__(self, x: int, y: int) -> bool:
+        return linked(self.set_of(x), self.set_of(y), self.percent)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row.
 
@@ -153,10 +189,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
         return materialize(met.mapInArrow(confirm, "a long, b long"), f"{tag}-links")
 
-    def tile(part: pd.DataFrame) -> pd.DataFrame:
-        """The links between classes of different components in one tile, as far as they join what is not joined."""
-        part = part.drop_duplicates(["rep", "text"]).sort_values("rep")
-        rep, root, size, own, large, text = (part[c].to_numpy() for c in ("rep", "root", "size", "own", "large", "text"))
+    def across(part: pd.DataFrame, link) -> pd.DataFrame:
+        """The pairs in one tile, from different components and within the distance, that ``link`` accepts (by place), as
+        far as they join what is not joined in it."""
+        rep, root, size, own, large = (part[c].to_numpy() for c in ("rep", "root", "size", "own", "large"))
         sig = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, SYMBOLS)
         up: dict[int, int] = {}
 
@@ -165,15 +201,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                 x = up[x]
             return x
 
-        sets: dict[int, np.ndarray] = {}
-
-        def set_of(x: int) -> np.ndarray:
-            if x not in sets:
-                if len(sets) > KEPT_SETS:
-                    sets.clear()
-                sets[x] = shingle_sets(pa.array([text[x]]), shingle)[0]
-            return sets[x]
-
         a, b = [], []
         top_cell = part["kind"].iloc[0] == "top"
         side = large if top_cell else own
@@ -185,18 +212,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             hit = np.nonzero(fit)[0] + x + 1
             hit = hit[(sig[hit] != sig[x]).sum(axis=1) <= DISTANCE]
             for y in hit.tolist():
-                rx, ry = top(int(root[x])), top(int(root[y]))
-                if rx != ry and linked(set_of(x), set_of(y), percent):
+                rx, ry = top(link.node(x)), top(link.node(y))
+                if rx != ry and link(x, y):
                     up[max(rx, ry)] = min(rx, ry)
                     a.append(rep[x])
                     b.append(rep[y])
         return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
 
+    def near_tile(part: pd.DataFrame) -> pd.DataFrame:
+        """A forest of the classes within the distance of each other: any two of them are joined in it."""
+        part = part.drop_duplicates("rep").sort_values("rep")
+        rep = part["rep"].tolist()
+        return across(part, Within(rep))
+
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
+        """The links between components in one tile."""
+        part = part.drop_duplicates(["rep", "text"]).sort_values("rep")
+        return across(part, OnFullSets(part["root"].tolist(), part["text"].tolist(), shingle, percent))
+
+    def in_cells(mine: DataFrame, tile: int) -> DataFrame:
+        """``mine`` (unit, root, rep and others) in every cell where a class of its unit is met.
+
+        The largest component of a unit is never compared with itself: it is cut into tiles that all others visit.
+        """
+        crowd = mine.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("n"))
+        crowd = materialize(crowd.groupBy("unit").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select("unit", F.col("top.root").alias("top_root"), F.col("top.n").alias("n_top"), F.col("all")), "crowd")
+        last = lambda n: F.greatest(F.ceil(n / tile).cast("long"), F.lit(1).cast("long")) - 1
+        met = mine.join(crowd, "unit").withColumn("large", F.col("root") == F.col("top_root"))
+        met = met.withColumns({"last_top": last(F.col("n_top")), "last_rest": last(F.col("all") - F.col("n_top"))})
+        met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("large"), F.col("last_top")).otherwise(F.col("last_rest")) + 1))
+        zero = F.lit(0).cast("long")
+        cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+        to_rest = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("top", F.col("own"), t))
+        to_top = F.transform(F.sequence(zero, F.col("last_top")), lambda t: cell("top", t, F.col("own")))
+        to_own = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("rest", F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
+        cells = F.when(F.col("large"), to_rest).otherwise(F.concat(to_top, to_own))
+        return met.withColumn("cell", F.explode(cells)).select(*mine.columns, "own", "large", "cell.*")
+
     links = confirmed(pairs, "star")
     roots = materialize(components(links), "roots")
 
-    # Classes that share a form with a class of another component: all their pairs across components, in tiles. The
-    # tiles are of groups of components that forms tie together; each holds the texts, so only links come out.
+    # Classes that share a form with a class of another component: all their pairs across components, in tiles.
     root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     placed = stars.filter("hub != rep").join(root("rep"), "rep", "left").join(root("hub"), "hub", "left")
     placed = placed.withColumns({"rep_root": F.coalesce("rep_root", "rep"), "hub_root": F.coalesce("hub_root", "hub")})
@@ -210,22 +266,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         mine = rooted.join(mixed_forms, "form").select("rep", "root").unionByName(ends_of.select("rep", F.col("rep_root").alias("root"))).unionByName(ends_of.select(F.col("hub").alias("rep"), F.col("hub_root").alias("root")))
         mine = mine.distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("unit")), "root")
         mine = materialize(mine.join(classes.select("rep", "sig", F.col("n").alias("size")).dropDuplicates(["rep"]), "rep"), "apart-classes")
-        # The largest component of a group is never compared with itself: it is cut into tiles that all others visit.
-        crowd = mine.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("n"))
-        crowd = materialize(crowd.groupBy("unit").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).select("unit", F.col("top.root").alias("top_root"), F.col("top.n").alias("n_top"), F.col("all")), "crowd")
-        last = lambda n: F.greatest(F.ceil(n / TILE).cast("long"), F.lit(1).cast("long")) - 1
-        met = mine.join(crowd, "unit").withColumn("large", F.col("root") == F.col("top_root"))
-        met = met.withColumns({"last_top": last(F.col("n_top")), "last_rest": last(F.col("all") - F.col("n_top"))})
-        met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("large"), F.col("last_top")).otherwise(F.col("last_rest")) + 1))
-        zero = F.lit(0).cast("long")
-        cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-        to_rest = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("top", F.col("own"), t))
-        to_top = F.transform(F.sequence(zero, F.col("last_top")), lambda t: cell("top", t, F.col("own")))
-        to_own = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("rest", F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
-        cells = F.when(F.col("large"), to_rest).otherwise(F.concat(to_top, to_own))
+        forest = materialize(in_cells(mine, SIGNATURE_TILE).groupBy("unit", "kind", "i", "j").applyInPandas(near_tile, "a long, b long"), "near-forest")
+        nearer = components(forest).select(F.col("node").alias("rep"), F.col("root").alias("unit"))
+        mine = materialize(mine.drop("unit").join(nearer, "rep"), "near-classes")
         texts = texts_of(mine.select(F.col("rep").alias("doc_id")), "apart")
-        spread = met.join(texts.withColumnRenamed("doc_id", "rep"), "rep").withColumn("cell", F.explode(cells))
-        spread = spread.select("unit", "cell.*", "own", "large", "rep", "root", "sig", "size", "text")
+        spread = in_cells(mine, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
         more = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(tile, "a long, b long"), "rest-links")
         roots = materialize(components(links.unionByName(more)), "roots")
 
