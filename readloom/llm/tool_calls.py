@@ -68,8 +68,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     and have the error duplicate_call; of its results the first by turn and then hash, the others have duplicate_result.
     Nulls and errors: a call or result without identifier (missing_id), a call of an unknown tool, whose arguments are
     no JSON object, lack a required field, hold a wrong type or an unknown field, without a result, before its parent's
-    turn, of an unknown parent or on a cycle (depth null); a result
-    without a call (orphan_result). Empty tables give no rows; other columns are not read; long texts count whole.
+    turn, of an unknown parent or on a cycle (depth null); a result without a call (orphan_result). Of schemas of one
+    tool the first by its JSON text counts. Empty tables give no rows; other columns are not read; long texts count whole.
     """
     columns = list(CALL_COLUMNS)
     calls = calls.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.col(c).cast("string").alias(c) for c in CALL_COLUMNS[2:]])
@@ -91,7 +91,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     unused = others(results, result_heads, "duplicate_result").select(F.lit(None).cast("long").alias("conv_id"), "turn", "call_id", *none, "error", F.struct("turn", "content").alias("answer"))
     plain = lost.unionByName(unused)
 
-    checked = linked.join(schemas.groupBy(F.col("tool").cast("string").alias("tool")).agg(F.first("fields").alias("fields")), "tool", "left")
+    checked = linked.join(schemas.groupBy(F.col("tool").cast("string").alias("tool")).agg(F.min_by("fields", F.to_json("fields")).alias("fields")), "tool", "left")
     value = F.try_parse_json("arguments")
     checked = checked.withColumn("parsed", value).withColumn("given", F.expr("case when schema_of_variant(parsed) like 'OBJECT%' then cast(parsed as map<string,variant>) end"))
     kinds = F.expr(

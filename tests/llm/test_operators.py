@@ -266,3 +266,76 @@ def test_topk_opens_few_blocks_of_clusters(spark):
     shares = met.groupBy("query_key", "range_id").agg({"scored": "max", "blocks": "max"}).toDF("q", "r", "scored", "blocks").toPandas()
     assert shares.scored.sum() < 0.25 * shares.blocks.sum()
     assert sorted(map(tuple, topk.exact_topk(df, lambda i: i % 100 == 0, range_rows=400, block=16).collect())) == sorted(best_by_brute_force(rows, lambda i: i % 100 == 0, 10))
+
+
+def test_tool_calls_of_empty_tables_and_long_texts(spark):
+    calls = spark.createDataFrame([(1, 0, "a", "f", json.dumps({"x": "y" * 200_000}), None, "extra")], "conv_id long, turn long, call_id string, tool string, arguments string, parent_id string, depth string")
+    results = spark.createDataFrame([("a", 1, "z" * 200_000, 5)], "call_id string, turn long, content string, n int")
+    two = spark.createDataFrame([("f", [("x", "string", True)]), ("f", [("q", "string", True)]), ("f", [("q", "string", True)])], tool_calls.TURN_SCHEMA)
+    (r,) = tool_calls.link_tool_calls(calls, results, two).collect()
+    assert r.errors == ["missing:q", "unknown:x"] and len(r.message) > 400_000  # the schema with q comes first
+    assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), two.limit(0)).count() == 0
+    (lost,) = tool_calls.link_tool_calls(calls.limit(0), results, two).collect()
+    assert lost.errors == ["orphan_result"]
+
+
+def test_packing_keeps_every_id_once(spark):
+    """Pieces of each document against its ids, sequences against their capacity, over many windows."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    rng = random.Random(1)
+    texts = {i: " ".join(rng.choice(["alpha", "beta", "\n", "Straße", "😀", "<|endoftext|>", "x" * 30]) for _ in range(rng.choice([0, 3, 40, 400, 3000]))) for i in range(60)}
+    df = spark.createDataFrame([(i, t, "d", 5) for i, t in texts.items()] + [(None, "one two", "d", 5)], "doc_id long, text string, ids string, start int").repartition(2)
+    p = packing.pack_documents(df, path, capacity=256, window_pieces=16, window_ids=3000).toPandas()
+    encode = packing.ByteLevelEncoder(path).exact
+    for i, t in texts.items():
+        own = p[p.doc_id == i].sort_values("start")
+        got = [int.from_bytes(b[k : k + 4], "little") for b in own.ids for k in range(0, len(b), 4)]
+        assert got == [*encode.encode(t, add_special_tokens=False).ids, packing.END_ID] and set(own.doc_tokens) == {len(got)}
+        assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+    sums = []
+    for _, s in p.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]]
+        sums.append(int(s.length.sum()))
+    assert max(sums) <= 256 and sum(256 - n for n in sums if n & (n - 1)) <= 0.02 * sum(sums)
+
+
+def test_fill_finds_the_closest_sum():
+    rng = random.Random(3)
+    for _ in range(200):
+        counts = {rng.randint(1, 40): rng.randint(1, 4) for _ in range(rng.randint(1, 5))}
+        capacity = rng.randint(5, 90)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= capacity}
+        chosen = packing.fill(counts, capacity)
+        assert sum(n * k for n, k in chosen.items()) == max(sums) and all(0 < k <= counts[n] for n, k in chosen.items())
+
+
+def test_placement_equals_brute_force():
+    import numpy as np
+
+    rng = random.Random(4)
+    vectors = np.array([[rng.randint(1, 90), rng.randint(1, 20), 1] for _ in range(60)], float)
+    weights = [w**0.5 for w in sharding.WEIGHTS]
+    need = [[v / t * 4 * w for v, t, w in zip(row, vectors.sum(axis=0), weights, strict=True)] for row in vectors]
+    room, want = [list(weights) for _ in range(4)], [0] * 60
+    for i in sorted(range(60), key=lambda i: (-sum(need[i]), i)):
+        want[i] = max(range(4), key=lambda s: (round(sum(a * b for a, b in zip(room[s], need[i], strict=True)), 12), -s))
+        room[want[i]] = [a - b for a, b in zip(room[want[i]], need[i], strict=True)]
+    assert sharding.place(vectors, 4).tolist() == want
+
+
+def test_pages(spark, none):
+    article = "<nav><a>x</a></nav><article><h1>T</h1>" + "<p>Some text of the article, long enough.</p>" * 3000 + "<p class='reply'>Own words.</p><div class='comments'><p>No.</p></div></article><footer>f</footer>"
+    plain = "<div><ul><li><a>Menu one</a></li><li><a>Menu two</a></li></ul></div><div>Short promo line</div><div>" + "".join(f"<p>Paragraph {i} holds some words of its own, as all of them do here.</p>" for i in range(6)) + "</div><div>&copy; owner</div>"
+    parts = "<div>" + "<p>The first part of a text that goes on below the links, and is long.</p>" * 4 + "<p><a>l1</a></p><p><a>l2</a></p><p><a>l3</a></p><p><a>l4</a></p>" + "<p>And the second part, shorter, yet a part of the same text all the same.</p>" * 2 + "</div>"
+    rows = [(1, "u", article, "t", 1), (2, None, None, "t", 1), (3, "u", "", "t", 1), (None, "u", plain, "t", 1), (1, "u", article, "t", 1), (5, "u", parts, "t", 1), (6, "u", "<p>only this", "t", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n int")
+    got = html_text.extract_pages(df).collect()
+    assert [r.page_id for r in got] == [r[0] for r in rows] and [r.url for r in got] == [r[1] for r in rows]
+    text = [r.text for r in got]
+    assert text[0] == text[4] == "T\n" + "Some text of the article, long enough.\n" * 3000 + "Own words." and text[1] == text[2] == ""
+    assert text[3].split("\n") == [f"Paragraph {i} holds some words of its own, as all of them do here." for i in range(6)]
+    assert text[5].count("first part") == 4 and text[5].count("second part") == 2 and text[6] == "only this"
+    assert html_text.extract_pages(df.limit(0)).count() == 0
