@@ -190,6 +190,55 @@ _HITS = f"""{_INDEX}, qw AS (
   FROM q JOIN idx i ON q.lk = i.lk AND q.rev = i.rev
   WHERE q.lk NOT IN (SELECT lk FROM idx GROUP BY lk HAVING count(*) > 8) AND NOT (q.id = i.id AND q.pos = i.pos)
 )"""
+
+# Chains in SQL. A group's hits are one list; a step of the recursion adds the score and the predecessor of the next hit,
+# from a scan down the list that a struct folds: (best, arg, done). Then a hit belongs to the best ranked of all hits
+# whose predecessors lead to it, which is a closure and a minimum.
+_CHAINS = f"""{_HITS}, lens AS (SELECT read_id AS id, len(seq) AS n FROM reads), elens AS (SELECT edge_seq_id AS id, len(seq) AS n FROM edges
+), grp AS (
+  SELECT query_id, target_id, any_value(l.n) AS ql, any_value(e.n) AS tl, max(query_pos) - min(query_pos) AS cs, max(target_pos) - min(target_pos) AS es, count(DISTINCT CASE WHEN query_pos <> 0 THEN query_pos END) AS u
+  FROM hits JOIN lens l ON l.id = query_id JOIN elens e ON e.id = abs(target_id) GROUP BY 1, 2
+), sorted AS (
+  SELECT h.query_id, h.target_id, g.ql, g.tl, h.query_pos AS c, h.target_pos AS e,
+         row_number() OVER (PARTITION BY h.query_id, h.target_id ORDER BY CASE WHEN g.tl > g.ql THEN h.target_pos ELSE h.query_pos END, h.query_pos, h.target_pos) AS i
+  FROM hits h JOIN grp g USING (query_id, target_id) WHERE u >= 0.5 AND cs >= 50 AND es >= 50
+), lists AS (
+  SELECT query_id, target_id, any_value(ql) AS ql, any_value(tl) AS tl, count(*) AS n, list(c ORDER BY i) AS c, list(e ORDER BY i) AS e FROM sorted GROUP BY 1, 2
+), dp AS (
+  SELECT query_id, target_id, ql, tl, n, c, e, CAST(1 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS s, [CAST(0 AS BIGINT)] AS b FROM lists
+  UNION ALL
+  SELECT query_id, target_id, ql, tl, n, c, e, i + 1, list_append(s, greatest(f.best, 17)), list_append(b, CASE WHEN f.best > 17 THEN f.arg ELSE 0 END)
+  FROM (SELECT *, list_reduce(list_prepend({{'best': CAST(0 AS BIGINT), 'arg': CAST(0 AS BIGINT), 'done': false, 'dc': CAST(0 AS BIGINT), 'de': CAST(0 AS BIGINT), 's': CAST(0 AS BIGINT), 'j': CAST(0 AS BIGINT)}},
+          list_transform(range(i, 0, -1), lambda j: {{'best': CAST(0 AS BIGINT), 'arg': CAST(0 AS BIGINT), 'done': false, 'dc': c[i + 1] - c[j], 'de': e[i + 1] - e[j], 's': s[j], 'j': j}})),
+          lambda a, x: CASE WHEN a.done OR (CASE WHEN tl > ql THEN x.de ELSE x.dc END) > 1500 THEN {{'best': a.best, 'arg': a.arg, 'done': true, 'dc': a.dc, 'de': a.de, 's': a.s, 'j': a.j}}
+            WHEN x.dc > 0 AND x.dc < 1500 AND x.de > 0 AND x.de < 1500 AND abs(x.dc - x.de) <= 500
+              AND x.s + least(x.dc, x.de, 17) - CAST(floor(abs(x.dc - x.de) * CASE WHEN abs(x.dc - x.de) > 100 THEN 2.0 ELSE 0.5 END) AS BIGINT) > a.best
+            THEN {{'best': x.s + least(x.dc, x.de, 17) - CAST(floor(abs(x.dc - x.de) * CASE WHEN abs(x.dc - x.de) > 100 THEN 2.0 ELSE 0.5 END) AS BIGINT), 'arg': x.j, 'done': x.dc = x.de AND x.dc < 17, 'dc': a.dc, 'de': a.de, 's': a.s, 'j': a.j}}
+            ELSE a END) AS f FROM dp WHERE i < n)
+), full_dp AS (SELECT * FROM dp WHERE i = n
+), nodes AS (
+  SELECT query_id, target_id, ql, tl, unnest(range(1, n + 1)) AS i, unnest(c) AS c, unnest(e) AS e, unnest(s) AS s, unnest(b) AS b FROM full_dp
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, target_id ORDER BY s DESC, i) AS r FROM nodes
+), paths AS (
+  SELECT query_id, target_id, r, b AS at, i AS held FROM ranked WHERE b > 0
+  UNION ALL
+  SELECT p.query_id, p.target_id, p.r, n.b, n.i FROM paths p JOIN ranked n ON n.query_id = p.query_id AND n.target_id = p.target_id AND n.i = p.at WHERE n.b > 0
+), owned AS (SELECT query_id, target_id, held, min(r) AS r FROM paths GROUP BY 1, 2, 3
+), found AS (
+  SELECT z.query_id AS cur_id, a.c AS cur_begin, z.c + 16 AS cur_end, z.ql AS cur_len, z.target_id AS ext_id, a.e AS ext_begin, z.e + 16 AS ext_end, z.tl AS ext_len, z.s - a.s + 16 AS score, g.n + 1 AS n, z.r
+  FROM (SELECT query_id, target_id, r, count(*) AS n, min(held) AS low FROM owned GROUP BY 1, 2, 3) g
+  JOIN ranked z USING (query_id, target_id, r) JOIN ranked l ON l.query_id = g.query_id AND l.target_id = g.target_id AND l.i = g.low JOIN ranked a ON a.query_id = g.query_id AND a.target_id = g.target_id AND a.i = l.b
+), lost AS (SELECT id, pos FROM q WHERE lk IN (SELECT lk FROM idx GROUP BY lk HAVING count(*) > 8)
+), tested AS (
+  SELECT f.*, greatest(cur_end - cur_begin, ext_end - ext_begin) - (SELECT count(DISTINCT pos) FROM lost WHERE lost.id = f.cur_id AND pos BETWEEN f.cur_begin AND f.cur_end) AS room FROM found f
+  WHERE least(cur_end - cur_begin, ext_end - ext_begin) >= 50 AND abs((cur_end - cur_begin) - (ext_end - ext_begin)) <= 0.5 * least(cur_end - cur_begin, ext_end - ext_begin)
+    AND NOT (cur_id = ext_id AND least(cur_end, ext_end) - greatest(cur_begin, ext_begin) > (cur_end - cur_begin) / 2)
+    AND NOT (cur_id = -ext_id AND least(cur_end, ext_len - ext_begin) - greatest(cur_begin, ext_len - ext_end) > (cur_end - cur_begin) / 2)
+), measured AS (SELECT *, ln(1 / least(n / room, 1.0)) / 17 AS d FROM tested)"""
+_OVERLAP_FIELDS = "cur_id, CAST(cur_begin AS INTEGER) AS cur_begin, CAST(cur_end AS INTEGER) AS cur_end, CAST(cur_len AS INTEGER) AS cur_len, ext_id, CAST(ext_begin AS INTEGER) AS ext_begin, CAST(ext_end AS INTEGER) AS ext_end, CAST(ext_len AS INTEGER) AS ext_len, score, round(d, 5) AS seq_divergence"
+_BEST = f"""{_CHAINS}, best AS (SELECT {_OVERLAP_FIELDS} FROM measured WHERE room > 0 QUALIFY row_number() OVER (PARTITION BY cur_id, ext_id ORDER BY score DESC, r) = 1), ov AS (SELECT * FROM best WHERE seq_divergence < 1.0)"""
+_ALL = f"""{_CHAINS}, held AS (SELECT * FROM measured WHERE greatest(least(cur_begin, ext_begin), least(cur_len - cur_end, ext_len - ext_end)) <= 400),
+ov AS (SELECT {_OVERLAP_FIELDS} FROM held o WHERE d < 1.0 AND NOT EXISTS (SELECT 1 FROM held x WHERE x.cur_id = o.cur_id AND x.ext_id = o.ext_id AND x.score > o.score AND x.cur_begin <= o.cur_begin AND x.cur_end >= o.cur_end AND x.ext_begin <= o.ext_begin AND x.ext_end >= o.ext_end))"""
 _STATS = """led AS (
   SELECT user_id AS query_id, event_id AS place, event_type = 'purchase' AS selected, event_type IN ('view', 'click', 'purchase') AS supported,
          CAST(round(value * 100) AS BIGINT) AS ms FROM events
@@ -213,6 +262,9 @@ def oracle_sql() -> dict[str, str]:
 SELECT g.*, CAST(len(r.seq) AS INTEGER) AS query_len, CAST(len(e.seq) AS INTEGER) AS target_len,
        unique_positions >= 0.01 * 50 AND max_cur - min_cur >= 50 AND max_ext - min_ext >= 50 AS survives
 FROM g LEFT JOIN reads r ON r.read_id = g.query_id LEFT JOIN edges e ON e.edge_seq_id = abs(g.target_id)""",
+        "overlaps": f"WITH RECURSIVE {_BEST} SELECT * FROM ov",
+        "all_overlaps": f"WITH RECURSIVE {_ALL} SELECT * FROM ov",
+        "chain_inputs": f"""WITH RECURSIVE {_BEST} SELECT *, CAST(row_number() OVER (PARTITION BY cur_id ORDER BY cur_begin, ext_id, ext_begin, cur_end) - 1 AS INTEGER) AS "order" FROM ov WHERE ext_len < 900 OR least(cur_end - cur_begin, ext_end - ext_begin) > 500""",
         "pair_count": "SELECT CAST(coalesce(sum(a.n * b.m), 0) AS BIGINT) AS matches FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_suppkey AS k, count(*) AS m FROM lineitem GROUP BY 1) b ON a.k = b.k",
         "minimizer_counts": f"""WITH {SEQUENCES_SQL}, w AS (
   SELECT id, p AS pos, substr(seq, CAST(p + 1 AS BIGINT), 17) AS s FROM (SELECT edge_seq_id AS id, seq, unnest(range(0, len(seq) - 16)) AS p FROM edges WHERE len(seq) >= 17)
