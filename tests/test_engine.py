@@ -7,7 +7,7 @@ import random
 
 from readloom.functions import dna
 from readloom.operators.candidates import kmer_join
-from readloom.operators.chains import ChainParams, GraphParams, chain_read_alignments, overlaps_of, read_alignments
+from readloom.operators.chains import OVERLAP_COLUMNS, ChainParams, GraphParams, chain_read_alignments, overlaps_of, read_alignments
 from readloom.plans import diffs, gates, planners, queries
 from readloom.sources import artifacts
 from readloom.sources.records import SCHEMAS, violations
@@ -32,8 +32,9 @@ def test_encoding(spark):
 
 def test_collinear_hits_make_one_overlap():
     p = ChainParams(k=5, min_overlap=20, check_overhang=False)
-    (o,) = overlaps_of((1, 100), (2, 100), (range(10, 60), range(13, 63)), [], p).to_numpy().tolist()
-    assert o[:8] == [1, 11, 63, 100, 2, 14, 66, 100] and o[9] >= 0  # the first hit scores 0, so no chain starts there
+    got = overlaps_of((1, 100), (2, 100), (range(10, 60), range(13, 63)), [], p)
+    (o,) = zip(*(got[c].tolist() for c in OVERLAP_COLUMNS), strict=True)
+    assert o[:8] == (1, 11, 63, 100, 2, 14, 66, 100) and o[9] >= 0  # the first hit scores 0, so no chain starts there
 
 
 def test_repetitive_positions_leave_the_length(spark, monkeypatch):
