@@ -63,43 +63,62 @@ def neighbours(m: np.ndarray, rows: np.ndarray, block: int) -> list[np.ndarray]:
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b, exactly: in doubles where every sum stays below 2^53, else in Python's integers."""
-    top = lambda x: max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
-    if top(a) * top(b) * a.shape[-1] < 1 << 53:
+    if largest(a) * largest(b) * a.shape[-1] < 1 << 53:
         return (a.astype(float) @ b.astype(float)).astype(np.int64)
     return a.astype(object) @ b.astype(object)
 
 
+def largest(x: np.ndarray) -> int:
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+
+
 class Blocks:
-    """The blocks of one range, with their term maxima and minima."""
+    """The blocks of one range, with their term maxima and minima; their rows lie one after the other in one matrix."""
 
     def __init__(self, frame: pd.DataFrame, width: int):
-        self.ids = [np.frombuffer(x, "<i8") for x in frame["ids"]]
-        self.rows = []
-        for ids, raw, w, digits in zip(self.ids, frame["rows"], frame["width"], frame["digits"], strict=True):
-            m = np.zeros((len(ids), width), np.int64)
-            m[:, :w] = np.frombuffer(raw, digits).reshape(len(ids), w)
-            self.rows.append(m)
-        self.high = np.array([m.max(axis=0) for m in self.rows]).reshape(-1, width)
-        self.low = np.array([m.min(axis=0) for m in self.rows]).reshape(-1, width)
+        own = [np.frombuffer(x, "<i8") for x in frame["ids"]]
+        self.ids = np.concatenate(own)
+        self.ends = np.cumsum([len(x) for x in own])
+        self.starts = self.ends - [len(x) for x in own]
+        self.rows = np.zeros((len(self.ids), width), np.int64)
+        for a, b, raw, w, digits in zip(self.starts, self.ends, frame["rows"], frame["width"], frame["digits"], strict=True):
+            self.rows[a:b, :w] = np.frombuffer(raw, digits).reshape(b - a, w)
+        self.high = np.maximum.reduceat(self.rows, self.starts, axis=0)
+        self.low = np.minimum.reduceat(self.rows, self.starts, axis=0)
+        self.top_weight, self.floats = largest(self.rows), self.rows.astype(float)
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """By query and block: the sum over terms of the largest product."""
         return dot(np.maximum(queries, 0), self.high.T) + dot(np.minimum(queries, 0), self.low.T)
 
+    def scores(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the rows of ``blocks``; in doubles where every sum stays below 2^53."""
+        at = np.concatenate([np.arange(self.starts[b], self.ends[b]) for b in blocks])
+        if self.top_weight * largest(query) * len(query) < 1 << 53:
+            return at, (self.floats[at] @ query.astype(float)).astype(np.int64)
+        return at, self.rows[at].astype(object) @ query.astype(object)
+
     def top(self, query: np.ndarray, own: int, bounds: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(vec_ids, scores, blocks scored) of the k best rows that reach ``floor``, ties to the smaller id."""
-        ids, scores, seen = np.empty(0, np.int64), np.empty(0, bounds.dtype), 0
-        for b in np.argsort(-bounds, kind="stable"):
+        """(vec_ids, scores, blocks scored) of the k best rows that reach ``floor``, ties to the smaller id.
+
+        Blocks are opened from the highest bound down, twice as many at each step, as far as their bounds allow then.
+        """
+        ids, scores, seen, at, step = np.empty(0, np.int64), np.empty(0, bounds.dtype), 0, 0, 1
+        order = np.argsort(-bounds, kind="stable")
+        while at < len(order):
             least = scores[-1] if len(ids) == k else floor
-            if least is not None and bounds[b] < least:
+            now = order[at : at + step]
+            if least is not None:
+                now = now[bounds[now] >= least]
+            if not len(now):
                 break
-            seen += 1
-            got = dot(self.rows[b], query)
-            keep = self.ids[b] != own
+            seen, at, step = seen + len(now), at + step, 2 * step
+            rows, got = self.scores(now, query)
+            keep = self.ids[rows] != own
             if least is not None:
                 keep &= got >= least
             if keep.any():
-                ids, scores = np.concatenate([ids, self.ids[b][keep]]), np.concatenate([scores, got[keep]])
+                ids, scores = np.concatenate([ids, self.ids[rows][keep]]), np.concatenate([scores, got[keep]])
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
         return ids, scores, seen
