@@ -15,7 +15,6 @@ N-grams are of characters since the words of these texts are open-ended; a symbo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ QUANTILE, MIN_CHARS = 0.995, 40
 FOLDS = 5
 #: Tables of at most so many rows are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_GRAMS = 1_000_000, 4_000_000
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +79,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             codes, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            return codes, np.stack([np.bincount(at, np.concatenate([x[1][f] for x in held]), len(codes)).astype(np.int64) for f in range(FOLDS)])
+            return codes, np.stack([np.bincount(at, np.concatenate([x[1][f] for x in held]), len(codes)).astype(np.int32) for f in range(FOLDS)])
 
         def done(x: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(x[0]), 100_000):
@@ -90,7 +89,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             code, lengths = grams(texts)
             fold = np.repeat(np.array([-1 if f is None else f for f in part.column(1).to_pylist()], np.int64), lengths)
             found, at = np.unique(code, return_inverse=True)
-            held.append((found, np.stack([np.bincount(at[fold == f], minlength=len(found)) for f in range(FOLDS)])))
+            held.append((found, np.stack([np.bincount(at[fold == f], minlength=len(found)).astype(np.int32) for f in range(FOLDS)])))
             if sum(len(x[0]) for x in held) > _FLUSH:
                 held = [merged()]
                 if len(held[0][0]) > _FLUSH // 2:
@@ -99,49 +98,70 @@ def count_grams(docs: DataFrame) -> DataFrame:
             yield from done(merged())
 
     each = [f"c{f}" for f in range(FOLDS)]
-    found = docs.select("text", "fold").mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in each))
+    found = docs.select("text", "fold").mapInArrow(run, "gram long, " + ", ".join(f"{c} int" for c in each))
     found = found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in each])
     return found.select("gram", sum((F.col(c) for c in each[1:]), F.col(each[0])).alias("c"), *each)
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the numbers of n-grams seen once to four times."""
-    seen = {r[0]: r[1] for r in counts.filter("c between 1 and 4").groupBy("c").count().collect()}
-    n = [seen.get(i, 0) for i in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    return tuple(min(i, max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3))  # type: ignore[return-value]
+def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """By model, modified Kneser-Ney discounts from the numbers of n-grams seen once to four times."""
+    seen: dict[int, dict[int, int]] = {}
+    for r in counts.filter("c between 1 and 4").groupBy("model", "c").agg(F.count(F.lit(1)).alias("n")).collect():  # four rows a model
+        seen.setdefault(r["model"], {})[r["c"]] = r["n"]
+
+    def of(found: dict[int, int]) -> tuple[float, float, float]:
+        n = [found.get(i, 0) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        return tuple(min(i, max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] and n[i] else 0.5 * i for i in (1, 2, 3))  # type: ignore[return-value]
+
+    return {m: of(seen.get(m, {})) for m in range(FOLDS + 1)}
 
 
 def _mask(order: int) -> int:
     return (1 << (BITS * order)) - 1
 
 
-def probabilities(found: DataFrame) -> DataFrame:
-    """(gram, cost) of every n-gram in ``found`` (gram, c), by sharded joins with the counts of each order."""
-    tables: dict[int, DataFrame] = {ORDER: found.filter("c > 0")}
+def by_model(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(targets, counts), each (model, gram, c): what every model is to score, and what it counts.
+
+    Model f counts all folds but f and scores the n-grams of fold f; model FOLDS counts and scores all.
+    """
+    one = lambda m, c, wanted: F.struct(F.lit(m).alias("model"), c.alias("c"), wanted.alias("wanted"))
+    folds = [one(f, F.col("c") - F.col(f"c{f}"), F.col(f"c{f}") > 0) for f in range(FOLDS)]
+    rows = found.select("gram", F.explode(F.array(*folds, one(FOLDS, F.col("c"), F.lit(True)))).alias("m")).select("m.model", "gram", "m.c", "m.wanted")
+    return rows.filter("wanted").drop("wanted"), rows.filter("c > 0").drop("wanted")
+
+
+def probabilities(targets: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, cost) of every target (model, gram, c), by sharded joins with the counts (model, gram, c) of each order.
+
+    All models go through the same joins. In the result, a gram has its model in the bits above.
+    """
+    tables: dict[int, DataFrame] = {ORDER: counts}
     for m in range(ORDER - 1, 0, -1):  # in how many contexts of one more symbol it occurs
-        tables[m] = materialize(tables[m + 1].groupBy(F.col("gram").bitwiseAND(F.lit(_mask(m))).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"order-{m}")
-    now = found.withColumn("p", F.lit(1.0 / VOCABULARY))
+        tables[m] = materialize(tables[m + 1].groupBy("model", F.col("gram").bitwiseAND(F.lit(_mask(m))).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"order-{m}")
+    now = targets.withColumn("p", F.lit(1.0 / VOCABULARY))
     for m in range(1, ORDER + 1):
         d = discounts(tables[m])
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = tables[m].select(F.col("gram").alias("g"), F.shiftright("gram", BITS).alias("h"), F.col("c").alias("n"), cut.alias("cut"))
-        left = sum((F.count_if(c).cast("double") * x for c, x in zip((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), d, strict=True)), F.lit(0.0))
-        context = rows.groupBy("h").agg(F.sum("n").alias("total"), left.alias("left"))
-        if m == 1:
-            total = context.first()
-            if total is None:
-                break  # no trusted text: all alike
-            now = now.withColumns({"total": F.lit(total["total"]), "left": F.lit(total["left"])})
-        else:
-            now = now.withColumn("h", F.shiftright("gram", BITS).bitwiseAND(F.lit(_mask(m - 1)))).join(context, "h", "left").drop("h")
+        by = [F.get(F.array(*[F.lit(d[k][i]) for k in range(FOLDS + 1)]), F.col("model")) for i in range(3)]
+        cut = F.when(F.col("c") == 1, by[0]).when(F.col("c") == 2, by[1]).otherwise(by[2])
+        rows = tables[m].select("model", F.col("gram").alias("g"), F.shiftright("gram", BITS).alias("h"), F.col("c").alias("n"), cut.alias("cut"))
+        left = sum((F.count_if(c).cast("double") * F.first(x) for c, x in zip((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), by, strict=True)), F.lit(0.0))
+        context = rows.groupBy("model", "h").agg(F.sum("n").alias("total"), left.alias("left"))
+        # Contexts of at most one symbol and single symbols: at most VOCABULARY rows a model, which all executors get.
+        few = lambda t, order: F.broadcast(t) if order <= 1 else t  # noqa: B023, E731
+        now = now.withColumn("h", F.shiftright("gram", BITS).bitwiseAND(F.lit(_mask(m - 1)))).join(few(context, m - 1), ["model", "h"], "left").drop("h")
         if m < ORDER:
-            now = now.withColumn("g", F.col("gram").bitwiseAND(F.lit(_mask(m)))).join(rows.select("g", (F.col("n") - F.col("cut")).alias("over")), "g", "left").drop("g")
+            now = now.withColumn("g", F.col("gram").bitwiseAND(F.lit(_mask(m)))).join(few(rows.select("model", "g", (F.col("n") - F.col("cut")).alias("over")), m), ["model", "g"], "left").drop("g")
         else:
             now = now.withColumn("over", F.when(F.col("c") > 0, F.col("c") - cut))
         p = (F.coalesce("over", F.lit(0.0)) + F.col("left") * F.col("p")) / F.col("total")
         now = now.withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise(p)).drop("over", "total", "left")
-    return now.select("gram", F.round(-F.log("p") * UNITS).cast("long").alias("cost"))
+    return now.select(coded(F.col("gram"), F.col("model")).alias("gram"), F.round(-F.log("p") * UNITS).cast("long").alias("cost"))
+
+
+def coded(gram: F.Column, model: F.Column) -> F.Column:
+    return gram.bitwiseOR(F.shiftleft(model.cast("long"), BITS * ORDER))
 
 
 def sent_model(model: DataFrame):
@@ -154,22 +174,25 @@ def sent_model(model: DataFrame):
     return model.sparkSession.sparkContext.broadcast((codes[order], cost[order]))
 
 
-def perplexities(docs: DataFrame, model: DataFrame, sent) -> DataFrame:
-    """``docs`` with perplexity (null without text). model: (gram, cost) with all their n-grams; sent: sent_model of it."""
+def perplexities(docs: DataFrame, model: DataFrame, sent, which: F.Column) -> DataFrame:
+    """``docs`` with perplexity (null without text). model: (gram, cost) with all their n-grams; sent: sent_model of it;
+    which: the model of each row."""
     plain = docs.drop("perplexity")
-    total, n = free_names(plain.columns, "cost_sum", "cost_n")
-    summed = _sums_by_join(plain, model, total, n) if sent is None else _sums_sent(plain, sent, total, n)
-    return summed.withColumn("perplexity", F.when(F.col(n) > 0, F.exp(F.least(F.col(total) / F.lit(float(UNITS)) / F.col(n), F.lit(700.0))))).drop(total, n)
+    total, n, own = free_names(plain.columns, "cost_sum", "cost_n", "own_model")
+    marked = plain.withColumn(own, which.cast("int"))
+    summed = _sums_by_join(marked, model, total, n, own) if sent is None else _sums_sent(marked, sent, total, n, own)
+    return summed.withColumn("perplexity", F.when(F.col(n) > 0, F.exp(F.least(F.col(total) / F.lit(float(UNITS)) / F.col(n), F.lit(700.0))))).drop(total, n, own)
 
 
-def _sums_sent(plain: DataFrame, sent, total: str, n: str) -> DataFrame:
-    """``plain`` with the sum of its n-grams' costs and their number."""
-    at = plain.columns.index("text")
+def _sums_sent(marked: DataFrame, sent, total: str, n: str, own: str) -> DataFrame:
+    """``marked`` with the sum of its n-grams' costs and their number."""
+    at, own_at = marked.columns.index("text"), marked.columns.index(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, cost = sent.value
         for part, texts in chunks(batches, at):
             code, lengths = grams(texts)
+            code |= np.repeat(part.column(own_at).to_numpy(zero_copy_only=False).astype(np.int64), lengths) << (BITS * ORDER)
             found, back = np.unique(code, return_inverse=True)
             place = np.minimum(np.searchsorted(codes, found), max(len(codes) - 1, 0))
             if len(found) and not (len(codes) and (codes[place] == found).all()):
@@ -180,37 +203,24 @@ def _sums_sent(plain: DataFrame, sent, total: str, n: str) -> DataFrame:
             columns = [pc.if_else(none, None, pa.array(x.astype(np.int64))) for x in (sums[ends] - sums[ends - lengths], lengths)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, total, n])
 
-    return plain.mapInArrow(run, plain.withColumns({total: F.lit(None).cast("long"), n: F.lit(None).cast("long")}).schema)
+    return marked.mapInArrow(run, marked.withColumns({total: F.lit(None).cast("long"), n: F.lit(None).cast("long")}).schema)
 
 
-def _sums_by_join(plain: DataFrame, model: DataFrame, total: str, n: str) -> DataFrame:
+def _sums_by_join(marked: DataFrame, model: DataFrame, total: str, n: str, own: str) -> DataFrame:
     """The same where the model is too large to send: every distinct text's n-grams meet it in a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for k1, k2, w, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), strict=True):
                 code, _ = grams([text.as_py() or ""])
-                found, m = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k1, np.int64)), pa.array(np.full(len(found), k2, np.int64)), pa.array(found), pa.array(m.astype(np.int64))], names=["k1", "k2", "gram", "m"])
+                found, m = np.unique(code | (w << (BITS * ORDER)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k1, np.int64)), pa.array(np.full(len(found), k2, np.int64)), pa.array(np.full(len(found), w, np.int32)), pa.array(found), pa.array(m.astype(np.int64))], names=["k1", "k2", "w", "gram", "m"])
 
     keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.reverse("text"))}
-    own = plain.select("text").withColumns(keys).groupBy("k1", "k2").agg(F.first("text").alias("text")).select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, gram long, m long")
-    sums = own.join(model, "gram").groupBy("k1", "k2").agg(F.sum(F.col("m") * F.col("cost")).alias("a"), F.sum("m").alias("b"))
-    k1, k2 = free_names([*plain.columns, total, n], "k1", "k2")
-    return plain.withColumns({k1: keys["k1"], k2: keys["k2"]}).join(sums.toDF(k1, k2, total, n), [k1, k2], "left").select(*plain.columns, total, n)
-
-
-def held_out(marked: DataFrame, found: DataFrame) -> DataFrame:
-    """(lang, perplexity) of every trusted row of ``marked`` (text, lang, fold), by the model of all other folds."""
-    out = []
-    for f in range(FOLDS):
-        model = materialize(probabilities(found.filter("c > 0").select("gram", (F.col("c") - F.col(f"c{f}")).alias("c"))), f"model-{f}")
-        sent = sent_model(model)
-        own = perplexities(marked.filter(F.col("fold") == f).select("text", "lang"), model, sent)
-        out.append(materialize(own.select("lang", "perplexity"), f"held-out-{f}"))
-        if sent is not None:
-            sent.destroy()
-    return reduce(DataFrame.unionByName, out)
+    texts = marked.select("text", F.col(own).alias("w")).withColumns(keys).groupBy("k1", "k2", "w").agg(F.first("text").alias("text")).select("k1", "k2", "w", "text")
+    sums = texts.mapInArrow(run, "k1 long, k2 long, w int, gram long, m long").join(model, "gram").groupBy("k1", "k2", "w").agg(F.sum(F.col("m") * F.col("cost")).alias("a"), F.sum("m").alias("b"))
+    k1, k2 = free_names([*marked.columns, total, n], "k1", "k2")
+    return marked.withColumns({k1: keys["k1"], k2: keys["k2"]}).join(sums.toDF(k1, k2, own, total, n), [k1, k2, own], "left").select(*marked.columns, total, n)
 
 
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -229,13 +239,18 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, min_c
     marked = docs.select("doc_id", "text", "lang").join(F.broadcast(known) if few else known, F.col("doc_id") == F.col("t_id"), "left")
     marked = marked.select("text", "lang", F.when(F.col("t"), fold_of(F.col("text"))).alias("fold"))
     found = materialize(count_grams(marked), "grams")
-    own = held_out(marked.filter(F.length("text") >= min_chars), found)
+    model = materialize(probabilities(*by_model(found)), "model")
+    apart = coded(F.lit(0), F.lit(FOLDS))
+    held = model.filter(F.col("gram") < apart)
+    sent = sent_model(held)
+    own = perplexities(marked.filter(F.col("fold").isNotNull() & (F.length("text") >= min_chars)).select("text", "lang", "fold"), held, sent, F.col("fold"))
     bars = materialize(own.groupBy(F.coalesce("lang", F.lit("")).alias("b_lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold")), "thresholds")
     (bar,) = free_names([*docs.columns, "perplexity", "threshold"], "b_lang")
     bars = bars.withColumnRenamed("b_lang", bar)
-    model = materialize(probabilities(found.select("gram", "c")), "model")
-    sent = sent_model(model)
-    scored = perplexities(docs, model, sent)
+    if sent is not None:
+        sent.destroy()
+    whole = model.filter(F.col("gram") >= apart)
+    scored = perplexities(docs, whole, sent_model(whole), F.lit(FOLDS))
     few = bars.count() <= BROADCAST_IDS
     scored = scored.join(F.broadcast(bars) if few else bars, F.coalesce("lang", F.lit("")) == F.col(bar), "left").drop(bar)
     short = F.length("text") < min_chars

@@ -155,7 +155,9 @@ def test_kneser_ney_sums_to_one(spark):
     context = int(code[3]) >> quality.BITS << quality.BITS
     every = spark.createDataFrame([(context | w,) for w in range(quality.VOCABULARY)], "gram long").join(seen, "gram", "left").fillna(0)
     others = seen.join(every.select("gram"), "gram", "left_anti")
-    p = quality.probabilities(every.unionByName(others)).filter(f"gram >> {quality.BITS} = {context >> quality.BITS}").toPandas()
+    targets = every.unionByName(others).selectExpr(f"{quality.FOLDS} as model", "gram", "c")
+    found = quality.probabilities(targets, targets.filter("c > 0")).selectExpr(f"gram & {quality._mask(quality.ORDER)} as gram", "cost")
+    p = found.filter(f"gram >> {quality.BITS} = {context >> quality.BITS}").toPandas()
     assert len(p) == quality.VOCABULARY and (2.718281828459045 ** (-p.cost / quality.UNITS)).sum() == pytest.approx(1, abs=1e-5)
 
 
