@@ -312,9 +312,15 @@ def encode_decode(docs: DataFrame, model_path: str, verify: bool = True, batch_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the words kept are many small objects without cycles
+        try:
+            yield from coded(batches)
+        finally:
+            gc.enable()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coders.get((model_path, verify))
         if coder is None:
-            gc.disable()  # the words kept are many small objects without cycles
             _coders.clear()
             coder = _coders[model_path, verify] = PieceCoder(model_path, verify)
 
