@@ -8,7 +8,7 @@ from ..functions import dna
 from ..operators import candidates as C
 from ..operators import chains
 from ..sources import records
-from ..sources.scratch import scratch_path
+from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import SEQUENCES_SQL, edges, table
 from ..streaming import requests
 from . import checks, diffs, gates, governance, planners, selectors
@@ -319,7 +319,7 @@ def _edge_overlaps(spark, sf):
 
 def read_alignments(spark, sf):
     """Chains along a graph of many reads, accepted by a given divergence of each chain."""
-    found = chains.chain_read_alignments(_edge_overlaps(spark, sf), GRAPH)
+    found = materialize(chains.chain_read_alignments(_edge_overlaps(spark, sf), GRAPH), "chains")  # used twice
     given = found.select("read_id", "chain_id").distinct().withColumn("divergence", ((F.col("read_id") + F.col("chain_id")) % 10) / 20)
     return chains.read_alignments(found, given)
 

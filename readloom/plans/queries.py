@@ -74,7 +74,7 @@ def _edge_overlaps(spark, sf) -> DataFrame:
 
 def alignments_by_segment_means(spark, sf):
     """Read alignments with the engine's own stand-in for the divergence of a chain."""
-    found = chains.chain_read_alignments(_edge_overlaps(spark, sf), chains.GraphParams(min_overlap=50, max_separation=50))
+    found = materialize(chains.chain_read_alignments(_edge_overlaps(spark, sf), chains.GraphParams(min_overlap=50, max_separation=50)), "chains")
     return chains.read_alignments(found, chains.segment_means(found))
 
 
