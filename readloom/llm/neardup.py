@@ -32,8 +32,8 @@ from .wordhash import mixed, parts, run_hashes, word_hashes
 CHUNKS, WIDTH = 12, 4
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
-#: Classes of a side of a tile: of signatures alone, and with texts.
-SIGNATURE_TILE, TILE = 128, 256
+#: Classes of a side of a tile: of signatures alone, and with texts. A class goes to as many tiles as its unit fills.
+SIGNATURE_TILE, TILE = 1024, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts whose sets a task keeps while it confirms pairs.
 KEPT_SETS = 2000
@@ -266,11 +266,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         mine = rooted.join(mixed_forms, "form").select("rep", "root").unionByName(ends_of.select("rep", F.col("rep_root").alias("root"))).unionByName(ends_of.select(F.col("hub").alias("rep"), F.col("hub_root").alias("root")))
         mine = mine.distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("unit")), "root")
         mine = materialize(mine.join(classes.select("rep", "sig", F.col("n").alias("size")).dropDuplicates(["rep"]), "rep"), "apart-classes")
-        forest = materialize(in_cells(mine, SIGNATURE_TILE).groupBy("unit", "kind", "i", "j").applyInPandas(near_tile, "a long, b long"), "near-forest")
+        # Dealt by cell: units are uneven, and the join before would leave each of them in one task.
+        spread = in_cells(mine, SIGNATURE_TILE).repartition("unit", "kind", "i", "j")
+        forest = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(near_tile, "a long, b long"), "near-forest")
         nearer = components(forest).select(F.col("node").alias("rep"), F.col("root").alias("unit"))
         mine = materialize(mine.drop("unit").join(nearer, "rep"), "near-classes")
         texts = texts_of(mine.select(F.col("rep").alias("doc_id")), "apart")
-        spread = in_cells(mine, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        spread = in_cells(mine, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition("unit", "kind", "i", "j")
         more = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(tile, "a long, b long"), "rest-links")
         roots = materialize(components(links.unionByName(more)), "roots")
 
