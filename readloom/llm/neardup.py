@@ -266,8 +266,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         mine = rooted.join(mixed_forms, "form").select("rep", "root").unionByName(ends_of.select("rep", F.col("rep_root").alias("root"))).unionByName(ends_of.select(F.col("hub").alias("rep"), F.col("hub_root").alias("root")))
         mine = mine.distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("unit")), "root")
         mine = materialize(mine.join(classes.select("rep", "sig", F.col("n").alias("size")).dropDuplicates(["rep"]), "rep"), "apart-classes")
-        # Dealt by cell: units are uneven, and the join before would leave each of them in one task.
-        spread = in_cells(mine, SIGNATURE_TILE).repartition("unit", "kind", "i", "j")
+        # Dealt by cell: units are uneven, and the join before would leave each of them in one task. The number of
+        # partitions is fixed, as a cell has few bytes for the work it is.
+        width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = in_cells(mine, SIGNATURE_TILE).repartition(width, "unit", "kind", "i", "j")
         forest = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(near_tile, "a long, b long"), "near-forest")
         nearer = components(forest).select(F.col("node").alias("rep"), F.col("root").alias("unit"))
         mine = materialize(mine.drop("unit").join(nearer, "rep"), "near-classes")
