@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, neardup, packing, pieces, quality, repeats, sharding, syncmers, tool_calls, topk
+from . import codes, html_text, neardup, packing, pieces, quality, repeats, sharding, syncmers, tool_calls, topk
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_neardup": neardup.op8_neardup,
         "op9_syncmers": syncmers.op9_syncmers,
         "op10_pieces": pieces.op10_pieces,
+        "op11_codes": codes.op11_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return topk.ORACLE | tool_calls.ORACLE
+    return topk.ORACLE | tool_calls.ORACLE | codes.ORACLE
