@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, html_text, neardup, packing, pieces, quality, repeats, sharding, syncmers, tool_calls, topk
+from . import codes, html_text, langid, neardup, packing, pieces, quality, repeats, sharding, syncmers, tool_calls, topk
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_syncmers": syncmers.op9_syncmers,
         "op10_pieces": pieces.op10_pieces,
         "op11_codes": codes.op11_codes,
+        "op12_langid": langid.op12_langid,
     }
 
 
