@@ -12,7 +12,7 @@ from ..operators import candidates as C
 from ..operators import chains
 from ..sources.scratch import materialize
 from ..sources.tables import SEQUENCES_SQL, edges, reads, table
-from . import diffs, gate_queries, gates, planners, record_queries
+from . import alignment, diffs, gate_queries, gates, planners, record_queries
 
 K, MOST = 17, 8
 PARAMS = chains.ChainParams(k=K, min_overlap=50, check_overhang=False, only_max_ext=True)
@@ -22,12 +22,6 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return C.candidates(reads(spark, sf), edges(spark, sf), K, MOST)
 
 
-def _spans(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
-    e = edges(spark, sf).select("edge_seq_id", F.length("seq").alias("target_len"))
-    lengths = e.select(F.col("edge_seq_id").alias("target_id"), "target_len").unionByName(e.select((-F.col("edge_seq_id")).alias("target_id"), "target_len"))
-    return C.group_spans(hits, reads(spark, sf).select(F.col("read_id").alias("query_id"), F.length("seq").alias("query_len")), lengths, PARAMS.min_overlap, PARAMS.survival)
-
-
 def kmer_candidates(spark, sf):
     return _hits(spark, sf)
 
@@ -37,14 +31,11 @@ def kmer_frequency(spark, sf):
 
 
 def group_spans(spark, sf):
-    return _spans(spark, sf, _hits(spark, sf))
+    return alignment.spans(_hits(spark, sf), reads(spark, sf), edges(spark, sf), PARAMS)
 
 
 def _overlaps(spark, sf, p: chains.ChainParams) -> DataFrame:
-    # Hits are used twice, for the groups that survive and for their chains, and are few beside the windows.
-    hits = materialize(_hits(spark, sf), "hits")
-    lost = C.repetitive_positions(reads(spark, sf), edges(spark, sf), K, MOST)
-    return chains.chain_overlaps(hits, _spans(spark, sf, hits).filter("survives"), p, lost)
+    return alignment.overlap_reads(reads(spark, sf), edges(spark, sf), MOST, p)
 
 
 def overlaps(spark, sf):
@@ -62,14 +53,7 @@ def chain_inputs(spark, sf):
 
 
 def _edge_overlaps(spark, sf) -> DataFrame:
-    """Overlaps bound to the nodes of their edges; on the reverse strand an edge runs from its right node to its left."""
-    nodes = edges(spark, sf).select("edge_seq_id", "left_node", "right_node")
-    forward = F.col("ext_id") > 0
-    return overlaps(spark, sf).join(nodes, F.abs("ext_id") == F.col("edge_seq_id")).select(
-        F.xxhash64("cur_id", "ext_id", "cur_begin").alias("candidate_id"), F.col("cur_id").alias("read_id"), F.col("cur_begin").alias("read_begin"), F.col("cur_end").alias("read_end"), F.col("cur_len").alias("read_len"),
-        F.col("ext_id").alias("edge_id"), F.when(forward, F.col("left_node")).otherwise(-F.col("right_node")).alias("edge_left_node"), F.when(forward, F.col("right_node")).otherwise(-F.col("left_node")).alias("edge_right_node"),
-        F.col("ext_id").alias("edge_seq_id"), F.col("ext_begin").alias("edge_begin"), F.col("ext_end").alias("edge_end"), F.col("ext_len").alias("edge_len"), F.col("score").cast("int").alias("score"), "seq_divergence",
-    )
+    return alignment.bind_edges(overlaps(spark, sf), edges(spark, sf))
 
 
 def alignments_by_segment_means(spark, sf):
@@ -104,7 +88,8 @@ def ledger_stats(spark, sf):
 def selection_plan(spark, sf):
     labels = table(spark, sf, "labels")
     ids = labels.select(F.col("doc_id").alias("query_id"), "quality", "toxic")
-    return planners.plan_selection(ledger_stats(spark, sf), ids.filter("quality = 1 and toxic = 0"), ids.filter("toxic = 1"))
+    plan = planners.plan_selection(ledger_stats(spark, sf), ids.filter("quality = 1 and toxic = 0"), ids.filter("toxic = 1"))
+    return plan.withColumn("rank", F.col("rank").cast("int"))
 
 
 def ledger_accounting(spark, sf):
