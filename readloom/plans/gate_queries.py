@@ -12,6 +12,7 @@ from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import SEQUENCES_SQL, edges, table
 from ..streaming import requests
 from . import checks, diffs, gates, governance, planners, selectors
+from .chain_sql import graph_steps
 
 K, MOST = 17, 8
 
@@ -345,38 +346,10 @@ _INPUTS = "(ext_len < 900 OR least(cur_end - cur_begin, ext_end - ext_begin) > 1
 _DECIDED = """d AS (SELECT CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 'kept' WHEN l_returnflag <> 'N' THEN 'replaced' ELSE 'selected_missing' END AS decision FROM lineitem)"""
 
 
-# Graph chains in SQL: one chain ends in each row, so a read's state is lists by row: score, time of closing (0: open),
-# path and begin of that chain. A second recursion takes chains by score, with the list of ranges taken so far.
-_GRAPH = """e AS (
+_GRAPH = f"""e AS (
   SELECT l_orderkey AS read_id, l_linenumber * CAST(100000000 AS BIGINT) + l_partkey * 1000 + l_suppkey % 1000 AS cand, CAST(l_linenumber * 40 + CAST(l_quantity AS INTEGER) % 5 AS INTEGER) AS b, CAST(l_linenumber * 40 + CAST(l_quantity AS INTEGER) % 5 + CAST(l_quantity AS INTEGER) AS INTEGER) AS z,
-    l_partkey AS edge, l_partkey % 3 AS ln, l_suppkey % 3 AS rn, CAST(l_suppkey % 90 AS INTEGER) AS eb, CAST(100 + l_partkey % 7 * 20 AS INTEGER) AS el, CAST(l_quantity AS INTEGER) AS sc FROM lineitem
-), p AS (
-  SELECT read_id, count(*) AS n, list({'b': b, 'z': z, 'edge': edge, 'ln': ln, 'rn': rn, 'eb': eb, 'el': el, 'rest': el - 95, 'sc': sc} ORDER BY b, cand) AS x FROM e GROUP BY 1
-), dp AS (
-  SELECT read_id, n, x, CAST(1 AS BIGINT) AS i, [CAST(x[1].sc AS BIGINT)] AS total, [CASE WHEN x[1].rest >= 80 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END] AS closed, [[CAST(1 AS BIGINT)]] AS path FROM p
-  UNION ALL
-  SELECT read_id, n, x, i + 1, list_append(total, CASE WHEN won THEN best.s ELSE x[i + 1].sc END),
-    list_append(list_transform(range(1, i + 1), lambda k: CASE WHEN late AND list_contains(behind, k) THEN i + 1 ELSE closed[k] END), CASE WHEN NOT won AND x[i + 1].rest >= 80 THEN i + 1 ELSE 0 END),
-    list_append(path, CASE WHEN won THEN list_append(path[-best.nk], i + 1) ELSE [i + 1] END)
-  FROM (SELECT *, len(behind) > (len(list_filter(closed, lambda c: c = 0)) + CASE WHEN NOT won AND x[i + 1].rest >= 80 THEN 0 ELSE 1 END) // 2 AS late
-    FROM (SELECT *, coalesce(best.s > 0, false) AS won
-      FROM (SELECT *, list_filter(range(1, i + 1), lambda k: closed[k] = 0 AND x[i + 1].eb < 80 AND x[i + 1].b - x[k].z > 80) AS behind,
-          list_max(list_transform(list_filter(range(1, i + 1), lambda k: closed[k] = 0 AND x[k].rn = x[i + 1].ln AND x[i + 1].b - x[k].z > -10 AND x[i + 1].b - x[k].z < 80 AND x[k].rest + x[i + 1].eb < 80 AND x[i + 1].eb < 80),
-            lambda k: {'s': total[k] + x[i + 1].sc - CASE WHEN abs(x[i + 1].b - x[k].z - x[k].rest - x[i + 1].eb) > 20 THEN abs(x[i + 1].b - x[k].z - x[k].rest - x[i + 1].eb) // 10 ELSE 0 END, 'nk': -k})) AS best
-        FROM dp WHERE i < n)))
-), ends AS (
-  SELECT read_id, x, unnest(range(1, n + 1)) AS k, unnest(total) AS total, unnest(closed) AS closed, unnest(path) AS path FROM dp WHERE i = n
-), line AS (
-  SELECT *, x[path[1]].b AS b, x[k].z AS z, row_number() OVER (PARTITION BY read_id ORDER BY total DESC, closed > 0, closed, closed <> k, k) AS r FROM ends
-), taken AS (
-  SELECT read_id, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(b INTEGER, z INTEGER)[]) AS held, false AS got FROM p
-  UNION ALL
-  SELECT t.read_id, l.r, CASE WHEN l.z - l.b >= 20 AND len(list_filter(t.held, lambda h: least(h.z, l.z) - greatest(h.b, l.b) > 5)) = 0 THEN list_append(t.held, {'b': l.b, 'z': l.z}) ELSE t.held END,
-    l.z - l.b >= 20 AND len(list_filter(t.held, lambda h: least(h.z, l.z) - greatest(h.b, l.b) > 5)) = 0
-  FROM taken t JOIN line l ON l.read_id = t.read_id AND l.r = t.r + 1
-), chain AS (
-  SELECT l.*, row_number() OVER (PARTITION BY read_id ORDER BY r) - 1 AS chain_id FROM line l JOIN taken USING (read_id, r) WHERE got
-), kept AS (
+    l_partkey AS edge, l_partkey % 3 AS ln, l_suppkey % 3 AS rn, CAST(l_suppkey % 90 AS INTEGER) AS eb, 95 AS ee, CAST(100 + l_partkey % 7 * 20 AS INTEGER) AS el, CAST(l_quantity AS INTEGER) AS sc FROM lineitem
+), {graph_steps(GRAPH)}, kept AS (
   SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY chain_id) - 1 AS again FROM chain WHERE ((read_id + chain_id) % 10) / 20 < 0.25
 ), segments AS (SELECT read_id, again, x, unnest(path) AS k, unnest(range(0, len(path))) AS segment_id FROM kept)"""
 
