@@ -8,10 +8,13 @@ All pairs within the distance meet; with 12 chunks of 4 a pair at similarity 0.8
 million, and pairs above less often.
 
 Documents with equal sets are one class. Every class first meets the smallest class that shares a form with it; pairs
-within the distance are confirmed on the full sets, and links make components. Classes that share a form across
-components still are compared in tiles of bounded size, twice: first signatures alone, where a tile returns a forest that
-ties together what is within the distance; then, for classes in such a forest alone, full sets, where a tile returns the
-links that join components. So no link is lost, copies are never expanded into pairs, no group meets in one task, and
+within the distance are confirmed on the full sets, and links make components. What is left are classes that share a form
+with a class of another component. Where texts share a template that can be any two of them, though few pairs are near,
+so the crowd of a form is split by what near sets must share: with shingles in one order, frequent ones last, two sets of
+the similarity have a shingle in common among the first ninth of the smaller and the first fifth of the larger one. Only
+classes that share such a shingle are compared, in tiles of bounded size: first signatures alone, where a tile returns a
+forest that ties together what is within the distance; then, for classes in such a forest, full sets, where a tile returns
+the links that join components. So no link is lost, copies are never expanded into pairs, no group meets in one task, and
 texts move only where a pair is within the distance.
 """
 
@@ -37,6 +40,10 @@ SIGNATURE_TILE, TILE = 1024, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts whose sets a task keeps while it confirms pairs.
 KEPT_SETS = 2000
+#: Pairs with one class that meet its text in a task.
+HUB_PAIRS = 256
+#: Texts that the order of shingles is drawn from, and frequent shingles that it knows. Any order gives the same links.
+SAMPLE_TEXTS, FREQUENT = 20_000, 500_000
 #: A table of at most so many ids is sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -87,6 +94,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def prefixes(s: np.ndarray, frequent: np.ndarray, times: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of shingles, those of which it has one in common with every larger set of the similarity (that has it among
+    both these and the next), and the next, of which it has one in common with smaller sets.
+
+    Shingles come in order of their times among ``frequent`` ones (0 for others), then of their hash. A common part of at
+    least c shingles has one among the first n - c + 1 of either set.
+    """
+    n = len(s)
+    at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
+    often = np.where(frequent[at] == s, times[at], 0) if len(frequent) else np.zeros(n, np.int64)
+    order = s[np.lexsort((s, often))]
+    inner, outer = n + 1 + -2 * percent * n // (100 + percent), n + 1 + -percent * n // 100
+    return order[:inner], order[inner:outer]
+
+
 class Within:
     """Joins whatever is within the distance."""
 
@@ -148,10 +170,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[i : i + 2000], keys.shape[1]))], names=["form", "rep"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, salt, b, text), the texts of a before those of each b of it: the pairs that are links."""
+        now, sets = None, []
         for batch in batches:
             for part in parts([batch], 3):
-                good = [linked(a, b, percent) for a, b in zip(*(shingle_sets(part.column(i), shingle) for i in (2, 3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["a", "b"])
+                found = []
+                for key, b, s in zip(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True), part.column(2).to_pylist(), shingle_sets(part.column(3), shingle), strict=True):
+                    if key != now:
+                        now, sets = key, []
+                    if b is None:
+                        sets.append(s)
+                    elif any(linked(x, s, percent) for x in sets):
+                        found.append((key[0], b))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     rows = materialize(source.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     known = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -182,17 +213,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         return materialize(source.join(ids, "doc_id", "left_semi"), f"{tag}-texts")
 
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
+        """The pairs (a, b) that are links. The text of an a with many pairs goes to several tasks, once to each."""
         pairs = materialize(near(pairs), f"{tag}-pairs")
+        salts = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("salts")), f"{tag}-salts")
         wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
         texts = texts_of(wanted, tag)
-        side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-        met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-        return materialize(met.mapInArrow(confirm, "a long, b long"), f"{tag}-links")
+        few = F.broadcast(salts) if salts.count() <= BROADCAST_IDS else salts
+        of_b = pairs.join(few, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b").join(texts.withColumnRenamed("doc_id", "b"), "b")
+        of_a = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("doc_id", "a"), "a")
+        met = of_b.select("a", "salt", "b", "text").unionByName(of_a.select("a", "salt", F.lit(None).cast("long").alias("b"), "text"))
+        met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return materialize(met.mapInArrow(confirm, "a long, b long"), f"{tag}-links").distinct()
 
     def across(part: pd.DataFrame, link) -> pd.DataFrame:
         """The pairs in one tile, from different components and within the distance, that ``link`` accepts (by place), as
-        far as they join what is not joined in it."""
-        rep, root, size, own, large = (part[c].to_numpy() for c in ("rep", "root", "size", "own", "large"))
+        far as they join what is not joined in it. Of a pair, the first one by size must be ``inner``."""
+        rep, root, size, own, large, inner = (part[c].to_numpy() for c in ("rep", "root", "size", "own", "large", "inner"))
         sig = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, SYMBOLS)
         up: dict[int, int] = {}
 
@@ -205,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         top_cell = part["kind"].iloc[0] == "top"
         side = large if top_cell else own
         two = top_cell or part["i"].iloc[0] != part["j"].iloc[0]
-        for x in range(len(rep) - 1):
+        for x in np.nonzero(inner[:-1])[0].tolist():
             fit = (root[x + 1 :] != root[x]) & (100 * np.minimum(size[x + 1 :], size[x]) >= percent * np.maximum(size[x + 1 :], size[x]))
             if two:
                 fit &= side[x + 1 :] != side[x]
@@ -221,13 +257,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     def near_tile(part: pd.DataFrame) -> pd.DataFrame:
         """A forest of the classes within the distance of each other: any two of them are joined in it."""
-        part = part.drop_duplicates("rep").sort_values("rep")
-        rep = part["rep"].tolist()
-        return across(part, Within(rep))
+        part = part.drop_duplicates(["rep", "cls"]).sort_values(["size", "rep"])
+        return across(part, Within(part["rep"].tolist()))
 
     def tile(part: pd.DataFrame) -> pd.DataFrame:
         """The links between components in one tile."""
-        part = part.drop_duplicates(["rep", "text"]).sort_values("rep")
+        part = part.drop_duplicates(["rep", "text"]).sort_values(["size", "rep"])
         return across(part, OnFullSets(part["root"].tolist(), part["text"].tolist(), shingle, percent))
 
     def in_cells(mine: DataFrame, tile: int) -> DataFrame:
@@ -249,32 +284,70 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         cells = F.when(F.col("large"), to_rest).otherwise(F.concat(to_top, to_own))
         return met.withColumn("cell", F.explode(cells)).select(*mine.columns, "own", "large", "cell.*")
 
+    def with_prefixes(mine: DataFrame) -> DataFrame:
+        """(cls, rep, root, size, sig, head, tail) of the classes whose rep is in ``mine`` (rep, root), with both parts of
+        ``prefixes``; cls is the first half of the digest of the set."""
+        some = mine.select(F.col("rep").alias("doc_id")).distinct()
+        n = some.count()
+        few = F.broadcast(some) if n <= BROADCAST_IDS else some
+        texts = source.join(few, "doc_id", "left_semi")
+        step = max(1, -(-n // SAMPLE_TEXTS))
+        sample = source.join(F.broadcast(some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)), "doc_id", "left_semi")  # about SAMPLE_TEXTS
+
+        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts(batches, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(part.column(1), shingle), np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
+
+        often = sample.mapInArrow(shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+        codes, times = often.column("h").to_numpy().view(np.uint64), often.column("n").to_numpy()
+        order = np.argsort(codes)
+        known = docs.sparkSession.sparkContext.broadcast((codes[order], times[order]))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            for part in parts(batches, 1):
+                sets = shingle_sets(part.column(1), shingle)
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                h1, h2 = ([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests] for i in (0, 8))
+                both = [prefixes(s, *known.value, percent) for s in sets]
+                lists = [pa.array([p[i].view(np.int64) for p in both], pa.list_(pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *lists], names=["rep", "h1", "h2", "head", "tail"])
+
+        found = texts.mapInArrow(cut, "rep long, h1 long, h2 long, head array<long>, tail array<long>").join(classes.select("h1", "h2", "rep", "sig", F.col("n").alias("size")), ["h1", "h2", "rep"])
+        return materialize(found.dropDuplicates(["h1", "h2"]).join(mine.distinct(), "rep").select(F.col("h1").alias("cls"), "rep", "root", "size", "sig", "head", "tail"), "prefixes")
+
     links = confirmed(pairs, "star")
     roots = materialize(components(links), "roots")
 
-    # Classes that share a form with a class of another component: all their pairs across components, in tiles.
+    # Classes that share a form with a class of another component.
     root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    placed = stars.filter("hub != rep").join(root("rep"), "rep", "left").join(root("hub"), "hub", "left")
-    placed = placed.withColumns({"rep_root": F.coalesce("rep_root", "rep"), "hub_root": F.coalesce("hub_root", "hub")})
-    apart = materialize(placed.filter("rep_root != hub_root").select(F.col("hub_root").alias("a"), F.col("rep_root").alias("b")).distinct(), "apart")
-    if not apart.isEmpty():
-        groups = materialize(components(apart), "groups")
-        # Of these components, the classes that do share a form with another one.
-        rooted = crowds.select("form", "rep").join(root("rep"), "rep", "left").withColumn("root", F.coalesce("rep_root", "rep"))
-        mixed_forms = materialize(rooted.groupBy("form").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("form"), "mixed-forms")
-        ends_of = placed.filter("rep_root != hub_root")
-        mine = rooted.join(mixed_forms, "form").select("rep", "root").unionByName(ends_of.select("rep", F.col("rep_root").alias("root"))).unionByName(ends_of.select(F.col("hub").alias("rep"), F.col("hub_root").alias("root")))
-        mine = mine.distinct().join(groups.select(F.col("node").alias("root"), F.col("root").alias("unit")), "root")
-        mine = materialize(mine.join(classes.select("rep", "sig", F.col("n").alias("size")).dropDuplicates(["rep"]), "rep"), "apart-classes")
+    placed = buckets.filter("n = 2").select("hub", F.col("far").alias("rep")).join(root("rep"), "rep", "left").join(root("hub"), "hub", "left")
+    placed = placed.withColumns({"rep_root": F.coalesce("rep_root", "rep"), "hub_root": F.coalesce("hub_root", "hub")}).filter("rep_root != hub_root")
+    rooted = crowds.select("form", "rep").join(root("rep"), "rep", "left").withColumn("root", F.coalesce("rep_root", "rep"))
+    mixed_forms = materialize(rooted.groupBy("form").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("form"), "mixed-forms")
+    mine = rooted.join(mixed_forms, "form").select("rep", "root").unionByName(placed.select("rep", F.col("rep_root").alias("root"))).unionByName(placed.select(F.col("hub").alias("rep"), F.col("hub_root").alias("root")))
+    mine = materialize(mine.distinct(), "apart-classes")
+    if not mine.isEmpty():
+        # Of these, the ones that share a shingle which near sets must share.
+        held = with_prefixes(mine)
+        cut = lambda c, inner: held.select("cls", "root", F.lit(inner).alias("inner"), F.explode(c).alias("unit"))
+        tokens = cut("head", True).unionByName(cut("tail", False))
+        crew = [F.bit_xor(F.xxhash64(F.lit(seed), "cls", "inner")).alias(f"crew{seed}") for seed in (1, 2)]
+        live = tokens.groupBy("unit").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("inner").alias("some"), F.count(F.lit(1)).alias("n"), *crew)
+        # Of shingles that the same classes have, one is enough.
+        live = materialize(live.filter("low != high and some").groupBy("n", "crew1", "crew2").agg(F.min("unit").alias("unit")).select("unit"), "live-shingles")
+        few = F.broadcast(live) if live.count() <= BROADCAST_IDS else live
+        crowd = materialize(tokens.join(few, "unit").select("unit", "cls", "inner").join(held.select("cls", "rep", "root", "size", "sig"), "cls"), "token-classes")
         # Dealt by cell: units are uneven, and the join before would leave each of them in one task. The number of
         # partitions is fixed, as a cell has few bytes for the work it is.
         width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = in_cells(mine, SIGNATURE_TILE).repartition(width, "unit", "kind", "i", "j")
+        spread = in_cells(crowd, SIGNATURE_TILE).repartition(width, "unit", "kind", "i", "j")
         forest = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(near_tile, "a long, b long"), "near-forest")
         nearer = components(forest).select(F.col("node").alias("rep"), F.col("root").alias("unit"))
-        mine = materialize(mine.drop("unit").join(nearer, "rep"), "near-classes")
-        texts = texts_of(mine.select(F.col("rep").alias("doc_id")), "apart")
-        spread = in_cells(mine, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition("unit", "kind", "i", "j")
+        closer = materialize(held.select("cls", "rep", "root", "size", "sig", F.lit(True).alias("inner")).join(nearer, "rep"), "near-classes")
+        texts = texts_of(closer.select(F.col("rep").alias("doc_id")), "apart")
+        spread = in_cells(closer, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition("unit", "kind", "i", "j")
         more = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(tile, "a long, b long"), "rest-links")
         roots = materialize(components(links.unionByName(more)), "roots")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from readloom.llm import neardup
@@ -67,3 +68,57 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
     want = sorted(((i, n, c, None if i is None else i == c) for i, n, c in brute(rows, 4, 80)), key=str)
     assert got == want
     assert sum(r[3] is False for r in got) > 40
+
+
+def test_near_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(5)
+    frequent = np.sort(rng.integers(0, 400, 60).astype(np.uint64))
+    frequent, times = np.unique(frequent, return_counts=True)
+    met = 0
+    for _ in range(4000):
+        base = rng.choice(400, rng.integers(1, 90), replace=False)
+        a = np.unique(base[rng.random(len(base)) < rng.choice([0.9, 1.0])]).astype(np.uint64)
+        b = np.unique(np.concatenate([base[rng.random(len(base)) < rng.choice([0.85, 0.95, 1.0])], rng.choice(400, rng.integers(0, 6))])).astype(np.uint64)
+        percent = int(rng.choice([60, 80, 93]))
+        if neardup.linked(a, b, percent):
+            small, large = sorted((a, b), key=len)
+            head, _ = neardup.prefixes(small, frequent, times, percent)
+            assert set(head.tolist()) & set(np.concatenate(neardup.prefixes(large, frequent, times, percent)).tolist())
+            met += 1
+    assert met > 500
+
+
+def test_a_shared_template_makes_no_pairs(spark, monkeypatch):
+    """Half of every text is the same: all share forms, but few shingles meet, and one near pair among them is found."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    template, rows = words(80), []
+    for i in range(400):
+        rows.append((i, " ".join(template + words(60))))
+    own = rows[7][1].split()
+    rows.append((1000, " ".join(own[:-3] + words(3))))
+    made = {}
+    was = neardup.materialize
+
+    def counted(df, tag):
+        out = was(df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, percent=80).collect()}
+    assert got == {i: 7 if i == 1000 else i for i, _ in rows}
+    assert made["apart-classes"] > 300 and made.get("token-classes", 0) < 20
+
+
+def test_a_hub_with_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB_PAIRS", 4)
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        t = list(base)
+        t[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, percent=80).collect()
+    assert len(got) == 60 and {r.component_id for r in got} == {0}
