@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from ..operators.ranking import ranked
+from .common import materialize, table
 
 K, S = 4, 2
 #: Segments of neighbouring doc_ids, cut at quantiles in two levels of 32; buckets are even parts of them, without a limit.
 SEGMENTS = 1024
 _LOWEST = -(1 << 63)
+BROADCAST_ROWS = 1_000_000
 
 
 def let(value: Column, use) -> Column:
@@ -75,15 +77,51 @@ def _occurrences(a: Column, side: int) -> Column:
     return let(rows, numbered)
 
 
+#: Steps of a search in an ordered array, largest first: arrays have fewer elements than twice the first.
+_STEPS = [1 << i for i in range(26, -1, -1)]
+
+
+def _how_many(x: Column, holds) -> Column:
+    """For how many elements of ``x``, of which the first ones alone do, ``holds`` is true; by halving."""
+    steps = F.array(*map(F.lit, _STEPS))
+    return F.aggregate(steps, F.lit(0), lambda at, n: F.when(at + n <= F.size(x), F.when(holds(F.get(x, at + n - 1)), at + n).otherwise(at)).otherwise(at))
+
+
+def _heaviest_rising(x: Column) -> Column:
+    """The weight of the heaviest sequence of elements (v, w), in order, of which v rises.
+
+    Kept are ends of sequences that no other one with as much weight ends before, in order of both; where an element goes,
+    and up to where it makes others needless, is found by halving.
+    """
+
+    def step(ends: Column, e: Column) -> Column:
+        def put(p: Column) -> Column:
+            total = F.coalesce(F.get(ends, p - 1)["w"], F.lit(0)) + e["w"]
+            one = lambda t: F.array(F.struct(e["v"].alias("v"), t.alias("w")))
+            rest = lambda t: let(_how_many(ends, lambda o: o["w"] <= t), lambda q: F.slice(ends, q + 1, F.size(ends)))
+            return F.when(p == F.size(ends), F.concat(ends, one(total))).otherwise(let(total, lambda t: F.concat(F.slice(ends, F.lit(1), p), one(t), rest(t))))
+
+        return let(_how_many(ends, lambda o: o["v"] < e["v"]), put)
+
+    none = F.array().cast("array<struct<v:int,w:int>>")
+    return F.coalesce(let(F.aggregate(x, none, step), lambda ends: F.get(ends, F.size(ends) - 1)["w"]), F.lit(0))
+
+
 def _longest_rising(x: Column) -> Column:
-    """The length of the longest rising subsequence: the smallest end of each length is kept."""
+    """The length of the longest rising subsequence of distinct numbers.
 
-    def step(ends: Column, v: Column) -> Column:
-        at = F.size(F.filter(ends, lambda e: e < v))
-        put = let(at, lambda p: F.concat(F.slice(ends, F.lit(1), p), F.array(v), F.slice(ends, p + 2, F.size(ends))))
-        return F.when((F.size(ends) == 0) | (F.get(ends, F.size(ends) - 1) < v), F.concat(ends, F.array(v))).otherwise(put)
+    With every number replaced by its rank, neighbours whose rank goes up by one make a run. No other number lies between
+    those of a run, in place or in rank, so a longest sequence has it whole or not at all, and runs with their lengths as
+    weights stand for all numbers: what was moved counts, not what is the same.
+    """
+    ranks = F.transform(F.sort_array(F.transform(x, lambda v, i: F.struct(v.alias("v"), i.alias("i")))), lambda q, r: F.struct(q["i"].alias("i"), r.alias("r")))
+    ranked = F.transform(F.sort_array(ranks), lambda q: q["r"])
 
-    return F.size(F.aggregate(x, F.array().cast("array<int>"), step))
+    def runs(r: Column) -> Column:
+        starts = F.filter(upto(F.size(r)), lambda j: (j == 0) | (F.get(r, j) != F.get(r, j - 1) + 1))
+        return let(starts, lambda s: F.transform(s, lambda b, g: F.struct(F.get(r, b).alias("v"), (F.coalesce(F.get(s, g + 1), F.size(r)) - b).alias("w"))))
+
+    return _heaviest_rising(let(ranked, runs))
 
 
 def _in_order(a: Column, b: Column) -> Column:
@@ -115,6 +153,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((n(a) == 0) & (n(b) == 0), F.lit(1.0)).otherwise(share)
 
 
+def _if_small(df: DataFrame) -> DataFrame:
+    """``df``, marked to be sent to all executors if it has at most BROADCAST_ROWS rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """``docs`` (place, tie and others) with bucket, which never falls along place and then tie.
 
@@ -140,8 +183,8 @@ def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     docs = docs.withColumn("bucket", let(segment, lambda g: g.cast("long") * parts + F.least(share(g).cast("long"), F.lit(parts - 1).cast("long"))))
     most = max(1, ends[2] // buckets)
     hot = docs.groupBy("bucket", "place").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * most)  # at most buckets / 2 of them
-    hot = hot.groupBy("bucket").agg(F.collect_list(F.struct("place", F.ceil(F.col("n") / most).cast("long").alias("slices"))).alias("hot"))
-    met = docs.join(F.broadcast(hot), "bucket", "left")
+    hot = materialize(hot.groupBy("bucket").agg(F.collect_list(F.struct("place", F.ceil(F.col("n") / most).cast("long").alias("slices"))).alias("hot")), "hot-places")
+    met = docs.join(_if_small(hot), "bucket", "left")
     # A bucket with hot places has, in order, what lies before the first, its slices, what lies up to the second, and so on.
     before = F.size(F.filter("hot", lambda h: h["place"] < F.col("place")))
     own = F.get(F.filter("hot", lambda h: h["place"] == F.col("place")), F.lit(0))["slices"]
@@ -157,14 +200,14 @@ def with_next(docs: DataFrame, order: Column, buckets: int, add) -> DataFrame:
     before; so no window spans more than a bucket. Texts move once; ``add`` computes what else is needed where they lie.
     """
     docs = bucketed(docs.withColumns({"place": order, "tie": F.xxhash64("text")}), buckets)
-    key = F.struct("bucket", "part")
-    tops = sorted(((r[0][0], r[0][1]), (r[1][0], r[1][1])) for r in docs.groupBy(key.alias("key")).agg(F.max(F.struct("place", "tie"))).collect())  # one row a bucket
-    up = [(k[0], k[1], t[0], t[1], *tops[(i + 1) % len(tops)][0]) for i, (k, t) in enumerate(tops)]
-    ends = docs.sparkSession.createDataFrame(up, "bucket long, part long, top_place long, top_tie long, to_bucket long, to_part long")
+    tops = ranked(docs.groupBy("bucket", "part").agg(F.max(F.struct("place", "tie")).alias("top")), ["bucket", "part"], "rank", 0)
+    n = tops.count()
+    to = tops.select((F.col("rank") - 1 + F.when(F.col("rank") == 0, n).otherwise(0)).alias("rank"), F.col("bucket").alias("to_bucket"), F.col("part").alias("to_part"))
+    ends = materialize(tops.join(to, "rank").select("bucket", "part", F.col("top.place").alias("top_place"), F.col("top.tie").alias("top_tie"), "to_bucket", "to_part"), "bucket-tops")
     own = F.struct("bucket", "part", F.lit(0).alias("copy"))
     there = F.struct(F.col("to_bucket").alias("bucket"), F.col("to_part").alias("part"), F.lit(1).alias("copy"))
     first = (F.col("place") == F.col("top_place")) & (F.col("tie") == F.col("top_tie"))
-    met = docs.join(F.broadcast(ends), ["bucket", "part"])
+    met = docs.join(_if_small(ends), ["bucket", "part"])
     rows = met.withColumn("at", F.explode(F.when(first, F.array(own, there)).otherwise(F.array(own)))).select("doc_id", "text", "place", "tie", "at.*")
     rows = add(rows.repartition("bucket", "part"))
     line = Window.partitionBy("bucket", "part").orderBy("copy", F.desc("place"), F.desc("tie"))
