@@ -5,9 +5,10 @@ weighs as many characters as it has outside of links; lines in menus, adverts, n
 weigh nothing and are never kept. Sums over sliding windows of lines give the distribution, which decides every page:
 text starts where it surges over the threshold and ends where it dives to nothing.
 
-Where a page marks its article, the mark weighs: its lines weigh ``SURGE`` more, so that short ones surge as well, empty
-lines inside it do not count, and lines outside of it weigh nothing. Where it does not, regions that containers of
-several lines set apart are kept by their share of the heaviest one, and in them all stretches that surge.
+Regions, which containers of several lines or of a heading with its text set apart, are kept by their share of the
+heaviest one, and in them all stretches that surge. A mark around the article adds nothing to a line's weight. It does
+three things: empty lines inside it do not count, as it is one text; a region outside of it is kept only if what is
+inside would not be kept beside it; and where the whole article is too short to surge, the threshold is what its heaviest window holds.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ CHROME = frozenset("nav header footer aside form button fieldset dialog menu hea
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of class, id and role that name what is no article.
 ASIDE_WORDS = frozenset(
@@ -182,13 +184,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
 
 
 def gaps(elements: list[Element], spans: list[tuple[int, int]]) -> list[int]:
-    """The empty lines before each line: where a container begins or ends, one, or a window's worth if it holds several lines."""
+    """The empty lines before each line: where a container begins or ends, one, or a window's worth if it holds several
+    lines or a heading with its text."""
     starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    heads = [x.start for x in elements if x.name in HEADINGS]
     before = [0] * (len(spans) + 1)
     for x in elements:
         if x.name in CONTAINERS:
             a, b = bisect_left(starts, x.start), bisect_left(ends, x.end)  # its lines
-            size = WINDOW if b - a >= CONTAINER_LINES else 1
+            headed = b - a > 1 and bisect_left(heads, x.start) < bisect_left(heads, x.end)
+            size = WINDOW if b - a >= CONTAINER_LINES or headed else 1
             before[a] += size
             before[b] += size
     return before[:-1]
@@ -222,23 +227,27 @@ def main_text(page: str) -> str:
     On a page without a marked article whose distribution never surges, all lines that weigh something are the text.
     """
     lines = lines_of(page)
-    marked = any(inside for _, _, inside, _ in lines)
     weights: list[int] = []
     at: list[int] = []  # the place of each line among lines and empty lines
     region: list[int] = []
     for k, (line, own, inside, gap) in enumerate(lines):
-        joined = marked and inside and k > 0 and lines[k - 1][2]
+        joined = inside and k > 0 and lines[k - 1][2]
         weights += [0] * (0 if joined else gap)
         region.append((region[-1] if region else 0) + (k > 0 and not joined and gap >= WINDOW))
         at.append(len(weights))
-        plain = own if own * 2 >= len(line) else 0
-        weights.append((len(line) + SURGE if inside else 0) if marked else plain)
+        weights.append(own if own * 2 >= len(line) else 0)
     heavy: dict[int, int] = {}
     for k, r in enumerate(region):
         heavy[r] = heavy.get(r, 0) + weights[at[k]]
-    least = 0 if marked else SHARE * max(heavy.values(), default=0)
-    good = [k for k, r in enumerate(region) if heavy[r] >= least]
-    stretches = surge_and_dive(weights)
+    marked = {region[k] for k, line in enumerate(lines) if line[2]}
+    within, surge = max((heavy[r] for r in marked), default=0), SURGE
+    if within:
+        surge = min(SURGE, max(sum(weights[at[k] : at[k] + WINDOW]) for k, line in enumerate(lines) if line[2]))
+    least = SHARE * max(heavy.values(), default=0)
+    stretches = surge_and_dive(weights, surge=surge)
+    good = [k for k, r in enumerate(region) if (heavy[r] >= least if r in marked or not within else heavy[r] * SHARE > within)]
+    if within:  # of the region that holds the mark, what lies outside of it is no part of its text
+        good = [k for k in good if lines[k][2] or region[k] not in marked]
     kept = [k for k in good if any(a <= at[k] < b for a, b in stretches)]
     return "\n".join(lines[k][0] for k in kept or [k for k in range(len(lines)) if weights[at[k]]])
 
