@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators import chains
+from ..operators.base_alignment import chain_divergence
 from ..sources.scratch import materialize
 
 
@@ -37,15 +38,24 @@ def overlap_reads(reads: DataFrame, edges: DataFrame, most: int, p: chains.Chain
     return overlap_hits(hits, C.repetitive_positions(reads, edges, p.k, most), reads, edges, p)
 
 
-def bind_edges(overlaps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edge overlaps: overlaps bound to the nodes of their edges (edge_seq_id, left_node, right_node).
+def bind_edges(inputs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edge overlaps: chain inputs bound to the nodes of their edges (edge_seq_id, left_node, right_node).
 
-    On the reverse strand an edge runs from its right node to its left one, and nodes have negative ids.
+    On the reverse strand an edge runs from its right node to its left one, and nodes have negative ids. An input whose
+    edge is not there ends the job. candidate_id is the input's place in its read.
     """
     nodes = edges.select(F.col("edge_seq_id").alias("forward_id"), "left_node", "right_node")
     forward = F.col("ext_id") > 0
-    return overlaps.join(nodes, F.abs("ext_id") == F.col("forward_id")).select(
-        F.xxhash64("cur_id", "ext_id", "cur_begin").alias("candidate_id"), F.col("cur_id").alias("read_id"), F.col("cur_begin").alias("read_begin"), F.col("cur_end").alias("read_end"), F.col("cur_len").alias("read_len"),
-        F.col("ext_id").alias("edge_id"), F.when(forward, F.col("left_node")).otherwise(-F.col("right_node")).alias("edge_left_node"), F.when(forward, F.col("right_node")).otherwise(-F.col("left_node")).alias("edge_right_node"),
-        F.col("ext_id").alias("edge_seq_id"), F.col("ext_begin").alias("edge_begin"), F.col("ext_end").alias("edge_end"), F.col("ext_len").alias("edge_len"), F.col("score").cast("int").alias("score"), "seq_divergence",
+    lost = F.raise_error(F.concat(F.lit("no edge of id "), F.col("ext_id").cast("string"))).cast("long")
+    return inputs.join(C.unless_large(nodes), F.abs("ext_id") == F.col("forward_id"), "left").select(
+        F.col("order").cast("long").alias("candidate_id"), F.col("cur_id").alias("read_id"), F.col("cur_begin").alias("read_begin"), F.col("cur_end").alias("read_end"), F.col("cur_len").alias("read_len"),
+        F.when(F.col("forward_id").isNotNull(), F.col("ext_id")).otherwise(lost).alias("edge_id"), F.when(forward, F.col("left_node")).otherwise(-F.col("right_node")).alias("edge_left_node"), F.when(forward, F.col("right_node")).otherwise(-F.col("left_node")).alias("edge_right_node"),
+        F.col("ext_id").alias("edge_seq_id"), F.col("ext_begin").alias("edge_begin"), F.col("ext_end").alias("edge_end"), F.col("ext_len").alias("edge_len"), F.col("score").cast("int").alias("score"), F.col("seq_divergence").cast("double").alias("seq_divergence"),
     )
+
+
+def align_overlaps(overlaps: DataFrame, reads: DataFrame, edges: DataFrame, p: chains.GraphParams, max_divergence: float = 0.25) -> DataFrame:
+    """read-alignment-v1 of raw overlaps: chain inputs, chains along the graph, and those whose base-level divergence is
+    below the limit, numbered anew."""
+    found = materialize(chains.chain_read_alignments(bind_edges(chains.chain_inputs(overlaps), edges), p), "chains")  # used twice
+    return chains.read_alignments(found, chain_divergence(found, reads, edges), max_divergence)

@@ -62,10 +62,10 @@ ov AS (SELECT {OVERLAP_FIELDS} FROM held o WHERE d < 1.0 AND NOT EXISTS (SELECT
 
 
 def graph_steps(p: GraphParams) -> str:
-    """p, dp, ends, line, taken and chain (read_id, chain_id, x, path and others) from e; x are the overlaps of a read."""
+    """p, walk, ends, line, taken and chain (read_id, chain_id, x, path and others) from e; x are the overlaps of a read."""
     return f"""p AS (
   SELECT read_id, count(*) AS n, list({{'b': b, 'z': z, 'edge': edge, 'ln': ln, 'rn': rn, 'eb': eb, 'el': el, 'rest': el - ee, 'sc': sc}} ORDER BY b, cand) AS x FROM e GROUP BY 1
-), dp AS (
+), walk AS (
   SELECT read_id, n, x, CAST(1 AS BIGINT) AS i, [CAST(x[1].sc AS BIGINT)] AS total, [CASE WHEN x[1].rest >= {p.max_jump} THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END] AS closed, [[CAST(1 AS BIGINT)]] AS path FROM p
   UNION ALL
   SELECT read_id, n, x, i + 1, list_append(total, CASE WHEN won THEN best.s ELSE x[i + 1].sc END),
@@ -76,9 +76,9 @@ def graph_steps(p: GraphParams) -> str:
       FROM (SELECT *, list_filter(range(1, i + 1), lambda k: closed[k] = 0 AND x[i + 1].eb < {p.max_jump} AND x[i + 1].b - x[k].z > {p.max_jump}) AS behind,
           list_max(list_transform(list_filter(range(1, i + 1), lambda k: closed[k] = 0 AND x[k].rn = x[i + 1].ln AND x[i + 1].b - x[k].z > -{p.max_read_overlap} AND x[i + 1].b - x[k].z < {p.max_jump} AND x[k].rest + x[i + 1].eb < {p.max_jump} AND x[i + 1].eb < {p.max_jump}),
             lambda k: {{'s': total[k] + x[i + 1].sc - CASE WHEN abs(x[i + 1].b - x[k].z - x[k].rest - x[i + 1].eb) > {p.long_gap} THEN abs(x[i + 1].b - x[k].z - x[k].rest - x[i + 1].eb) // {p.gap_unit} ELSE 0 END, 'nk': -k}})) AS best
-        FROM dp WHERE i < n)))
+        FROM walk WHERE i < n)))
 ), ends AS (
-  SELECT read_id, x, unnest(range(1, n + 1)) AS k, unnest(total) AS total, unnest(closed) AS closed, unnest(path) AS path FROM dp WHERE i = n
+  SELECT read_id, x, unnest(range(1, n + 1)) AS k, unnest(total) AS total, unnest(closed) AS closed, unnest(path) AS path FROM walk WHERE i = n
 ), line AS (
   SELECT *, x[path[1]].b AS b, x[k].z AS z, row_number() OVER (PARTITION BY read_id ORDER BY total DESC, closed > 0, closed, closed <> k, k) AS r FROM ends
 ), taken AS (

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..operators import candidates as C
 from ..operators import chains
+from ..operators.base_alignment import chain_divergence
 from ..sources.scratch import materialize
 from ..sources.tables import SEQUENCES_SQL, edges, reads, table
 from . import alignment, diffs, gate_queries, gates, planners, record_queries
-from .chain_sql import ALL_STEPS, BEST_STEPS
+from .chain_sql import ALL_STEPS, BEST_STEPS, graph_steps
 
 K, MOST = 17, 8
 PARAMS = chains.ChainParams(k=K, min_overlap=50, check_overhang=False, only_max_ext=True)
@@ -53,14 +54,19 @@ def chain_inputs(spark, sf):
     return chains.chain_inputs(overlaps(spark, sf))
 
 
-def _edge_overlaps(spark, sf) -> DataFrame:
-    return alignment.bind_edges(overlaps(spark, sf), edges(spark, sf))
+GRAPH = chains.GraphParams(min_overlap=50, max_separation=50)
 
 
-def alignments_by_segment_means(spark, sf):
-    """Read alignments with the engine's own stand-in for the divergence of a chain."""
-    found = materialize(chains.chain_read_alignments(_edge_overlaps(spark, sf), chains.GraphParams(min_overlap=50, max_separation=50)), "chains")
-    return chains.read_alignments(found, chains.segment_means(found))
+def aligned_reads(spark, sf):
+    """Read alignments from sequences alone: overlaps, chains along the graph, and their base-level divergence."""
+    return alignment.align_overlaps(overlaps(spark, sf), reads(spark, sf), edges(spark, sf), GRAPH)
+
+
+def chain_divergences(spark, sf):
+    """Edits and bases of every chain before the gate on divergence, with the chains' two strands as one bag."""
+    inputs = chains.chain_inputs(overlaps(spark, sf))
+    found = materialize(chains.chain_read_alignments(alignment.bind_edges(inputs, edges(spark, sf)), GRAPH), "chains")
+    return chain_divergence(found, reads(spark, sf), edges(spark, sf)).withColumn("divergence", F.round("divergence", 9))
 
 
 def pair_count(spark, sf):
@@ -153,7 +159,7 @@ def field_differences(spark, sf):
 
 
 def queries() -> dict:
-    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, all_overlaps, chain_inputs, alignments_by_segment_means, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
+    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, all_overlaps, chain_inputs, aligned_reads, chain_divergences, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
     return {f.__name__: f for f in found} | record_queries.queries() | gate_queries.queries()
 
 
@@ -181,6 +187,23 @@ _CHAIN_TABLES = f"""{_HITS}, lens AS (SELECT read_id AS id, len(seq) AS n FROM r
 lost AS (SELECT id, pos FROM q WHERE lk IN (SELECT lk FROM idx GROUP BY lk HAVING count(*) > 8))"""
 _BEST = f"{_CHAIN_TABLES}, {BEST_STEPS}"
 _ALL = f"{_CHAIN_TABLES}, {ALL_STEPS}"
+# A chain's stretches from the sequences; the list of a read's overlaps is in the order of chain inputs, so k is one more
+# than an input's place.
+_ALIGNED = f"""{_BEST}, inputs AS (
+  SELECT *, row_number() OVER (PARTITION BY cur_id ORDER BY cur_begin, ext_id, ext_begin, cur_end) - 1 AS cand FROM ov WHERE ext_len < 900 OR least(cur_end - cur_begin, ext_end - ext_begin) > 500
+), e AS (
+  SELECT cur_id AS read_id, cand, cur_begin AS b, cur_end AS z, cur_len AS rl, ext_id AS edge, CAST(CASE WHEN ext_id > 0 THEN n.item_id ELSE -n.item_id - 1 END AS INTEGER) AS ln, CAST(CASE WHEN ext_id > 0 THEN n.item_id + 1 ELSE -n.item_id END AS INTEGER) AS rn,
+    ext_begin AS eb, ext_end AS ee, ext_len AS el, CAST(score AS INTEGER) AS sc, seq_divergence AS d FROM inputs JOIN benchmark n ON n.item_id + 1 = abs(ext_id)
+), {graph_steps(GRAPH)}, segs AS (
+  SELECT read_id, chain_id, unnest(path) AS k, unnest(range(0, len(path))) AS segment_id FROM chain
+), stretches AS (
+  SELECT s.*, e.*, substr(r.seq, e.b + 1, e.z - e.b + 1) AS a_seq, CASE WHEN e.edge > 0 THEN substr(g.seq, e.eb + 1, e.ee - e.eb + 1) ELSE {_RC.format('substr(g.seq, e.el - e.ee, e.ee - e.eb + 1)')} END AS b_seq
+  FROM segs s JOIN e ON e.read_id = s.read_id AND e.cand = s.k - 1 JOIN reads r ON r.read_id = s.read_id JOIN edges g ON g.edge_seq_id = abs(e.edge)
+), divs AS (
+  SELECT read_id, chain_id, CAST(sum(levenshtein(a_seq, b_seq)) AS BIGINT) AS edits, CAST(sum(greatest(len(a_seq), len(b_seq))) AS BIGINT) AS bases FROM stretches GROUP BY 1, 2
+), good AS (
+  SELECT read_id, chain_id, row_number() OVER (PARTITION BY read_id ORDER BY chain_id) - 1 AS again FROM divs WHERE edits / bases < 0.25)"""
+_ALIGNED_ROWS = "SELECT CAST(again AS INTEGER) AS chain_id, CAST(segment_id AS INTEGER) AS segment_id, read_id, b AS read_begin, z AS read_end, rl AS read_len, edge AS edge_id, edge AS edge_seq_id, eb AS edge_begin, ee AS edge_end, el AS edge_len, sc AS score, d AS seq_divergence FROM stretches JOIN good USING (read_id, chain_id)"
 _STATS = """led AS (
   SELECT user_id AS query_id, event_id AS place, event_type = 'purchase' AS selected, event_type IN ('view', 'click', 'purchase') AS supported,
          CAST(round(value * 100) AS BIGINT) AS ms FROM events
@@ -207,6 +230,8 @@ FROM g LEFT JOIN reads r ON r.read_id = g.query_id LEFT JOIN edges e ON e.edge_s
         "overlaps": f"WITH RECURSIVE {_BEST} SELECT * FROM ov",
         "all_overlaps": f"WITH RECURSIVE {_ALL} SELECT * FROM ov",
         "chain_inputs": f"""WITH RECURSIVE {_BEST} SELECT *, CAST(row_number() OVER (PARTITION BY cur_id ORDER BY cur_begin, ext_id, ext_begin, cur_end) - 1 AS INTEGER) AS "order" FROM ov WHERE ext_len < 900 OR least(cur_end - cur_begin, ext_end - ext_begin) > 500""",
+        "aligned_reads": f"WITH RECURSIVE {_ALIGNED} {_ALIGNED_ROWS}",
+        "chain_divergences": f"WITH RECURSIVE {_ALIGNED} SELECT read_id, CAST(chain_id AS INTEGER) AS chain_id, edits, bases, round(edits / bases, 9) AS divergence FROM divs",
         "pair_count": "SELECT CAST(coalesce(sum(a.n * b.m), 0) AS BIGINT) AS matches FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_suppkey AS k, count(*) AS m FROM lineitem GROUP BY 1) b ON a.k = b.k",
         "minimizer_counts": f"""WITH {SEQUENCES_SQL}, w AS (
   SELECT id, p AS pos, substr(seq, CAST(p + 1 AS BIGINT), 17) AS s FROM (SELECT edge_seq_id AS id, seq, unnest(range(0, len(seq) - 16)) AS p FROM edges WHERE len(seq) >= 17)
