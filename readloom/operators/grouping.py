@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 FLUSH = 20_000
 
 
-def by_group(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """What ``run`` makes of each group's columns, as arrays in ``order``. Rows move once, by ``keys``.
+def by_group(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str, width: int | None = None) -> DataFrame:
+    """What ``run`` makes of each group's columns, as arrays in ``order``. Rows move once, by ``keys``, to ``width`` partitions
+    if it is stated.
 
     A group must fit in memory, and groups cost no Arrow batch and no frame of their own. Columns hold no nulls.
     """
@@ -66,4 +67,5 @@ def by_group(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[
         if out:
             yield flush()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(program, schema)
+    dealt = rows.repartition(*keys) if width is None else rows.repartition(width, *keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(program, schema)
