@@ -23,11 +23,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grouping import by_group
 from .common import materialize, table
 from .components import components
 from .wordhash import mixed, parts, run_hashes, word_hashes
@@ -37,6 +37,8 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 #: Classes of a side of a tile: of signatures alone, and with texts. A class goes to as many tiles as its unit fills.
 SIGNATURE_TILE, TILE = 1024, 512
+#: Kinds of tiles: the largest component of a unit against the others, and those against each other.
+TOP, REST = 0, 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts whose sets a task keeps while it confirms pairs.
 KEPT_SETS = 2000
@@ -225,10 +227,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return materialize(met.mapInArrow(confirm, "a long, b long"), f"{tag}-links").distinct()
 
-    def across(part: pd.DataFrame, link) -> pd.DataFrame:
+    def across(part: dict[str, np.ndarray], link) -> dict[str, np.ndarray]:
         """The pairs in one tile, from different components and within the distance, that ``link`` accepts (by place), as
         far as they join what is not joined in it. Of a pair, the first one by size must be ``inner``."""
-        rep, root, size, own, large, inner = (part[c].to_numpy() for c in ("rep", "root", "size", "own", "large", "inner"))
+        rep, root, size, own, large, inner = (part[c] for c in ("rep", "root", "size", "own", "large", "inner"))
         sig = np.frombuffer(b"".join(part["sig"]), "<u2").reshape(-1, SYMBOLS)
         up: dict[int, int] = {}
 
@@ -238,31 +240,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             return x
 
         a, b = [], []
-        top_cell = part["kind"].iloc[0] == "top"
+        top_cell = part["kind"][0] == TOP
         side = large if top_cell else own
-        two = top_cell or part["i"].iloc[0] != part["j"].iloc[0]
+        two = top_cell or part["i"][0] != part["j"][0]
         for x in np.nonzero(inner[:-1])[0].tolist():
             fit = (root[x + 1 :] != root[x]) & (100 * np.minimum(size[x + 1 :], size[x]) >= percent * np.maximum(size[x + 1 :], size[x]))
             if two:
                 fit &= side[x + 1 :] != side[x]
             hit = np.nonzero(fit)[0] + x + 1
-            hit = hit[(sig[hit] != sig[x]).sum(axis=1) <= DISTANCE]
+            if len(hit):
+                hit = hit[(sig[hit] != sig[x]).sum(axis=1) <= DISTANCE]
             for y in hit.tolist():
                 rx, ry = top(link.node(x)), top(link.node(y))
                 if rx != ry and link(x, y):
                     up[max(rx, ry)] = min(rx, ry)
                     a.append(rep[x])
                     b.append(rep[y])
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+        return {"a": np.array(a, np.int64), "b": np.array(b, np.int64)}
 
-    def near_tile(part: pd.DataFrame) -> pd.DataFrame:
+    def unlike(part: dict[str, np.ndarray], *columns: str) -> dict[str, np.ndarray]:
+        """The rows of a sorted tile that differ from the one before in one of the columns."""
+        new = np.ones(len(part["rep"]), bool)
+        new[1:] = np.logical_or.reduce([part[c][1:] != part[c][:-1] for c in columns])
+        return part if new.all() else {c: v[new] for c, v in part.items()}
+
+    def near_tile(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """A forest of the classes within the distance of each other: any two of them are joined in it."""
-        part = part.drop_duplicates(["rep", "cls"]).sort_values(["size", "rep"])
+        part = unlike(part, "rep", "cls")
         return across(part, Within(part["rep"].tolist()))
 
-    def tile(part: pd.DataFrame) -> pd.DataFrame:
+    def tile(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """The links between components in one tile."""
-        part = part.drop_duplicates(["rep", "text"]).sort_values(["size", "rep"])
+        part = unlike(part, "rep", "text")
         return across(part, OnFullSets(part["root"].tolist(), part["text"].tolist(), shingle, percent))
 
     def in_cells(mine: DataFrame, tile: int) -> DataFrame:
@@ -278,9 +287,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("large"), F.col("last_top")).otherwise(F.col("last_rest")) + 1))
         zero = F.lit(0).cast("long")
         cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-        to_rest = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("top", F.col("own"), t))
-        to_top = F.transform(F.sequence(zero, F.col("last_top")), lambda t: cell("top", t, F.col("own")))
-        to_own = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell("rest", F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
+        to_rest = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell(TOP, F.col("own"), t))
+        to_top = F.transform(F.sequence(zero, F.col("last_top")), lambda t: cell(TOP, t, F.col("own")))
+        to_own = F.transform(F.sequence(zero, F.col("last_rest")), lambda t: cell(REST, F.least(F.col("own"), t), F.greatest(F.col("own"), t)))
         cells = F.when(F.col("large"), to_rest).otherwise(F.concat(to_top, to_own))
         return met.withColumn("cell", F.explode(cells)).select(*mine.columns, "own", "large", "cell.*")
 
@@ -342,13 +351,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         # Dealt by cell: units are uneven, and the join before would leave each of them in one task. The number of
         # partitions is fixed, as a cell has few bytes for the work it is.
         width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = in_cells(crowd, SIGNATURE_TILE).repartition(width, "unit", "kind", "i", "j")
-        forest = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(near_tile, "a long, b long"), "near-forest")
+        cells = ["unit", "kind", "i", "j"]
+        forest = materialize(by_group(in_cells(crowd, SIGNATURE_TILE), cells, ["size", "rep", "cls"], near_tile, "a long, b long", width), "near-forest")
         nearer = components(forest).select(F.col("node").alias("rep"), F.col("root").alias("unit"))
         closer = materialize(held.select("cls", "rep", "root", "size", "sig", F.lit(True).alias("inner")).join(nearer, "rep"), "near-classes")
         texts = texts_of(closer.select(F.col("rep").alias("doc_id")), "apart")
-        spread = in_cells(closer, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition("unit", "kind", "i", "j")
-        more = materialize(spread.groupBy("unit", "kind", "i", "j").applyInPandas(tile, "a long, b long"), "rest-links")
+        spread = in_cells(closer, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        more = materialize(by_group(spread, cells, ["size", "rep", "text"], tile, "a long, b long", width), "rest-links")
         roots = materialize(components(links.unionByName(more)), "roots")
 
     ends = materialize(classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "class-roots")
