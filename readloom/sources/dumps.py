@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .artifacts import HEADER, MAGIC, RECORD
+from .ordered import read_headed  # noqa: F401
 from .records import SCHEMAS
 
 # The columns of the boundary dump, and what its three kinds of rows are called.
@@ -23,32 +22,6 @@ BOUNDARY = (
 KINDS = ("query_summary", "raw_overlap", "chain_input")
 
 
-def read_headed(spark: SparkSession, path: str, schema_line: str, columns: str) -> DataFrame:
-    """Rows of files that start with a schema line and a header of ``columns``; by name, in any order of columns.
-
-    Each file is read whole in order to see its header first. A wrong line or a row of another width ends the job.
-    """
-    names = [c.split()[0] for c in columns.split(", ")]
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                head, _, rest = raw.as_py().decode().partition("\n")
-                header, _, body = rest.partition("\n")
-                found = header.split("\t")
-                if head != schema_line or sorted(found) != sorted(names) or (body and not body.endswith("\n")):
-                    raise ValueError(f"{name}: not a file of {schema_line}")
-                rows = [line.split("\t") for line in body.splitlines()]
-                if any(len(r) != len(found) for r in rows):
-                    raise ValueError(f"{name}: a row of the wrong width")
-                for i in range(0, len(rows), 20_000):
-                    part = list(zip(*rows[i : i + 20_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(part[found.index(n)], pa.string()) for n in names], names=names)
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, ", ".join(f"{n} string" for n in names))
-    return raw.select(*[F.col(f"`{n}`").cast(c.split()[1]).alias(n) for n, c in zip(names, columns.split(", "), strict=True)])
-
-
 def split_boundary(rows: DataFrame) -> dict[str, DataFrame]:
     """The three kinds of rows of a boundary dump; any other kind is an error when it is read."""
     kind = F.when(F.col("record_type").isin(*KINDS), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of row: "), "record_type")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import internal_id
+from .ordered import first_lines, numbered_lines
 
 # The fields of each record contract, in file order.
 SCHEMAS = {
@@ -101,22 +102,28 @@ def read_repetitive(spark: SparkSession, path: str | None, schema: str = "repeti
     return spark.createDataFrame([], SCHEMAS[schema]) if path is None else read_strict(spark, path, schema, k, may_be_empty=True).distinct()
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, line) of small files, which are read whole for the order of their lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
-    return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line")).filter("line != ''")
+def _fields(schema: str, line: Column) -> list[Column]:
+    parts = F.split(line, "\t", -1)
+    return [F.get(parts, F.lit(i)).cast(f.split()[1]).alias(f.split()[0]) for i, f in enumerate(SCHEMAS[schema].split(", "))]
 
 
 def read_in_order(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of small record files with line_no."""
-    fields = [f.split() for f in SCHEMAS[schema].split(", ")]
-    parts = F.split("line", "\t", -1)
-    return numbered_lines(spark, path).select(*[F.get(parts, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(fields)], "line_no")
+    """Rows of record files with line_no, their line's number in its file; files are read in splits."""
+    return numbered_lines(spark, path).select(*_fields(schema, F.col("line")), "line_no")
 
 
 def read_sample(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
-    """The first ``n`` records in the order of the file."""
-    return read_in_order(spark, path, schema).filter(F.col("line_no") < n).drop("line_no")
+    """The first ``n`` records of one file, in its order; reading stops after them."""
+    return first_lines(spark, path, n).select(*_fields(schema, F.col("line")))
+
+
+def read_chain_divergence(spark: SparkSession, path: str) -> DataFrame:
+    """Chain divergences in strict form; chain ids that are not 0, 1, 2 and so on are an error at once."""
+    rows = read_strict(spark, path, "chain-divergence", may_be_empty=True)
+    n, distinct, low, high = rows.agg(F.count(F.lit(1)), F.count_distinct("chain_id"), F.min("chain_id"), F.max("chain_id")).first()
+    if n and (distinct != n or low != 0 or high != n - 1):
+        raise ValueError(f"{path}: chain ids are not contiguous")
+    return rows
 
 
 def full_query_hits(rows: DataFrame) -> DataFrame:

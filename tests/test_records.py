@@ -117,3 +117,42 @@ def test_complement_twice_is_the_same(spark):
     once = chains.complement(d)
     assert rows(once.select("segment_id", "read_id", "read_begin", "read_end"))[0] == (0, -7, 74, 79)
     assert rows(chains.complement(once)) == rows(d)
+
+
+def test_lines_of_one_file_in_several_splits(spark, tmp_path):
+    """A file of many splits, one of few lines, and one without a last line end, numbered as they lie."""
+    from readloom.sources import ordered
+
+    body = ["# boundary", "b\ta", *(f"{i}\t{'x' * (i % 50)}" for i in range(5000))]
+    (tmp_path / "a.tsv").write_text("\n".join(body) + "\n")
+    (tmp_path / "b.tsv").write_text("# boundary\na\tb\ny\t-7\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = ordered._lines(spark, str(tmp_path / "a.tsv"))
+        assert lines.rdd.getNumPartitions() > 5 and lines.select("block").distinct().count() > 5
+        got = {(r.path.rsplit("/", 1)[-1], r.line_no): r.line for r in ordered.numbered_lines(spark, str(tmp_path)).collect()}
+        assert got == {("a.tsv", i): x for i, x in enumerate(body)} | {("b.tsv", 0): "# boundary", ("b.tsv", 1): "a\tb", ("b.tsv", 2): "y\t-7"}
+        rows = ordered.read_headed(spark, str(tmp_path), "# boundary", "a string, b int").collect()
+        assert sorted((r.b, r.a) for r in rows if r.b >= 0) == [(i, "x" * (i % 50)) for i in range(5000)] and len(rows) == 5001
+        assert [r.line for r in ordered.first_lines(spark, str(tmp_path / "a.tsv"), 3).collect()] == body[:3]
+        assert ordered.first_lines(spark, str(tmp_path / "a.tsv"), 4000).count() == 4000
+        (tmp_path / "b.tsv").write_text("# boundary\na\tb\ny\t-7")
+        with pytest.raises(ValueError, match="b.tsv"):
+            ordered.read_headed(spark, str(tmp_path), "# boundary", "a string, b int")
+        (tmp_path / "b.tsv").write_text("# boundary\na\tb\n1\t2\t3\n")
+        with pytest.raises(Exception, match="wrong width"):
+            ordered.read_headed(spark, str(tmp_path), "# boundary", "a string, b int").collect()
+        (tmp_path / "b.tsv").write_text("")
+        with pytest.raises(ValueError, match="not a file"):
+            ordered.read_headed(spark, str(tmp_path), "# boundary", "a string, b int")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_chain_ids_must_be_contiguous(spark, tmp_path):
+    (tmp_path / "d.tsv").write_text("0\t0.015\t1\n1\t0.5\t0\n")
+    assert records.read_chain_divergence(spark, str(tmp_path / "d.tsv")).count() == 2
+    for bad in ("0\t0.015\t1\n2\t0.5\t0\n", "1\t0.015\t1\n", "0\t0.1\t1\n0\t0.1\t1\n"):
+        (tmp_path / "d.tsv").write_text(bad)
+        with pytest.raises(ValueError, match="not contiguous"):
+            records.read_chain_divergence(spark, str(tmp_path / "d.tsv"))
