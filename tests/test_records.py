@@ -7,7 +7,7 @@ import json
 import pytest
 from readloom.operators import chains
 from readloom.plans import checks, selectors
-from readloom.sources import artifacts, dumps
+from readloom.sources import artifacts, dumps, records
 from readloom.sources.records import SCHEMAS
 
 
