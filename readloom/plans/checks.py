@@ -42,7 +42,8 @@ def scaled(rows: DataFrame, group: str, metric: str) -> DataFrame:
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """(records, digest): equal for equal bags of rows in any order; no sort and no row in one place.
+    """(records, digest): equal for equal bags of rows in any order; no sort and no row in one place. A check sum of this
+    engine's own; what is to be compared with recorded hashes of canonical files is in ``digests``.
 
     The digest adds 60 bits of the MD5 of every row's fields, joined by tabs, nulls as a backslash and N.
     """
@@ -51,6 +52,11 @@ def digest(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
 
 
+def as_set(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, copies): the set of a bag's keys, with how often each was in it; nulls are equal to each other."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def excess(part: DataFrame, whole: DataFrame) -> DataFrame:
     """Rows of the bag ``part`` that ``whole`` has not, or not as often; empty when it is a part of it."""
     return part.exceptAll(whole.select(*part.columns))

@@ -123,12 +123,12 @@ def boundary_replay(spark, sf):
 
 
 def record_functions(spark, sf):
-    o = _overlap_rows(spark, sf).filter("l_linenumber = 1")
+    o = _overlap_rows(spark, sf)
     c = F.col
     cr, er = c("cur_end") - c("cur_begin"), c("ext_end") - c("ext_begin")
     clock = F.concat((c("l_orderkey") % 5).cast("string"), F.lit(":"), F.lpad((c("l_orderkey") % 60).cast("string"), 2, "0"), F.when(c("l_orderkey") % 2 == 0, F.lit(":07")).otherwise(F.lit(".5")))
     return o.select(
-        "l_orderkey", (cr).alias("cur_range"), dna.overhang(*(c(x) for x in ("cur_begin", "cur_end", "cur_len", "ext_begin", "ext_end", "ext_len"))).alias("overhang"),
+        "l_orderkey", "l_linenumber", (cr).alias("cur_range"), dna.overhang(*(c(x) for x in ("cur_begin", "cur_end", "cur_len", "ext_begin", "ext_end", "ext_len"))).alias("overhang"),
         F.round(dna.kmer_divergence(c("cur_end") - c("cur_begin") - 3, cr, er, c("l_linenumber"), K).cast("double"), 4).alias("divergence"),
         F.round(dna.safe_ratio(cr, c("l_orderkey") % 3), 6).alias("ratio"), dna.elapsed_seconds(clock).alias("seconds"),
     )
@@ -245,12 +245,12 @@ def pack_diff(spark, sf):
 def packed_fixtures(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fixture"), "l_linenumber")
     params = table(spark, sf, "orders").select(F.col("o_orderkey").alias("fixture"), "o_orderstatus", "o_orderpriority")
-    return governance.packed(li, params).groupBy("param_index").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("fixture").alias("fixtures"))
+    return governance.packed(li, params).groupBy(F.col("param_index").cast("int").alias("param_index")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("fixture").alias("fixtures"))
 
 
 def budgeted(spark, sf):
-    n = table(spark, sf, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("rows"))
-    return governance.budgeted(n, "l_orderkey", "rows", 12, 40)
+    n = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("rows"))
+    return governance.budgeted(n, "l_orderkey", "rows", 60, 5000)
 
 
 def timing_totals(spark, sf):
@@ -269,7 +269,7 @@ def shape_ids(spark, sf):
 
 def fixture_order(spark, sf):
     g = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("query_id")).agg(F.count(F.lit(1)).alias("candidate_records"))
-    return governance.fixtures_in_order(g)
+    return governance.fixtures_in_order(g).withColumn("place", F.col("place").cast("int"))
 
 
 def ordered_matches(spark, sf):
@@ -378,8 +378,8 @@ SELECT CASE WHEN cur_id = ext_id THEN 'same' WHEN cur_id = -ext_id THEN 'reverse
         "raw_chain_inputs": f"""WITH {_OVERLAPS}, c AS (SELECT *, row_number() OVER (PARTITION BY cur_id ORDER BY cur_begin, ext_id, ext_begin, cur_end) - 1 AS r FROM (SELECT * REPLACE (CASE WHEN l_linenumber > 2 THEN 1000 ELSE ext_len END AS ext_len) FROM o) WHERE {_INPUTS})
 SELECT cur_id, count(*) AS n, CAST(max(r) AS INTEGER) AS last_order, CAST(sum(r * cur_begin) AS BIGINT) AS order_sum FROM c GROUP BY 1""",
         "boundary_replay": f"""WITH {_OVERLAPS}, c AS (SELECT * FROM o WHERE {_INPUTS}) SELECT count(*) AS left_records, count(*) FILTER (WHERE l_linenumber <> 6) AS right_records, count(*) FILTER (WHERE l_linenumber = 6) AS missing, CAST(0 AS BIGINT) AS extra, CASE WHEN count(*) FILTER (WHERE l_linenumber = 6) = 0 THEN 'match' ELSE 'mismatch' END AS status FROM c""",
-        "record_functions": f"""WITH {_OVERLAPS}, t AS (SELECT *, cur_end - cur_begin AS cr, greatest(cur_end - cur_begin, ext_end - ext_begin) - l_linenumber AS n FROM o WHERE l_linenumber = 1)
-SELECT l_orderkey, cr AS cur_range, greatest(least(cur_begin, ext_begin), least(cur_len - cur_end, ext_len - ext_end)) AS overhang,
+        "record_functions": f"""WITH {_OVERLAPS}, t AS (SELECT *, cur_end - cur_begin AS cr, greatest(cur_end - cur_begin, ext_end - ext_begin) - l_linenumber AS n FROM o)
+SELECT l_orderkey, l_linenumber, cr AS cur_range, greatest(least(cur_begin, ext_begin), least(cur_len - cur_end, ext_len - ext_end)) AS overhang,
   CASE WHEN n > 0 THEN round(ln(1 / least((cr - 3) / n, 1.0)) / 17, 4) END AS divergence, CASE WHEN l_orderkey % 3 <> 0 THEN round(cr / (l_orderkey % 3), 6) END AS ratio,
   CAST(CASE WHEN l_orderkey % 2 = 0 THEN (l_orderkey % 5) * 3600 + (l_orderkey % 60) * 60 + 7 ELSE (l_orderkey % 5) * 60 + l_orderkey % 60 + 0.5 END AS DOUBLE) AS seconds FROM t""",
         "record_violations": f"""WITH {_OVERLAPS} SELECT broken, count(*) AS n FROM (SELECT CASE WHEN cur_id = 0 OR ext_id = 0 THEN 'id' WHEN NOT (0 <= cur_begin AND cur_begin <= cur_end AND cur_end < 150) THEN 'cur' WHEN NOT (0 <= ext_begin AND ext_begin <= ext_end AND ext_end < 200) THEN 'ext' END AS broken FROM o) WHERE broken IS NOT NULL GROUP BY 1""",
@@ -403,10 +403,10 @@ UNION ALL SELECT 'several_overlaps_a_target', count(*) FROM orders WHERE o_order
 b AS (SELECT l_orderkey AS k, string_agg(l_linenumber || ':' || (CAST(l_quantity AS BIGINT) + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END), ',' ORDER BY l_linenumber || ':' || (CAST(l_quantity AS BIGINT) + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END)) AS d FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1)
 SELECT CASE WHEN a.d IS NULL THEN 'missing_left' WHEN b.d IS NULL THEN 'missing_right' WHEN a.d = b.d THEN 'match' ELSE 'mismatch' END AS status, count(*) AS n FROM a FULL JOIN b USING (k) GROUP BY 1""",
         "packed_fixtures": """WITH p AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderstatus, o_orderpriority) - 1 AS i FROM orders) SELECT CAST(i AS INTEGER) AS param_index, count(*) AS rows, count(DISTINCT o_orderkey) AS fixtures FROM lineitem JOIN p ON l_orderkey = o_orderkey GROUP BY 1""",
-        "budgeted": """WITH RECURSIVE g AS (SELECT l_orderkey AS k, count(*) AS s, row_number() OVER (ORDER BY l_orderkey) AS r FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1),
-f AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, CAST(NULL AS BIGINT) AS taken UNION ALL
-  SELECT g.r, CASE WHEN f.n < 12 AND f.total + g.s <= 40 THEN f.n + 1 ELSE f.n END, CASE WHEN f.n < 12 AND f.total + g.s <= 40 THEN f.total + g.s ELSE f.total END, CASE WHEN f.n < 12 AND f.total + g.s <= 40 THEN g.k END FROM f JOIN g ON g.r = f.r + 1)
-SELECT taken AS l_orderkey FROM f WHERE taken IS NOT NULL""",
+        "budgeted": """WITH g AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS s FROM lineitem GROUP BY 1),
+f AS (SELECT list_reduce(list_prepend({'k': CAST(-1 AS BIGINT), 's': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'ids': CAST([] AS BIGINT[])}, list({'k': k, 's': s, 'n': CAST(0 AS BIGINT), 'ids': CAST([] AS BIGINT[])} ORDER BY k)),
+  lambda a, x: CASE WHEN a.n < 60 AND a.s + x.s <= 5000 THEN {'k': x.k, 's': a.s + x.s, 'n': a.n + 1, 'ids': list_append(a.ids, x.k)} ELSE a END) AS r FROM g)
+SELECT unnest(r.ids) AS l_orderkey FROM f""",
         "timing_totals": "SELECT " + ", ".join(f"CAST(sum({e}) AS BIGINT) AS all_{c}, CAST(coalesce(sum({e}) FILTER (WHERE l_returnflag = 'R'), 0) AS BIGINT) AS chosen_{c}" for c, e in (("l_partkey", "l_partkey"), ("l_suppkey", "l_suppkey"), ("l_quantity", "CAST(l_quantity AS BIGINT)"), ("l_linenumber", "l_linenumber"))) + " FROM lineitem",
         "ledger_decisions": "SELECT user_id AS query_id, count(*) FILTER (WHERE event_type = 'view') AS unsupported, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS decisions FROM events GROUP BY 1",
         "shape_ids": "SELECT s_nationkey, count(*) AS n, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS ids FROM supplier GROUP BY 1",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.candidates import unless_large
 from ..operators.chains import chain_inputs
+from ..operators.ranking import ranked
+from ..sources.scratch import materialize
 from .checks import attach, digest
 from .diffs import canonical_diff
 from .gates import ownership, with_reasons
@@ -119,10 +124,12 @@ def pack_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def packed(fixtures: DataFrame, params: DataFrame) -> DataFrame:
-    """Rows of all fixtures in one table, each with the index of its parameters (params: fixture and values, numbered by them)."""
+    """Rows of all fixtures in one table, each with the index of its parameters (params: fixture and values, numbered by
+    them, nulls first and equal to each other)."""
     values = [c for c in params.columns if c != "fixture"]
-    numbered = params.select(*values).distinct().withColumn("param_index", F.row_number().over(Window.orderBy(*values)) - 1)  # one row a set of parameters
-    return fixtures.join(params, "fixture").join(F.broadcast(numbered), values).drop(*values)
+    numbered = ranked(params.select(*values).distinct(), values, "param_index", 0).select(*[F.col(v).alias(f"own_{v}") for v in values], "param_index")
+    same = reduce(lambda x, y: x & y, (F.col(v).eqNullSafe(F.col(f"own_{v}")) for v in values))
+    return fixtures.join(params, "fixture").join(unless_large(numbered), same).drop(*values, *[f"own_{v}" for v in values])
 
 
 def shadow_checks(summary: DataFrame) -> DataFrame:
@@ -154,18 +161,37 @@ def boundary_replay(raw: DataFrame, oracle: DataFrame, **limits) -> DataFrame:
 
 
 def budgeted(rows: DataFrame, key: str, size: str, most: int, budget: int) -> DataFrame:
-    """(key, taken): keys in order while fewer than ``most`` and within ``budget``; what does not fit is passed over.
+    """(key): keys (unique) in order while fewer than ``most`` and within ``budget``; what does not fit is passed over.
 
-    The fold is over (key, size) pairs in one array, so for planners' tables; rows themselves do not go there.
+    Keys are dealt out by ranges. A round takes keys, of those that still fit by themselves, up to the first one that does
+    not fit with those before it: the sum of each range says in which range that is, and a running sum over that range alone
+    says where. What is too large for the rest then is dropped, and the next round begins behind that key. Every round takes
+    a key, so there are at most ``most``; the result is the keys between their ends.
     """
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["n"] < most) & (acc["sum"] + x["s"] <= budget)
-        return F.when(fits, F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + x["s"]).alias("sum"), F.concat(acc["ids"], F.array(x["k"])).alias("ids"))).otherwise(acc)
-
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(key).cast("long").alias("k"), F.col(size).cast("long").alias("s"))))
-    return rows.agg(pairs.alias("p")).select(F.explode(F.aggregate("p", empty, step)["ids"]).alias(key))
+    spark = rows.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pairs = rows.select(F.col(key).cast("long").alias(key), F.col(size).cast("long").alias("size")).filter(f"`{key}` is not null and size is not null")
+    laid = materialize(pairs.repartitionByRange(width, key).withColumn("part", F.spark_partition_id()), "key-ranges")
+    left, room, after, taken = most, budget, None, F.lit(False)
+    while left > 0:
+        fit = laid.filter(F.col("size") <= room) if after is None else laid.filter((F.col("size") <= room) & (F.col(key) > after))
+        n = total = 0
+        full = None
+        for r in sorted(fit.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).collect()):  # bounded: one a partition
+            if n + r["n"] > left or total + r["total"] > room:
+                full = r["part"]
+                break
+            n, total = n + r["n"], total + r["total"]
+        inside = (F.col("size") <= room) & (F.lit(True) if after is None else F.col(key) > after)
+        if full is None:
+            taken |= inside
+            break
+        so_far = Window.partitionBy("part").orderBy(key)
+        line = fit.filter(F.col("part") == full).withColumns({"n": F.row_number().over(so_far) + n, "total": F.sum("size").over(so_far) + total})
+        stop = line.filter((F.col("n") > left) | (F.col("total") > room)).orderBy(key).first()
+        taken |= inside & (F.col(key) < stop[key])
+        left, room, after = left - (stop["n"] - 1), room - (stop["total"] - stop["size"]), stop[key]
+    return laid.filter(taken).select(key)
 
 
 def timing_totals(rows: DataFrame, columns: list[str], chosen: Column) -> DataFrame:
@@ -187,7 +213,7 @@ def ids_by_shape(fixtures: DataFrame, shape: list[str], key: str) -> DataFrame:
 
 def fixtures_in_order(fixtures: DataFrame) -> DataFrame:
     """Fixtures with place: most candidate records first, then by query."""
-    return fixtures.withColumn("place", F.row_number().over(Window.orderBy(F.desc("candidate_records"), "query_id")) - 1)
+    return ranked(fixtures, [F.desc("candidate_records"), "query_id"], "place", 0)
 
 
 def ordered_matches(left: DataFrame, right: DataFrame, order: str, keys: list[str]) -> DataFrame:

@@ -79,8 +79,10 @@ def minimizer_counts(spark, sf):
 
 
 def sequence_functions(spark, sf):
-    e = edges(spark, sf).withColumn("kmer", F.substring("seq", 1, K)).filter(F.length("kmer") == K)
-    return e.select("edge_seq_id", dna.kmer_encode(F.col("kmer"), K).alias("code"), dna.kmer_decode(dna.kmer_encode(F.col("kmer"), K), K).alias("decoded"), dna.kmer_standard(F.col("kmer")).alias("standard"), dna.standard_is_reverse(F.col("kmer")).alias("is_reverse"), dna.internal_id(-F.col("edge_seq_id")).alias("internal"), dna.query_dir_name(-F.col("edge_seq_id")).alias("folder"))
+    """Every window of every edge, encoded, decoded, in standard form and back."""
+    w = edges(spark, sf).filter(F.length("seq") >= K).select("edge_seq_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - K)).alias("pos"))
+    e = w.select("edge_seq_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(K)).alias("kmer"))
+    return e.select("edge_seq_id", F.col("pos").cast("long").alias("pos"), dna.kmer_encode(F.col("kmer"), K).alias("code"), dna.kmer_decode(dna.kmer_encode(F.col("kmer"), K), K).alias("decoded"), dna.kmer_standard(F.col("kmer")).alias("standard"), dna.standard_is_reverse(F.col("kmer")).alias("is_reverse"), dna.internal_id(-F.col("edge_seq_id")).alias("internal"), dna.query_dir_name(-F.col("edge_seq_id")).alias("folder"))
 
 
 def _ledger(spark, sf):
@@ -239,8 +241,8 @@ FROM g LEFT JOIN reads r ON r.read_id = g.query_id LEFT JOIN edges e ON e.edge_s
 ), x AS (SELECT a.id, a.pos AS start, b.pos, b.kmer, row_number() OVER (PARTITION BY a.id, a.pos ORDER BY b.kmer, b.pos) AS r, count(*) OVER (PARTITION BY a.id, a.pos) AS n
   FROM t a JOIN t b ON a.id = b.id AND b.pos BETWEEN a.pos AND a.pos + 4)
 SELECT id AS read_id, count(*) AS minimizers, CAST(sum(pos) AS BIGINT) AS positions FROM (SELECT DISTINCT id, pos, kmer FROM x WHERE r = 1 AND n = 5) GROUP BY id""",
-        "sequence_functions": f"""WITH {SEQUENCES_SQL}, e AS (SELECT edge_seq_id, substr(seq, 1, 17) AS s FROM edges WHERE len(seq) >= 17)
-SELECT edge_seq_id, {_CODE.format('s')} AS code, s AS decoded, least(s, {_RC.format('s')}) AS standard, CAST({_RC.format('s')} < s AS INTEGER) AS is_reverse,
+        "sequence_functions": f"""WITH {SEQUENCES_SQL}, e AS (SELECT edge_seq_id, p AS pos, substr(seq, CAST(p + 1 AS BIGINT), 17) AS s FROM (SELECT edge_seq_id, seq, unnest(range(0, len(seq) - 16)) AS p FROM edges WHERE len(seq) >= 17))
+SELECT edge_seq_id, CAST(pos AS BIGINT) AS pos, {_CODE.format('s')} AS code, s AS decoded, least(s, {_RC.format('s')}) AS standard, CAST({_RC.format('s')} < s AS INTEGER) AS is_reverse,
        2 * edge_seq_id - 1 AS internal, 'query_neg' || edge_seq_id AS folder FROM e""",
         "ledger_stats": f"WITH {_STATS} SELECT * FROM stats",
         "selection_plan": f"""WITH {_STATS}, r AS (

@@ -8,7 +8,7 @@ from ..operators import candidates as C
 from ..operators import chains
 from ..sources import dumps
 from ..sources.tables import SEQUENCES_SQL, edges, table
-from . import checks, selectors
+from . import checks, digests, diversity, selectors
 
 K, MOST, SAMPLES = 17, 8, ["head:0:64", "middle:20:100", "rest:10:full"]
 
@@ -146,8 +146,33 @@ def connectable(spark, sf):
     return chains.connectable(li, chains.GraphParams(max_jump=80, max_read_overlap=10)).groupBy("read_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum("before").alias("before"), F.sum("after").alias("after"))
 
 
+def unit_digests(spark, sf):
+    """The hash of every supplier's lines as a canonical file would have them."""
+    return digests.unit_digests(table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
+
+
+def whole_digest(spark, sf):
+    return digests.whole_digest(unit_digests(spark, sf), "l_suppkey")
+
+
+DIVERSE = ["fixture_rows", "quantity", "lines", "orders"]
+
+
+def diverse_fixtures(spark, sf):
+    """Sixteen parts that differ most by four metrics."""
+    li = table(spark, sf, "lineitem")
+    g = li.groupBy(F.col("l_partkey").alias("query_id")).agg(F.count(F.lit(1)).alias("fixture_rows"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.sum(F.col("l_linenumber").cast("long")).alias("lines"), F.count_distinct("l_orderkey").alias("orders"))
+    return diversity.diverse(g.withColumn("fixture", F.concat(F.lit("f"), "query_id")), DIVERSE, 16, ["quantity", "lines"], "fixture")
+
+
+def distinct_keys(spark, sf):
+    """The set of (part, supplier) of a bag, with how often each was in it."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    return checks.as_set(li, ["l_partkey", "l_suppkey"])
+
+
 def queries() -> dict:
-    found = [order_checks, broken_groups, source_offsets, middle_rows, scaled_metric, bag_digest, bag_excess, places_in_ranges, identity_states, query_summary, pack_support, target_plan, target_gain, pack_plan, shape_batches, sampled_packs, warm_requests, timing_stats, run_diff, node_labels, log_spans, complement_chains, connectable]
+    found = [order_checks, broken_groups, source_offsets, middle_rows, scaled_metric, bag_digest, bag_excess, places_in_ranges, identity_states, query_summary, pack_support, target_plan, target_gain, pack_plan, shape_batches, sampled_packs, warm_requests, timing_stats, run_diff, node_labels, log_spans, complement_chains, connectable, unit_digests, whole_digest, diverse_fixtures, distinct_keys]
     return {f.__name__: f for f in found}
 
 
@@ -162,8 +187,34 @@ fit AS (SELECT * FROM c WHERE raw BETWEEN 1 AND 5 AND chain_inputs BETWEEN 1 AND
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
+_UNITS = """u AS (SELECT l_suppkey, count(*) AS records, sha256(string_agg(l_orderkey || chr(9) || l_linenumber || chr(9) || CAST(l_quantity AS BIGINT) || chr(9) || l_returnflag, chr(10) ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag) || chr(10)) AS sha256 FROM lineitem GROUP BY 1)"""
+
+
+def _diverse_sql() -> str:
+    """The rows taken are lists in one row; a step of the recursion adds the farthest one."""
+    of = lambda text, glue=", ": glue.join(text.format(m=m, i=i) for i, m in enumerate(DIVERSE, 1))
+    picks = " UNION ALL ".join(
+        f"(SELECT {3 * i + j} AS o, fixture, c, '{m}_{name}' AS reason FROM s QUALIFY row_number() OVER (ORDER BY {m}, query_id) = {place})"
+        for i, m in enumerate(DIVERSE) for j, (name, place) in enumerate((("min", "1"), ("max", "(SELECT n FROM ends)"), ("median", "(SELECT n // 2 + 1 FROM ends)")))
+    )
+    return f"""WITH RECURSIVE g AS (SELECT l_partkey AS query_id, 'f' || l_partkey AS fixture, count(*) AS fixture_rows, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(sum(l_linenumber) AS BIGINT) AS lines, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1),
+ends AS (SELECT count(*) AS n, {of("min({m}) AS low{i}, max({m}) AS high{i}")} FROM g),
+s AS MATERIALIZED (SELECT g.*, [{of("CAST({m} - low{i} AS DOUBLE) / CASE WHEN high{i} = low{i} THEN 1.0 ELSE CAST(high{i} - low{i} AS DOUBLE) END")}] AS c FROM g, ends),
+picks AS ({picks}), firsts AS (SELECT * FROM picks QUALIFY row_number() OVER (PARTITION BY fixture ORDER BY o) = 1),
+st AS (SELECT list(fixture ORDER BY o) AS keys, list(c ORDER BY o) AS ats, list(reason ORDER BY o) AS reasons, 0 AS n FROM firsts
+  UNION ALL SELECT list_append(keys, fixture), list_append(ats, c), list_append(reasons, 'greedy_shape_diversity_' || lpad(CAST(n + 1 AS VARCHAR), 2, '0')), n + 1 FROM (
+    SELECT st.*, s.fixture, s.c FROM st, s WHERE len(keys) < 16 AND NOT list_contains(keys, s.fixture)
+    ORDER BY list_min(list_transform(ats, lambda a: {of("(s.c[{i}] - a[{i}]) * (s.c[{i}] - a[{i}])", " + ")})) DESC, quantity DESC, lines DESC, abs(query_id), query_id DESC LIMIT 1))
+SELECT CAST(unnest(range(0, len(keys))) AS INTEGER) AS place, unnest(keys) AS fixture, unnest(reasons) AS reason FROM st WHERE len(keys) = 16"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "unit_digests": f"WITH {_UNITS} SELECT * FROM u",
+        "whole_digest": f"""WITH {_UNITS}, b AS (SELECT substr(sha256(CAST(l_suppkey AS VARCHAR)), 1, 4) AS bucket, count(*) AS units, sum(records) AS records, sha256(string_agg(l_suppkey || chr(9) || sha256, chr(10) ORDER BY l_suppkey)) AS part FROM u GROUP BY 1)
+SELECT CAST(sum(units) AS BIGINT) AS units, CAST(sum(records) AS BIGINT) AS records, sha256(string_agg(bucket || chr(9) || part, chr(10) ORDER BY bucket)) AS sha256 FROM b""",
+        "diverse_fixtures": _diverse_sql(),
+        "distinct_keys": "SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2",
         "order_checks": """SELECT l_orderkey, count(*) AS n, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous, NOT coalesce(bool_or(falls), false) AS sorted
 FROM (SELECT *, l_partkey < lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS falls FROM lineitem) GROUP BY l_orderkey""",
         "broken_groups": """SELECT user_id, event_type, count(*) AS stretches FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)

@@ -104,31 +104,6 @@ def longest_first(packs: DataFrame) -> DataFrame:
     return packs.orderBy(F.desc("estimated_pairs"), F.desc("windows"), F.desc("sample"))
 
 
-def diverse(rows: list[dict], metrics: list[str], most: int, ties: list[str], key: str) -> list[tuple]:
-    """(key, reason) of at most ``most`` rows: least, largest and middle of each metric, then farthest from all chosen.
-
-    For the few fixtures of a matrix; distance is squared over metrics scaled to 0..1, and ``ties`` decide, larger first.
-    """
-    low = {m: min(r[m] for r in rows) for m in metrics} if rows else {}
-    span = {m: max(r[m] for r in rows) - low[m] or 1 for m in metrics} if rows else {}
-    at = {r[key]: [(r[m] - low[m]) / span[m] for m in metrics] for r in rows}
-    chosen: dict = {}
-    for m in metrics if rows else []:
-        line = sorted(rows, key=lambda r: (r[m], r["query_id"], r[key]))  # noqa: B023
-        for name, r in (("min", line[0]), ("max", line[-1]), ("median", line[len(line) // 2])):
-            if len(chosen) < most:
-                chosen.setdefault(r[key], f"{m}_{name}")
-    apart = {k: min((sum((a - b) ** 2 for a, b in zip(x, at[c], strict=True)) for c in chosen), default=0.0) for k, x in at.items()}
-    by_key = {r[key]: r for r in rows}
-    n = 0
-    while len(chosen) < min(most, len(rows)):
-        n += 1
-        best = max((k for k in at if k not in chosen), key=lambda k: (apart[k], *(by_key[k][t] for t in ties), -abs(by_key[k]["query_id"]), by_key[k]["query_id"]))
-        chosen[best] = f"greedy_shape_diversity_{n:02d}"
-        apart = {k: min(d, sum((a - b) ** 2 for a, b in zip(at[k], at[best], strict=True))) for k, d in apart.items()}
-    return list(chosen.items())
-
-
 def warm_requests(requests: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     """Requests with ``warm``: an earlier one had an equal key, so its state could be used again."""
     return requests.withColumn("warm", F.row_number().over(Window.partitionBy(*key).orderBy(ordinal)) > 1)

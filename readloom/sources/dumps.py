@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.ranking import ranked
 from .artifacts import HEADER, MAGIC, RECORD
 from .ordered import read_headed  # noqa: F401
 from .records import SCHEMAS
@@ -112,16 +113,15 @@ def graph_records(lines: DataFrame) -> DataFrame:
 def node_labels(records: DataFrame) -> DataFrame:
     """(node, label) of a graph (edge_id, start_node, end_node): N and the rank of the node's edges, in and out.
 
-    No rows if two nodes have the same edges: labels would hide which is which. Ranks are taken over nodes, in one
-    ordered partition; graphs of assemblies are small beside their reads.
+    No rows if two nodes have the same edges: labels would hide which is which.
     """
     ends = records.select(F.col("start_node").alias("node"), F.lit(0).alias("inward"), "edge_id").unionByName(records.select(F.col("end_node").alias("node"), F.lit(1).alias("inward"), "edge_id"))
     of = lambda way: F.sort_array(F.collect_list(F.when(F.col("inward") == way, F.col("edge_id").cast("string"))))
     nodes = ends.groupBy("node").agg(F.struct(of(1).alias("i"), of(0).alias("o")).alias("signature"))
     same = nodes.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(1)).alias("most")).filter("most = 1")
-    rank = F.row_number().over(Window.orderBy("signature")) - 1
-    label = F.concat(F.lit("N"), F.lpad(rank.cast("string"), F.greatest(F.lit(4), F.length(rank.cast("string"))), "0"))
-    return nodes.select("node", label.alias("label")).join(F.broadcast(same), how="left_semi")
+    rank = F.col("rank").cast("string")
+    label = F.concat(F.lit("N"), F.lpad(rank, F.greatest(F.lit(4), F.length(rank)), "0"))
+    return ranked(nodes, ["signature"], "rank", 0).select("node", label.alias("label")).join(F.broadcast(same), how="left_semi")  # same is one row or none
 
 
 def log_events(lines: DataFrame) -> DataFrame:

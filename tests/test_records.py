@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 
 import pytest
-from readloom.operators import chains
-from readloom.plans import checks, selectors
+from readloom.operators import chains, ranking
+from readloom.plans import checks, digests, diversity, governance, selectors
 from readloom.sources import artifacts, dumps, records
 from readloom.sources.records import SCHEMAS
 
@@ -51,11 +51,91 @@ def test_pack_plan_order(spark):
     assert rows(got) == [(0, 4), (1, 3), (2, 1)]
 
 
-def test_diverse_takes_extremes_then_the_farthest():
-    f = [{"name": f"f{i}", "query_id": i, "m": v} for i, v in enumerate([0, 1, 2, 5, 10])]
-    got = selectors.diverse(f, ["m"], 4, ["m"], "name")
-    assert got == [("f0", "m_min"), ("f4", "m_max"), ("f2", "m_median"), ("f3", "greedy_shape_diversity_01")]
-    assert selectors.diverse([], ["m"], 4, ["m"], "name") == []
+def slow_diverse(rows, metrics, most, ties, key):
+    """All distances anew in every round."""
+    low = {m: min(r[m] for r in rows) for m in metrics}
+    span = {m: max(r[m] for r in rows) - low[m] or 1 for m in metrics}
+    at = {r[key]: [(r[m] - low[m]) / span[m] for m in metrics] for r in rows}
+    out = []
+    for m in metrics:
+        line = sorted(rows, key=lambda r: (r[m], r["query_id"], r[key]))
+        for name, r in (("min", line[0]), ("max", line[-1]), ("median", line[len(line) // 2])):
+            if len(out) < most and r[key] not in dict(out):
+                out.append((r[key], f"{m}_{name}"))
+    for n in range(1, min(most, len(rows)) - len(out) + 1):
+        left = [r for r in rows if r[key] not in dict(out)]
+        near = lambda r: min(sum((a - b) ** 2 for a, b in zip(at[r[key]], at[k], strict=True)) for k, _ in out)
+        best = max(left, key=lambda r: (near(r), *(r[t] for t in ties), -abs(r["query_id"]), r["query_id"]))
+        out.append((best[key], f"greedy_shape_diversity_{n:02d}"))
+    return out
+
+
+def test_diverse_takes_extremes_then_the_farthest(spark):
+    import random
+
+    f = [{"name": f"f{i}", "query_id": i, "m": m} for i, m in enumerate([0, 1, 2, 5, 10])]
+    of = lambda rows, *a: [tuple(r)[1:] for r in diversity.diverse(spark.createDataFrame(rows, "name string, query_id long, m long, w long"), *a).orderBy("place").collect()]
+    assert of([(r["name"], r["query_id"], r["m"], 0) for r in f], ["m"], 4, ["m"], "name") == [("f0", "m_min"), ("f4", "m_max"), ("f2", "m_median"), ("f3", "greedy_shape_diversity_01")]
+    assert of([], ["m"], 4, ["m"], "name") == []
+    rng = random.Random(3)
+    rows = [{"name": f"n{i}", "query_id": rng.choice([i, -i]), "m": rng.randint(0, 30), "w": rng.choice([1, 2, 64])} for i in range(120)]
+    for most in (3, 9, 200):
+        some = rows if most < 200 else rows[:12]
+        assert of([tuple(r.values()) for r in some], ["m", "w"], most, ["w", "m"], "name") == slow_diverse(some, ["m", "w"], most, ["w", "m"], "name")
+
+
+def test_recorded_hash_of_canonical_candidates(spark):
+    """The six candidates of the join fixture and the hash that is recorded for their file."""
+    rows = [(-2, 3, 77, 5, 70, "+"), (-2, 3, 77, 5, 71, "+"), (1, 0, 42, -3, 20, "-"), (1, 0, 42, 2, 10, "+"), (1, 7, 123, -4, 60, "-"), (1, 7, 123, 4, 40, "+")]
+    fields = [f.split()[0] for f in SCHEMAS["candidate-record-v1"].split(", ")]
+    df = spark.createDataFrame(rows[::-1], SCHEMAS["candidate-record-v1"]).repartition(3).selectExpr("*", "'join' as fixture")
+    r = digests.unit_digests(df, "fixture", fields).first()
+    assert (r.records, r.sha256) == (6, "c07761a6cf2dca8d2c3d511b938b454d8e272e0f035a147a59674f1c1c2c67ad")
+    whole = [digests.whole_digest(digests.unit_digests(d.selectExpr("query_id", *fields[1:]), "query_id", fields), "query_id").first() for d in (df, df.repartition(1), df.filter("target_id != 4"))]
+    assert whole[0] == whole[1] and whole[0].units == 2 and whole[0].sha256 != whole[2].sha256
+    left, right = digests.unit_digests(df, "query_id", fields), digests.unit_digests(df.filter("target_id != 4"), "query_id", fields)
+    diff = governance.pack_diff(left.withColumnRenamed("sha256", "digest"), right.withColumnRenamed("sha256", "digest"), "query_id")
+    assert sorted(map(tuple, diff.collect())) == [(-2, "match"), (1, "mismatch")]
+
+
+def test_ranks_equal_sorted_places(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, *range(40)]), rng.random()) for i in range(700)]
+    df = spark.createDataFrame(rows, "i long, a int, b double").repartition(5)
+    got = {r.i: r.place for r in ranking.ranked(df, ["a", df.b.desc(), "i"], "place", 3).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, -r[2], r[0]))
+    assert got == {r[0]: k + 3 for k, r in enumerate(want)}
+    assert ranking.ranked(df.limit(0), ["i"], "place").count() == 0
+    from pyspark.sql import functions as F
+
+    plan = ranking.ranked(df, [F.col("i")], "place")._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_budget_equals_the_fold(spark):
+    import random
+
+    rng = random.Random(9)
+    for case in range(8):
+        rows = [(i * 3, rng.choice([0, 1, 2, 5, 30, 200])) for i in range(rng.choice([1, 20, 300]))]
+        most, room = rng.choice([1, 7, 60, 400]), rng.choice([0, 3, 40, 900, 10**6])
+        taken, total = [], 0
+        for k, n in rows:
+            if len(taken) < most and total + n <= room:
+                taken.append((k,))
+                total += n
+        got = governance.budgeted(spark.createDataFrame(rng.sample(rows, len(rows)), "id long, n long"), "id", "n", most, room)
+        assert sorted(map(tuple, got.collect())) == taken, case
+    assert governance.budgeted(spark.createDataFrame([(None, 1), (1, None)], "id long, n long"), "id", "n", 3, 10).count() == 0
+
+
+def test_packed_keeps_fixtures_with_null_parameters(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 4)], "fixture string, v int")
+    params = spark.createDataFrame([("a", None, "x"), ("b", 2, None), ("c", None, "x")], "fixture string, k int, m string")
+    assert sorted(map(tuple, governance.packed(rows, params).select("fixture", "v", "param_index").collect())) == [("a", 1, 0), ("b", 2, 1), ("b", 3, 1), ("c", 4, 0)]
+
 
 
 def test_boundary_dump(spark, tmp_path):
