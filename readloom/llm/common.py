@@ -43,6 +43,28 @@ def free_names(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def returned(program):
+    """``program`` over Arrow batches; at its end, memory that it has freed goes back to the system.
+
+    Python workers live on from task to task, and what their allocators hold counts for the executor.
+    """
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from program(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

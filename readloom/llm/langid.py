@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, table
+from .common import free_names, materialize, returned, table
 from .wordhash import parts
 
 ORDER, BITS = 4, 12
@@ -41,7 +41,7 @@ MIN_LETTERS = 20
 RATES = tuple(1 / (1 << k) for k in range(9))
 #: Languages at most, and (keys x languages) of a model that is sent to all executors.
 MOST_LANGUAGES, SENT_CELLS = 1000, 6_000_000
-_FLUSH = 1_000_000
+_FLUSH = 400_000
 
 
 def _mask(order: int) -> int:
@@ -122,7 +122,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if held:
             yield from done(*merged())
 
-    found = docs.select("text", "lang", "held").mapInArrow(run, "lang string, held boolean, gram long, c long")
+    found = docs.select("text", "lang", "held").mapInArrow(returned(run), "lang string, held boolean, gram long, c long")
     return found.groupBy("lang", "held", "gram").agg(F.sum("c").alias("c"))
 
 
@@ -209,7 +209,7 @@ def _costs_sent(docs: DataFrame, sent, costs: str, n: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(lengths)], names=[*part.schema.names, costs, n])
 
-    return docs.mapInArrow(run, docs.withColumns({costs: F.lit(None).cast("array<long>"), n: F.lit(None).cast("long")}).schema)
+    return docs.mapInArrow(returned(run), docs.withColumns({costs: F.lit(None).cast("array<long>"), n: F.lit(None).cast("long")}).schema)
 
 
 def _costs_by_join(docs: DataFrame, model: Model, costs: str, n: str) -> DataFrame:
@@ -231,12 +231,12 @@ def _costs_by_join(docs: DataFrame, model: Model, costs: str, n: str) -> DataFra
 
     keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.reverse("text"))}
     texts = docs.select("text").withColumns(keys).groupBy("k1", "k2").agg(F.first("text").alias("text")).select("k1", "k2", "text")
-    held = materialize(texts.mapInArrow(counted, "k1 long, k2 long, gram long, m long"), "text-grams")
+    held = materialize(texts.mapInArrow(returned(counted), "k1 long, k2 long, gram long, m long"), "text-grams")
     g = F.col("gram")
     wanted = [k for m in range(1, ORDER + 1) for k in (_key(g.bitwiseAND(F.lit(_mask(m))), m), _key(F.shiftright(g, BITS).bitwiseAND(F.lit(_mask(m - 1))), m - 1))]
     asked = held.select("gram").distinct().select("gram", F.explode(F.array_distinct(F.array(*wanted))).alias("key"))
     met = asked.join(model.rows, "key", "left").groupBy("gram").agg(F.collect_list(F.struct("key", "lang", "over", "back")).alias("rows"))  # bounded: orders x languages
-    price = met.mapInArrow(priced, "gram long, costs array<long>")
+    price = met.mapInArrow(returned(priced), "gram long, costs array<long>")
     each = held.join(price, "gram").select("k1", "k2", "m", F.posexplode("costs").alias("j", "cost"))
     sums = each.groupBy("k1", "k2", "j").agg(F.sum(F.col("m") * F.col("cost")).alias("cost"), F.sum("m").alias("n"))
     sums = sums.groupBy("k1", "k2").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "cost"))), lambda x: x["cost"]).alias(costs), F.max("n").alias(n))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grouping import by_group
-from .common import materialize, table
+from .common import materialize, returned, table
 from .components import components
 from .wordhash import mixed, parts, run_hashes, word_hashes
 
@@ -186,10 +186,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                         found.append((key[0], b))
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    rows = materialize(source.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
+    rows = materialize(source.mapInArrow(returned(sign), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     known = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
-    held = classes.select("rep", "sig").mapInArrow(shared_forms, "form long, rep long")
+    held = classes.select("rep", "sig").mapInArrow(returned(shared_forms), "form long, rep long")
     buckets = materialize(held.groupBy("form").agg(F.min("rep").alias("hub"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     crowds = materialize(held.join(buckets.filter("n > 2").select("form", "hub", "n"), "form"), "crowds")
     # First each class meets the smallest class of any form it has: one pair a class.
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                 keep = pa.array((m[0] != m[1]).sum(axis=1) <= DISTANCE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-        return met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b").mapInArrow(within, "a long, b long")
+        return met.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b").mapInArrow(returned(within), "a long, b long")
 
     def texts_of(ids: DataFrame, tag: str) -> DataFrame:
         ids = materialize(ids.distinct(), f"{tag}-ids")
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         of_a = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.withColumnRenamed("doc_id", "a"), "a")
         met = of_b.select("a", "salt", "b", "text").unionByName(of_a.select("a", "salt", F.lit(None).cast("long").alias("b"), "text"))
         met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return materialize(met.mapInArrow(confirm, "a long, b long"), f"{tag}-links").distinct()
+        return materialize(met.mapInArrow(returned(confirm), "a long, b long"), f"{tag}-links").distinct()
 
     def across(part: dict[str, np.ndarray], link) -> dict[str, np.ndarray]:
         """The pairs in one tile, from different components and within the distance, that ``link`` accepts (by place), as
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             for part in parts(batches, 1):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(part.column(1), shingle), np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
 
-        often = sample.mapInArrow(shingles, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+        often = sample.mapInArrow(returned(shingles), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
         codes, times = often.column("h").to_numpy().view(np.uint64), often.column("n").to_numpy()
         order = np.argsort(codes)
         known = docs.sparkSession.sparkContext.broadcast((codes[order], times[order]))
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                 lists = [pa.array([p[i].view(np.int64) for p in both], pa.list_(pa.int64())) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *lists], names=["rep", "h1", "h2", "head", "tail"])
 
-        found = texts.mapInArrow(cut, "rep long, h1 long, h2 long, head array<long>, tail array<long>").join(classes.select("h1", "h2", "rep", "sig", F.col("n").alias("size")), ["h1", "h2", "rep"])
+        found = texts.mapInArrow(returned(cut), "rep long, h1 long, h2 long, head array<long>, tail array<long>").join(classes.select("h1", "h2", "rep", "sig", F.col("n").alias("size")), ["h1", "h2", "rep"])
         return materialize(found.dropDuplicates(["h1", "h2"]).join(mine.distinct(), "rep").select(F.col("h1").alias("cls"), "rep", "root", "size", "sig", "head", "tail"), "prefixes")
 
     links = confirmed(pairs, "star")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_file
+from .common import returned, table, tokenizer_file
 
 CAPACITY = 2048
 END_ID = 1
@@ -216,7 +216,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         if rows:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(returned(run), PIECE_SCHEMA)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

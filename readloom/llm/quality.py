@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, table
+from .common import free_names, materialize, returned, table
 from .wordhash import parts
 
 ORDER, BITS = 5, 12
@@ -34,7 +34,7 @@ QUANTILE, MIN_CHARS = 0.995, 40
 FOLDS = 5
 #: Tables of at most so many rows are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_GRAMS = 1_000_000, 4_000_000
-_FLUSH = 1_000_000
+_FLUSH = 400_000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             yield from done(merged())
 
     each = [f"c{f}" for f in range(FOLDS)]
-    found = docs.select("text", "fold").mapInArrow(run, "gram long, " + ", ".join(f"{c} int" for c in each))
+    found = docs.select("text", "fold").mapInArrow(returned(run), "gram long, " + ", ".join(f"{c} int" for c in each))
     found = found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in each])
     return found.select("gram", sum((F.col(c) for c in each[1:]), F.col(each[0])).alias("c"), *each)
 
@@ -203,7 +203,7 @@ def _sums_sent(marked: DataFrame, sent, total: str, n: str, own: str) -> DataFra
             columns = [pc.if_else(none, None, pa.array(x.astype(np.int64))) for x in (sums[ends] - sums[ends - lengths], lengths)]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, total, n])
 
-    return marked.mapInArrow(run, marked.withColumns({total: F.lit(None).cast("long"), n: F.lit(None).cast("long")}).schema)
+    return marked.mapInArrow(returned(run), marked.withColumns({total: F.lit(None).cast("long"), n: F.lit(None).cast("long")}).schema)
 
 
 def _sums_by_join(marked: DataFrame, model: DataFrame, total: str, n: str, own: str) -> DataFrame:
@@ -218,7 +218,7 @@ def _sums_by_join(marked: DataFrame, model: DataFrame, total: str, n: str, own:
 
     keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.reverse("text"))}
     texts = marked.select("text", F.col(own).alias("w")).withColumns(keys).groupBy("k1", "k2", "w").agg(F.first("text").alias("text")).select("k1", "k2", "w", "text")
-    sums = texts.mapInArrow(run, "k1 long, k2 long, w int, gram long, m long").join(model, "gram").groupBy("k1", "k2", "w").agg(F.sum(F.col("m") * F.col("cost")).alias("a"), F.sum("m").alias("b"))
+    sums = texts.mapInArrow(returned(run), "k1 long, k2 long, w int, gram long, m long").join(model, "gram").groupBy("k1", "k2", "w").agg(F.sum(F.col("m") * F.col("cost")).alias("a"), F.sum("m").alias("b"))
     k1, k2 = free_names([*marked.columns, total, n], "k1", "k2")
     return marked.withColumns({k1: keys["k1"], k2: keys["k2"]}).join(sums.toDF(k1, k2, own, total, n), [k1, k2, own], "left").select(*marked.columns, total, n)
 

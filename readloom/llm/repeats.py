@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, table
+from .common import free_names, materialize, returned, table
 from .wordhash import parts, run_hashes, sliding, span_hashes, whole, words_and_lines
 
 LINE, WINDOW = 25, 26
@@ -147,11 +147,11 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW, min_
                 out.append([{"first": x, "last": y - 1} for x, y in zip(a[np.concatenate([[0], new + 1])].tolist(), ends[np.concatenate([new, [len(v) - 1]])].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _RUNS)], names=["k_id", "k_hash", "k_runs"])
 
-    prints = materialize(source.mapInArrow(place, "print long, check int, k_id long, k_hash long, place int, words int"), "prints")
+    prints = materialize(source.mapInArrow(returned(place), "print long, check int, k_id long, k_hash long, place int, words int"), "prints")
     winnowed, lines = prints.filter("words = 0").select("print", "k_id", "k_hash", "place"), prints.filter("words > 0")
     twice = materialize(winnowed.groupBy("print").count().filter("count > 1").select("print"), "repeated-prints")
     spots = materialize(winnowed.join(twice, "print").groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("place")).alias("places")), "spots")
-    runs = source.join(checked(spots, "places"), ["k_id", "k_hash"]).select("k_id", "k_text", "k_hash", "places").mapInArrow(extend, "run long, check int, k_id long, k_hash long, place int")
+    runs = source.join(checked(spots, "places"), ["k_id", "k_hash"]).select("k_id", "k_text", "k_hash", "places").mapInArrow(returned(extend), "run long, check int, k_id long, k_hash long, place int")
     # The order of occurrences: in one long where ids and places fit, which aggregates without a sort.
     fits = alone and span[0] is not None and 0 <= span[0] and span[1] < 1 << 38 and span[2] < 1 << 24
     here = F.shiftleft("k_id", 24).bitwiseOR(F.col("place").cast("long")) if fits else F.struct("k_id", "k_hash", "place")
@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW, min_
     again = lines.join(firsts(lines, ["print", "check"], "first-lines"), ["print", "check"]).filter(here > F.col("first"))
     gone = later.select("k_id", "k_hash", spot(F.lit(size))).unionByName(again.select("k_id", "k_hash", spot(F.col("words"))))
     cuts = gone.groupBy("k_id", "k_hash").agg(F.sort_array(F.collect_list("spot")).alias("spots"))
-    cuts = materialize(cuts.mapInArrow(stretches, "k_id long, k_hash long, k_runs array<struct<first:int,last:int>>"), "cuts")
+    cuts = materialize(cuts.mapInArrow(returned(stretches), "k_id long, k_hash long, k_runs array<struct<first:int,last:int>>"), "cuts")
 
     plain = docs.drop("runs").withColumn("text", F.col("text").cast("string"))
     key_id, key_hash, key_runs, key_copy = free_names([*plain.columns, "runs"], "k_id", "k_hash", "k_runs", "k_copy")
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW, min_
     met = keyed.join(checked(cuts, "k_runs").toDF(key_id, key_hash, key_runs), [key_id, key_hash], "left")
     marked = copies.select(F.col("k_id").alias(key_id), F.col("k_hash").alias(key_hash), F.lit(True).alias(key_copy))
     met = met.join(F.broadcast(marked) if few else marked, [key_id, key_hash], "left").drop(key_id, key_hash)
-    return met.mapInArrow(cut, schema)
+    return met.mapInArrow(returned(cut), schema)
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
