@@ -108,7 +108,8 @@ def minimizers(reads: DataFrame, k: int, window: int) -> DataFrame:
 def group_spans(hits: DataFrame, query_lengths: DataFrame, target_lengths: DataFrame, min_overlap: int, survival: float, max_overhang: int | None = None) -> DataFrame:
     """Count, unique query places and extremes of every (query, target), and whether it can hold an overlap.
 
-    A first hit at place 0 is no change of place, so it does not count as a unique one.
+    A first hit at place 0 is no change of place, so it does not count as a unique one. A query or target without a length
+    ends the job when it is read.
     """
     g = hits.groupBy("query_id", "target_id").agg(
         F.count(F.lit(1)).alias("hits"),
@@ -116,6 +117,8 @@ def group_spans(hits: DataFrame, query_lengths: DataFrame, target_lengths: DataF
         F.min("query_pos").alias("min_cur"), F.max("query_pos").alias("max_cur"), F.min("target_pos").alias("min_ext"), F.max("target_pos").alias("max_ext"),
     )
     g = g.join(query_lengths, "query_id", "left").join(target_lengths, "target_id", "left")
+    lost = lambda c, of: F.when(F.col(c).isNull(), F.raise_error(F.concat(F.lit("no length of "), F.col(of).cast("string"))).cast("int")).otherwise(F.col(c))
+    g = g.withColumns({"query_len": lost("query_len", "query_id"), "target_len": lost("target_len", "target_id")})
     ok = (F.col("unique_positions") >= survival * min_overlap) & (F.col("max_cur") - F.col("min_cur") >= min_overlap) & (F.col("max_ext") - F.col("min_ext") >= min_overlap)
     if max_overhang is not None:
         ok &= (F.least("min_cur", "min_ext") <= max_overhang) & (F.least(F.col("query_len") - F.col("max_cur"), F.col("target_len") - F.col("max_ext")) <= max_overhang)

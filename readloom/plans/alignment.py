@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dna
 from ..operators import candidates as C
 from ..operators import chains
 from ..operators.base_alignment import chain_divergence
+from ..sources import dumps, records
 from ..sources.scratch import materialize
 
 
@@ -59,3 +61,32 @@ def align_overlaps(overlaps: DataFrame, reads: DataFrame, edges: DataFrame, p: c
     below the limit, numbered anew."""
     found = materialize(chains.chain_read_alignments(bind_edges(chains.chain_inputs(overlaps), edges), p), "chains")  # used twice
     return chains.read_alignments(found, chain_divergence(found, reads, edges), max_divergence)
+
+
+def source_pack(reads: DataFrame, edges: DataFrame, most: int, k: int, folder: str) -> None:
+    """Writes the hits of reads with edges and the repetitive k-mers of reads as a source pack: a folder a query, below one
+    for each kind of file."""
+    index = C.kmer_index(edges, k)
+    freq = C.unless_large(C.kmer_frequency(index).withColumnRenamed("lookup_kmer", "standard_kmer_repr"))
+    hits = C.candidates(reads, edges, k, most)
+    other = dna.code_reverse_complement(F.col("kmer"), k)
+    line = Window.partitionBy("query_id").orderBy("query_pos", "target_id", "target_pos")
+    full = hits.withColumns({"standard_kmer_repr": F.least("kmer", other), "standard_revcomp": (other < F.col("kmer")).cast("int"), "source_order": F.row_number().over(line) - 1}).join(freq, "standard_kmer_repr")
+    full = full.select("query_id", "source_order", "query_pos", F.col("kmer").alias("query_kmer_repr"), "standard_kmer_repr", "standard_revcomp", F.lit(0).alias("is_repetitive"), "kmer_freq", F.col("target_id").alias("target_edge_seq_id"), "target_pos")
+    w = C.lookup_windows(reads, k).select(F.col("read_id").alias("query_id"), F.col("pos").alias("query_pos"), F.col("lookup_kmer").alias("standard_kmer_repr"), F.col("reverse").alias("standard_revcomp"))
+    often = w.join(freq.filter(F.col("kmer_freq") > most), "standard_kmer_repr")
+    own = F.when(F.col("standard_revcomp") == 0, F.col("standard_kmer_repr")).otherwise(dna.code_reverse_complement(F.col("standard_kmer_repr"), k))
+    often = often.select("query_id", "query_pos", own.alias("query_kmer_repr"), "standard_kmer_repr", "standard_revcomp", F.lit(1).alias("is_repetitive"), "kmer_freq")
+    for name, rows in (("full-query-hits", full), ("query-minimizers", often)):
+        by = rows.withColumn("query_dir", dna.query_dir_name(F.col("query_id"))).repartition("query_dir")
+        by.write.partitionBy("query_dir").csv(f"{folder}/{name}", sep="\t", header=False)
+
+
+def align_pack(spark: SparkSession, folder: str, reads: DataFrame, edges: DataFrame, p: chains.ChainParams, g: chains.GraphParams, max_divergence: float = 0.25) -> DataFrame:
+    """read-alignment-v1 of a source pack: its hits in match order, overlaps, chain inputs, chains and their divergence."""
+    rows = dumps.read_pack(spark, f"{folder}/full-query-hits", "part-*", "full-query-hit")
+    mixed = F.when(F.col("pack_query") == F.col("query_id"), F.col("query_id")).otherwise(F.raise_error(F.concat(F.lit("mixed query ids in the folder of "), F.col("pack_query").cast("string"))).cast("long"))
+    hits = records.full_query_hits(rows.withColumn("query_id", mixed)).withColumnRenamed("target_edge_seq_id", "target_id")
+    lost = dumps.read_pack(spark, f"{folder}/query-minimizers", "part-*", "query-minimizer", optional=True).filter("is_repetitive = 1").select("query_id", F.col("query_pos").cast("int").alias("position"))
+    hits = materialize(hits.select("query_id", "query_pos", "target_id", "target_pos"), "pack-hits")  # used twice
+    return align_overlaps(overlap_hits(hits, lost, reads, edges, p), reads, edges, g, max_divergence)

@@ -326,9 +326,47 @@ def read_alignments(spark, sf):
     return chains.read_alignments(found, given)
 
 
+def _raw_overlaps(spark, sf):
+    """The same edge overlaps as raw overlaps, with the nodes of their edges."""
+    e = _edge_overlaps(spark, sf)
+    return e.select(
+        F.col("read_id").alias("cur_id"), F.col("read_begin").alias("cur_begin"), F.col("read_end").alias("cur_end"), F.col("read_len").alias("cur_len"), F.col("edge_id").alias("ext_id"), F.col("edge_begin").alias("ext_begin"), F.col("edge_end").alias("ext_end"), F.col("edge_len").alias("ext_len"),
+        "score", "seq_divergence", "edge_left_node", "edge_right_node",
+    )
+
+
+def _rebuilt(inputs):
+    """Chain inputs through graph chaining, acceptance and the gate on divergence: (read_id, chain_id, segment_id, edge_seq_id, score)."""
+    e = inputs.select(
+        F.col("order").cast("long").alias("candidate_id"), F.col("cur_id").alias("read_id"), F.col("cur_begin").alias("read_begin"), F.col("cur_end").alias("read_end"), F.col("cur_len").alias("read_len"), F.col("ext_id").alias("edge_id"), "edge_left_node", "edge_right_node",
+        F.col("ext_id").alias("edge_seq_id"), F.col("ext_begin").alias("edge_begin"), F.col("ext_end").alias("edge_end"), F.col("ext_len").alias("edge_len"), "score", "seq_divergence",
+    )
+    found = materialize(chains.chain_read_alignments(e, GRAPH), "chains")
+    given = found.select("read_id", "chain_id").distinct().withColumn("divergence", ((F.col("read_id") + F.col("chain_id")) % 10) / 20)
+    return chains.read_alignments(found, given).select("read_id", "chain_id", "segment_id", "edge_seq_id", "score")
+
+
+def chain_canary(spark, sf):
+    """Chains rebuilt from raw overlaps, by filter, order, graph chaining and acceptance, against an accepted slice in which
+    one segment of some reads was changed: the canary must find these, and no others."""
+    raw = _raw_overlaps(spark, sf)
+    changed = (F.col("read_id") % 97 == 0) & (F.col("chain_id") == 0) & (F.col("segment_id") == 0)
+    accepted = _rebuilt(chains.chain_inputs(raw)).withColumn("score", F.col("score") + changed.cast("int"))
+    return governance.mutation_canary(raw, _rebuilt, materialize(accepted, "accepted"))
+
+
+def placeholder_chains(spark, sf):
+    """Reads whose own chaining was left out, filled with the chains that were rebuilt for them."""
+    rebuilt = materialize(_rebuilt(chains.chain_inputs(_raw_overlaps(spark, sf))), "rebuilt")
+    value = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("chain_id", "segment_id", "edge_seq_id"))), lambda x: F.concat_ws(":", x["chain_id"].cast("string"), x["edge_seq_id"].cast("string"))))
+    chained = rebuilt.groupBy("read_id").agg(value.alias("chains"))
+    skipped = rebuilt.select("read_id").distinct().withColumn("chains", F.lit(None).cast("string"))
+    return governance.fill_placeholders(skipped, chained, "read_id", "chains")
+
+
 def queries() -> dict:
     found = [
-        read_alignments,
+        read_alignments, chain_canary, placeholder_chains,
         strict_records, record_faults, window_sources, full_query_hits, bucket_hits, sampled_records, index_extraction, overlap_tests, raw_chain_inputs, boundary_replay, record_functions, record_violations, attached_edges, unsupported_shapes, over_capacity, bypass_plan, consumption_parity,
         substituted, rehydrated_objects, injected_fault, mutation_canary, filled_placeholders, audit_sample, shadow_checks, accounting_checks, guard_checks, expected_counts, pack_diff, packed_fixtures, budgeted, timing_totals, ledger_decisions, shape_ids, fixture_order, ordered_matches,
         unproved_semantics, cached_answers, session_ledger, crossover,
@@ -353,11 +391,16 @@ _GRAPH = f"""e AS (
 ), {graph_steps(GRAPH)}, kept AS (
   SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY chain_id) - 1 AS again FROM chain WHERE ((read_id + chain_id) % 10) / 20 < 0.25
 ), segments AS (SELECT read_id, again, x, unnest(path) AS k, unnest(range(0, len(path))) AS segment_id FROM kept)"""
+# The same with the places of chain inputs, which equal begins can order in another way.
+_IN_ORDER = _GRAPH.replace("l_linenumber * CAST(100000000 AS BIGINT) + l_partkey * 1000 + l_suppkey % 1000 AS cand", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 40 + CAST(l_quantity AS INTEGER) % 5, l_partkey, l_suppkey % 90, l_linenumber * 40 + CAST(l_quantity AS INTEGER) % 5 + CAST(l_quantity AS INTEGER)) AS cand")
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "read_alignments": f"""WITH RECURSIVE {_GRAPH} SELECT CAST(again AS INTEGER) AS chain_id, CAST(segment_id AS INTEGER) AS segment_id, read_id, x[k].b AS read_begin, x[k].z AS read_end, 400 AS read_len, x[k].edge AS edge_id, x[k].edge AS edge_seq_id, x[k].eb AS edge_begin, 95 AS edge_end, x[k].el AS edge_len, x[k].sc AS score, x[k].sc / 100 AS seq_divergence FROM segments""",
+        "chain_canary": f"""WITH RECURSIVE {_IN_ORDER}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE read_id % 97 = 0 AND again = 0 AND segment_id = 0) AS c FROM segments)
+SELECT n AS left_records, n AS right_records, c AS missing, c AS extra, CASE WHEN c = 0 THEN 'match' ELSE 'mismatch' END AS status FROM n""",
+        "placeholder_chains": f"WITH RECURSIVE {_IN_ORDER} SELECT read_id, string_agg(again || ':' || x[k].edge, ',' ORDER BY again, segment_id) AS chains FROM segments GROUP BY 1",
         "strict_records": "SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS query_pos, l_partkey AS kmer, l_suppkey * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS target_id, CAST(l_quantity AS BIGINT) AS target_pos, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS target_strand FROM lineitem WHERE l_orderkey <> 0 AND l_suppkey <> 0",
         "record_faults": """SELECT fault, count(*) AS n FROM (SELECT CASE WHEN l_linenumber = 5 THEN 'fields' WHEN l_linenumber = 1 THEN 'number' WHEN l_linenumber = 2 THEN 'id' WHEN l_orderkey = 0 OR l_suppkey = 0 THEN 'id' WHEN l_linenumber = 3 THEN 'position' WHEN l_linenumber = 4 THEN 'strand' END AS fault FROM lineitem) WHERE fault IS NOT NULL GROUP BY 1""",
         "window_sources": f"""WITH {SEQUENCES_SQL}, w AS (SELECT edge_seq_id AS id, v.p AS pos, substr(seq, CAST(v.p + 1 AS BIGINT), 17) AS s FROM edges, (VALUES (0), (10), (20), (30)) v(p) WHERE len(seq) >= 60),

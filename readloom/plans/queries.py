@@ -11,7 +11,7 @@ from ..functions import dna
 from ..operators import candidates as C
 from ..operators import chains
 from ..operators.base_alignment import chain_divergence
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import SEQUENCES_SQL, edges, reads, table
 from . import alignment, diffs, gate_queries, gates, planners, record_queries
 from .chain_sql import ALL_STEPS, BEST_STEPS, graph_steps
@@ -69,6 +69,21 @@ def chain_divergences(spark, sf):
     return chain_divergence(found, reads(spark, sf), edges(spark, sf)).withColumn("divergence", F.round("divergence", 9))
 
 
+def pack_alignments(spark, sf):
+    """The same alignments by way of a source pack: written as folders of queries, read back, replayed and accepted."""
+    folder = scratch_path(spark, "source-pack")
+    alignment.source_pack(reads(spark, sf), edges(spark, sf), MOST, K, folder)
+    found = alignment.align_pack(spark, folder, reads(spark, sf), edges(spark, sf), PARAMS, GRAPH)
+    return found.withColumn("seq_divergence", F.round("seq_divergence", 5))
+
+
+def read_index_extraction(spark, sf):
+    """By read: windows, those of k-mers that are repetitive in the edges, those the index has, and those it lacks."""
+    freq = C.kmer_frequency(C.kmer_index(edges(spark, sf), K))
+    met = C.lookup_windows(reads(spark, sf), K).join(C.unless_large(freq), "lookup_kmer", "left")
+    return met.groupBy("read_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("kmer_freq") > MOST).alias("filtered"), F.count_if(F.col("kmer_freq") <= MOST).alias("indexed"), F.count_if(F.col("kmer_freq").isNull()).alias("absent"))
+
+
 def pair_count(spark, sf):
     li = table(spark, sf, "lineitem")
     return C.pair_count(li.select(F.col("l_partkey").alias("key")), li.select(F.col("l_suppkey").alias("key")), "key")
@@ -161,7 +176,7 @@ def field_differences(spark, sf):
 
 
 def queries() -> dict:
-    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, all_overlaps, chain_inputs, aligned_reads, chain_divergences, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
+    found = [kmer_candidates, kmer_frequency, group_spans, overlaps, all_overlaps, chain_inputs, aligned_reads, chain_divergences, pack_alignments, read_index_extraction, pair_count, minimizer_counts, sequence_functions, ledger_stats, selection_plan, ledger_accounting, divergence_windows, canonical_diff, row_key_diff, validation_ledger, shape_groups, reason_counts, ownership, edge_states, field_differences]
     return {f.__name__: f for f in found} | record_queries.queries() | gate_queries.queries()
 
 
@@ -233,6 +248,10 @@ FROM g LEFT JOIN reads r ON r.read_id = g.query_id LEFT JOIN edges e ON e.edge_s
         "all_overlaps": f"WITH RECURSIVE {_ALL} SELECT * FROM ov",
         "chain_inputs": f"""WITH RECURSIVE {_BEST} SELECT *, CAST(row_number() OVER (PARTITION BY cur_id ORDER BY cur_begin, ext_id, ext_begin, cur_end) - 1 AS INTEGER) AS "order" FROM ov WHERE ext_len < 900 OR least(cur_end - cur_begin, ext_end - ext_begin) > 500""",
         "aligned_reads": f"WITH RECURSIVE {_ALIGNED} {_ALIGNED_ROWS}",
+        "pack_alignments": f"WITH RECURSIVE {_ALIGNED} {_ALIGNED_ROWS}",
+        "read_index_extraction": f"""WITH {_INDEX}, freq AS (SELECT lk, count(*) AS n FROM idx GROUP BY 1), qw AS (
+  SELECT id, substr(seq, CAST(p + 1 AS BIGINT), 17) AS s FROM (SELECT read_id AS id, seq, unnest(range(0, len(seq) - 16)) AS p FROM reads WHERE len(seq) >= 17))
+SELECT id AS read_id, count(*) AS windows, count(*) FILTER (WHERE n > 8) AS filtered, count(*) FILTER (WHERE n <= 8) AS indexed, count(*) FILTER (WHERE n IS NULL) AS absent FROM qw LEFT JOIN freq ON lk = least(s, {_RC.format('s')}) GROUP BY 1""",
         "chain_divergences": f"WITH RECURSIVE {_ALIGNED} SELECT read_id, CAST(chain_id AS INTEGER) AS chain_id, edits, bases, round(edits / bases, 9) AS divergence FROM divs",
         "pair_count": "SELECT CAST(coalesce(sum(a.n * b.m), 0) AS BIGINT) AS matches FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1) a JOIN (SELECT l_suppkey AS k, count(*) AS m FROM lineitem GROUP BY 1) b ON a.k = b.k",
         "minimizer_counts": f"""WITH {SEQUENCES_SQL}, w AS (

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -36,9 +37,17 @@ def folder_id(path: Column) -> Column:
     return F.when(digits != "", F.when(path.rlike(r"query_neg\d"), -digits.cast("long")).otherwise(digits.cast("long")))
 
 
-def read_pack(spark: SparkSession, folder: str, file: str, schema: str) -> DataFrame:
-    """The rows of ``file`` in all query folders of a pack, with pack_query, the id in the folder's name."""
-    rows = spark.read.csv(f"{folder}/query_*/{file}", sep="\t", schema=SCHEMAS[schema], mode="FAILFAST")
+def read_pack(spark: SparkSession, folder: str, file: str, schema: str, optional: bool = False) -> DataFrame:
+    """The rows of ``file`` in all query folders of a pack, with pack_query, the id in the folder's name.
+
+    If no folder has the file, that is an error, unless it is optional; then there are no rows.
+    """
+    try:
+        rows = spark.read.csv(f"{folder}/query_*/{file}", sep="\t", schema=SCHEMAS[schema], mode="FAILFAST")
+    except AnalysisException as e:
+        if not optional or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], SCHEMAS[schema])
     return rows.withColumn("pack_query", folder_id(F.input_file_name()))
 
 

@@ -18,6 +18,7 @@ SCHEMAS = {
     "repetitive-kmer": "lookup_kmer long",
     "repetitive-window": "sequence string",
     "full-query-hit": "query_id long, source_order long, query_pos long, query_kmer_repr long, standard_kmer_repr long, standard_revcomp int, is_repetitive int, kmer_freq long, target_edge_seq_id long, target_pos long",
+    "query-minimizer": "query_id long, query_pos long, query_kmer_repr long, standard_kmer_repr long, standard_revcomp int, is_repetitive int, kmer_freq long",
     "index-bucket": "query_id long, query_pos long, standard_kmer_repr long, target_edge_seq_id long, target_pos long",
     "edge-sequence": "edge_seq_id long, edge_seq_len int, sequence string",
     "candidate-record-v1": "query_id long, query_pos long, kmer long, target_id long, target_pos long, target_strand string",
