@@ -8,7 +8,7 @@ from ..operators import candidates as C
 from ..operators import chains
 from ..sources import dumps
 from ..sources.tables import SEQUENCES_SQL, edges, table
-from . import checks, digests, diversity, selectors
+from . import checks, digests, diversity, selectors, summaries
 
 K, MOST, SAMPLES = 17, 8, ["head:0:64", "middle:20:100", "rest:10:full"]
 
@@ -171,8 +171,32 @@ def distinct_keys(spark, sf):
     return checks.as_set(li, ["l_partkey", "l_suppkey"])
 
 
+def target_checks(spark, sf):
+    """The named checks of the target plan, against a boundary of a million and a warm request that took too long."""
+    plan = target_plan(spark, sf)
+    return summaries.target_checks(plan, "cost", 100_000_000, 5.0, 1e12)
+
+
+def _skips(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    selected = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("query_id"))
+    key, ms = F.col("l_orderkey").alias("query_id"), lambda c: F.col(c).cast("long")
+    control = li.filter("l_linenumber < 4").select(key, ms("l_partkey").alias("chain"), ms("l_suppkey").alias("divergence"))
+    skipped = li.filter("l_linenumber >= 4").select(key, ms("l_linenumber").alias("placeholder"), ms("l_quantity").alias("rebuild"), ms("l_suppkey").alias("compare"), F.lit(1).cast("long").alias("substitution"), (ms("l_partkey") * 2).alias("request"), ms("l_quantity").alias("kernel"))
+    return selected, control, skipped
+
+
+def skip_timing(spark, sf):
+    t = summaries.skip_timing(*_skips(spark, sf))
+    return t.withColumns({c: F.round(c, 9) for c in ("cold_ratio", "hot_ratio")})
+
+
+def skip_checks(spark, sf):
+    return summaries.skip_checks(skip_timing(spark, sf))
+
+
 def queries() -> dict:
-    found = [order_checks, broken_groups, source_offsets, middle_rows, scaled_metric, bag_digest, bag_excess, places_in_ranges, identity_states, query_summary, pack_support, target_plan, target_gain, pack_plan, shape_batches, sampled_packs, warm_requests, timing_stats, run_diff, node_labels, log_spans, complement_chains, connectable, unit_digests, whole_digest, diverse_fixtures, distinct_keys]
+    found = [order_checks, broken_groups, source_offsets, middle_rows, scaled_metric, bag_digest, bag_excess, places_in_ranges, identity_states, query_summary, pack_support, target_plan, target_gain, pack_plan, shape_batches, sampled_packs, warm_requests, timing_stats, run_diff, node_labels, log_spans, complement_chains, connectable, unit_digests, whole_digest, diverse_fixtures, distinct_keys, target_checks, skip_timing, skip_checks]
     return {f.__name__: f for f in found}
 
 
@@ -190,6 +214,14 @@ _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _UNITS = """u AS (SELECT l_suppkey, count(*) AS records, sha256(string_agg(l_orderkey || chr(9) || l_linenumber || chr(9) || CAST(l_quantity AS BIGINT) || chr(9) || l_returnflag, chr(10) ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag) || chr(10)) AS sha256 FROM lineitem GROUP BY 1)"""
 
 
+_SKIPS = """sel AS (SELECT DISTINCT o_orderkey AS q FROM orders WHERE o_orderstatus = 'F'),
+own AS (SELECT l_orderkey AS q, CAST(sum(l_partkey + l_suppkey) AS BIGINT) AS ms FROM lineitem WHERE l_linenumber < 4 GROUP BY 1),
+a AS (SELECT count(*) AS selected, count(*) FILTER (WHERE ms IS NULL) AS missing, CAST(coalesce(sum(ms), 0) AS BIGINT) AS control_ms FROM sel LEFT JOIN own USING (q)),
+b AS (SELECT count(DISTINCT l_orderkey) AS skipped, CAST(coalesce(sum(l_linenumber + CAST(l_quantity AS BIGINT) + l_suppkey + 1), 0) AS BIGINT) AS fill_ms, CAST(coalesce(sum(l_partkey * 2), 0) AS BIGINT) AS request_ms, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS kernel_ms
+  FROM lineitem WHERE l_linenumber >= 4 AND l_orderkey IN (SELECT q FROM sel)),
+t AS (SELECT *, request_ms + fill_ms AS cold_ms, kernel_ms + fill_ms AS hot_ms FROM a, b)"""
+
+
 def _diverse_sql() -> str:
     """The rows taken are lists in one row; a step of the recursion adds the farthest one."""
     of = lambda text, glue=", ": glue.join(text.format(m=m, i=i) for i, m in enumerate(DIVERSE, 1))
@@ -214,6 +246,11 @@ def oracle_sql() -> dict[str, str]:
         "whole_digest": f"""WITH {_UNITS}, b AS (SELECT substr(sha256(CAST(l_suppkey AS VARCHAR)), 1, 4) AS bucket, count(*) AS units, sum(records) AS records, sha256(string_agg(l_suppkey || chr(9) || sha256, chr(10) ORDER BY l_suppkey)) AS part FROM u GROUP BY 1)
 SELECT CAST(sum(units) AS BIGINT) AS units, CAST(sum(records) AS BIGINT) AS records, sha256(string_agg(bucket || chr(9) || part, chr(10) ORDER BY bucket)) AS sha256 FROM b""",
         "diverse_fixtures": _diverse_sql(),
+        "skip_timing": f"WITH {_SKIPS} SELECT *, CASE WHEN control_ms <> 0 THEN round(cold_ms / control_ms, 9) END AS cold_ratio, CASE WHEN control_ms <> 0 THEN round(hot_ms / control_ms, 9) END AS hot_ratio, cold_ms < control_ms AS cold_faster, hot_ms < control_ms AS hot_faster FROM t",
+        "skip_checks": f"""WITH {_SKIPS} SELECT 'control_has_all_selected_queries' AS "check", missing = 0 AS passed FROM t UNION ALL SELECT 'selected_query_counts_match', skipped = selected FROM t UNION ALL SELECT 'fill_timing_recorded', fill_ms > 0 FROM t""",
+        "target_checks": f"""WITH {_COST}, p AS (SELECT * FROM fit ORDER BY cost DESC, query_id LIMIT 20), r AS (SELECT count(*) AS n, coalesce(sum(raw), 0) AS raw, coalesce(sum(chain_inputs), 0) AS inputs, coalesce(sum(cost), 0) AS cost FROM p)
+SELECT 'selected_query_count_positive' AS "check", n > 0 AS passed FROM r UNION ALL SELECT 'selected_has_raw_overlaps', raw > 0 FROM r UNION ALL SELECT 'selected_has_chain_inputs', inputs > 0 FROM r
+UNION ALL SELECT 'selected_cost_exceeds_boundary', cost / 100000000 >= 5 FROM r UNION ALL SELECT 'hot_request_below_selected_cost', 1e12 < cost FROM r""",
         "distinct_keys": "SELECT l_partkey, l_suppkey, count(*) AS copies FROM lineitem GROUP BY 1, 2",
         "order_checks": """SELECT l_orderkey, count(*) AS n, min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*) AS contiguous, NOT coalesce(bool_or(falls), false) AS sorted
 FROM (SELECT *, l_partkey < lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS falls FROM lineitem) GROUP BY l_orderkey""",
