@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,10 +270,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         part = unlike(part, "rep", "cls")
         return across(part, Within(part["rep"].tolist()))
 
-    def tile(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
         """The links between components in one tile."""
-        part = unlike(part, "rep", "text")
-        return across(part, OnFullSets(part["root"].tolist(), part["text"].tolist(), shingle, percent))
+        part = part.drop_duplicates(["rep", "text"]).sort_values(["size", "rep"])
+        return pd.DataFrame(across({c: part[c].to_numpy() for c in part}, OnFullSets(part["root"].tolist(), part["text"].tolist(), shingle, percent)))
 
     def in_cells(mine: DataFrame, tile: int) -> DataFrame:
         """``mine`` (unit, root, rep and others) in every cell where a class of its unit is met.
@@ -356,8 +357,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         nearer = components(forest).select(F.col("node").alias("rep"), F.col("root").alias("unit"))
         closer = materialize(held.select("cls", "rep", "root", "size", "sig", F.lit(True).alias("inner")).join(nearer, "rep"), "near-classes")
         texts = texts_of(closer.select(F.col("rep").alias("doc_id")), "apart")
-        spread = in_cells(closer, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        more = materialize(by_group(spread, cells, ["size", "rep", "text"], tile, "a long, b long", width), "rest-links")
+        # With texts, a tile comes to Python by itself: a batch of rows of many tiles would be as large as their texts.
+        spread = in_cells(closer, TILE).join(texts.withColumnRenamed("doc_id", "rep"), "rep").repartition(*cells)
+        more = materialize(spread.groupBy(*cells).applyInPandas(tile, "a long, b long"), "rest-links")
         roots = materialize(components(links.unionByName(more)), "roots")
 
     ends = materialize(classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")), "class-roots")
