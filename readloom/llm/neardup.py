@@ -369,4 +369,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of all documents by four-word shingles at a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)

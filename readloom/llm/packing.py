@@ -220,5 +220,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
     pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -346,5 +346,6 @@ def encode_decode(docs: DataFrame, model_path: str, verify: bool = True, batch_c
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of all documents."""
     coded = encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -264,5 +264,6 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity, threshold and decision of all documents, by a model of the trusted ones."""
     judged = judge(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
     return judged.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "accepted")

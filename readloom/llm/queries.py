@@ -6,6 +6,7 @@ from . import codes, html_text, langid, neardup, packing, pieces, quality, repea
 
 
 def queries() -> dict:
+    """One query an operator, over its whole table with production parameters."""
     return {
         "op1_topk": topk.op1_topk,
         "op2_packing": packing.op2_packing,
@@ -23,4 +24,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL of those that SQL can express."""
     return topk.ORACLE | tool_calls.ORACLE | codes.ORACLE

@@ -204,6 +204,7 @@ def remove_repeats(docs: DataFrame, line: int = LINE, window: int = WINDOW, min_
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of all documents, and what it takes away."""
     cleaned = remove_repeats(table(spark, sf_dir, "documents"))
     words = F.aggregate("runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1)
     return cleaned.select("doc_id", "text", F.col("runs").cast("string").alias("runs"), words.cast("long").alias("removed_words"))

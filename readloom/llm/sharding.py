@@ -86,5 +86,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, units_per_shard: int
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of all documents, shards near equal in bytes; equal texts in one shard."""
     placed = shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

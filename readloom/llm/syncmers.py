@@ -248,4 +248,5 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 2000) -> DataFrame:
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with both likenesses."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -154,6 +154,7 @@ def turns_as_calls(chats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered and validated."""
     linked = link_tool_calls(*turns_as_calls(table(spark, sf_dir, "conversations")))
     return linked.withColumn("errors", F.array_join("errors", ","))
 

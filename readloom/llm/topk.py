@@ -208,6 +208,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K, **options) -> DataFrame
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest scores of every vector whose id is divisible by 100, against all others."""
     return exact_topk(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
