@@ -17,7 +17,9 @@ def ledger_stats(ledger: DataFrame) -> DataFrame:
     ledger: query_id, place (a total order), selected, supported, ms. later_ms adds each row from a query's second
     supported one on, itself included.
     """
-    return merge_stats(ledger.sparkSession.createDataFrame([], STATE), ledger)
+    # Known to be empty when the query is planned, so nothing is joined with it.
+    none = ledger.sparkSession.range(1).filter(F.lit(False)).selectExpr(*[f"cast(null as {kind}) as {name}" for name, kind in (c.split() for c in STATE.split(", "))])
+    return merge_stats(none, ledger)
 
 
 def merge_stats(state: DataFrame, ledger: DataFrame) -> DataFrame:
