@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from readloom.functions import dna
+from readloom.operators import candidates as C
 from readloom.operators.candidates import kmer_join
 from readloom.operators.chains import OVERLAP_COLUMNS, ChainParams, GraphParams, chain_read_alignments, overlaps_of, read_alignments
-from readloom.plans import diffs, gates, planners, queries
+from readloom.plans import alignment, diffs, gates, planners, queries
 from readloom.sources import artifacts
 from readloom.sources.records import SCHEMAS, violations
 
@@ -103,3 +107,32 @@ def test_gates(spark):
     assert rows(got.select("v", "decision")) == [("a", "replaced"), ("b", "selected_missing"), ("c", "kept")]
     runs = spark.createDataFrame([("hot", 1, 2.0, 3.0), ("hot", 8, 9.0, 3.0), ("single", 8, 1.0, 3.0)], "mode string, size int, control_ms double, ms double")
     assert rows(gates.crossover(runs)) == [("hot", 8), ("single", None)]
+
+
+@pytest.mark.parametrize("k", [1, 4, 17, 31])
+def test_windows_as_codes_equal_windows_as_text(spark, k):
+    """Array programs over batches against text: small letters, other letters, short, empty and null reads, and a long one."""
+    rng = random.Random(k)
+    bases = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    seqs = [bases(40), bases(40, "acgtACGT"), bases(60, "ACGTACGTN"), "", None, "A" * (k - 1), "A" * k, bases(30) + "éß" + bases(40), "CATG" * 20, bases(C.STEP + 50), bases(33)]
+    reads = spark.createDataFrame([(i - 3, s) for i, s in enumerate(seqs)], "read_id long, seq string").coalesce(1)
+    code = F.coalesce(F.conv(F.least("own", "other").cast("string"), 4, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    text = C._windows(reads, k, "read_id").select("read_id", "pos", code.alias("lookup_kmer"), (F.col("other") < F.col("own")).cast("int").alias("reverse"))
+    found = C.lookup_windows(reads, k)
+    assert found.dtypes == text.dtypes and found.count() == text.count() > C.STEP
+    assert found.exceptAll(text).isEmpty()
+
+
+def test_reads_are_taken_apart_once(spark):
+    """Overlaps come from one pass over the windows of reads, with and without repetitive k-mers."""
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda s: (seen.add(1), s)[1]).asNondeterministic()
+    rng = random.Random(8)
+    whole = "".join(rng.choice("ACGT") for _ in range(200))
+    edges = spark.createDataFrame([(i, whole) for i in range(1, 4)], "edge_seq_id long, seq string")
+    reads = spark.createDataFrame([(7, whole)], "read_id long, seq string").withColumn("seq", count("seq"))
+    began = seen.value
+    hits, often = alignment.found_windows(reads, edges, 5, 17)
+    assert hits.count() == 0 and often.count() == 184 and seen.value - began == 1
+    hits, often = alignment.found_windows(reads, edges, 6, 17)  # a place on either strand of each
+    assert hits.count() == 3 * 184 and often.count() == 0 and seen.value - began == 2
