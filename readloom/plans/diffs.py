@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def canonical_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: status, records on both sides, and how many of either have no counterpart. One shuffle for each side."""
+def canonical_diff(left: DataFrame, right: DataFrame, width: int | None = None) -> DataFrame:
+    """One row: status, records on both sides, and how many of either have no counterpart. One shuffle for each side, to
+    ``width`` partitions if it is stated."""
     columns = left.columns
     both = left.select(*columns, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*columns, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    both = both if width is None else both.repartition(width, *columns)
     g = both.groupBy(*columns).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     out = g.agg(total("l").alias("left_records"), total("r").alias("right_records"), total(F.greatest(F.col("l") - F.col("r"), F.lit(0))).alias("missing"), total(F.greatest(F.col("r") - F.col("l"), F.lit(0))).alias("extra"))
