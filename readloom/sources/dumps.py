@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.dna import query_group
 from ..operators.ranking import ranked
 from .artifacts import HEADER, MAGIC, RECORD
 from .ordered import read_headed  # noqa: F401
@@ -37,10 +38,17 @@ def folder_id(path: Column) -> Column:
     return F.when(digits != "", F.when(path.rlike(r"query_neg\d"), -digits.cast("long")).otherwise(digits.cast("long")))
 
 
+def in_group(path: Column, query_id: Column) -> Column:
+    """Whether a query belongs in the folder queries_<group>_of_<groups> of a path; null without one."""
+    part = lambda i: F.nullif(F.regexp_extract(path, r"queries_(\d+)_of_([1-9]\d*)", i), F.lit("")).cast("int")
+    return query_group(query_id, part(2)) == part(1)
+
+
 def read_pack(spark: SparkSession, folder: str, file: str, schema: str, optional: bool = False) -> DataFrame:
     """The rows of ``file`` in all query folders of a pack, with pack_query, the id in the folder's name.
 
-    If no folder has the file, that is an error, unless it is optional; then there are no rows.
+    In the folder of a group of queries it is the row's own query_id, or null if that belongs to another group. If no folder
+    has the file, that is an error, unless it is optional; then there are no rows.
     """
     try:
         rows = spark.read.csv(f"{folder}/query_*/{file}", sep="\t", schema=SCHEMAS[schema], mode="FAILFAST")
@@ -48,7 +56,9 @@ def read_pack(spark: SparkSession, folder: str, file: str, schema: str, optional
         if not optional or e.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], SCHEMAS[schema])
-    return rows.withColumn("pack_query", folder_id(F.input_file_name()))
+    path = F.input_file_name()
+    grouped = F.when(in_group(path, F.col("query_id")), F.col("query_id")) if "query_id" in rows.columns else F.lit(None).cast("long")
+    return rows.withColumn("pack_query", F.coalesce(folder_id(path), grouped))
 
 
 # The files that every query folder of a source pack has.

@@ -8,7 +8,7 @@ from dataclasses import replace
 import pytest
 
 from readloom.operators import candidates as C
-from readloom.operators import chains
+from readloom.operators import chains, grouping
 from readloom.plans import alignment
 from readloom.sources import dumps
 
@@ -55,6 +55,26 @@ def test_a_hit_in_the_folder_of_another_query_ends_the_job(spark, world, tmp_pat
         alignment.align_pack(spark, str(tmp_path / "pack"), reads, edges, P, G).collect()
 
 
+def test_folders_of_a_pack_follow_the_rows_not_the_queries(spark, world, tmp_path, monkeypatch):
+    reads, edges = world
+    many = spark.range(33).crossJoin(reads).selectExpr("read_id + 10 * id as read_id", "seq")
+    want = sorted(map(tuple, alignment.align_overlaps(alignment.overlap_reads(many, edges, 4, P), many, edges, G).collect()))
+    assert len({r[2] for r in want}) == 66
+    for rows in (500_000, 1_000):
+        monkeypatch.setattr(grouping, "TASK_ROWS", rows)
+        folder = tmp_path / f"pack-{rows}"
+        alignment.source_pack(many, edges, 4, P.k, str(folder))
+        hits, lost = (dumps.read_pack(spark, f"{folder}/{kind}", "part-*", schema) for kind, schema in (("full-query-hits", "full-query-hit"), ("query-minimizers", "query-minimizer")))
+        files = [len(list((folder / kind).glob("*/part-*"))) for kind in ("full-query-hits", "query-minimizers")]
+        assert max(files) <= max(4, -(-max(hits.count(), lost.count()) // rows)) < 66 and (rows > 1_000 or files[0] > 4)
+        assert hits.unionByName(lost, True).filter("pack_query is null or pack_query != query_id").isEmpty()
+        assert sorted(map(tuple, alignment.align_pack(spark, str(folder), many, edges, P, G).collect())) == want
+    one, other = sorted(p for p in (folder / "full-query-hits").iterdir() if p.is_dir())[:2]
+    next(one.glob("part-*")).rename(other / "part-99999.csv")
+    with pytest.raises(Exception, match="mixed query ids"):
+        alignment.align_pack(spark, str(folder), many, edges, P, G).collect()
+
+
 def test_missing_lengths_and_edges_end_the_job(spark, world):
     reads, edges = world
     hits = C.candidates(reads, edges, P.k, 4)
